@@ -69,8 +69,11 @@ def _let(value: Column, body) -> Column:
 
 def merge_words(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of one word by folding ranked merges over its bytes; for words of up to LONG bytes."""
-    literal = rank_literal(ranks)
+    # The literal is named once: each mention of it would be another copy in the plan.
+    return _let(rank_literal(ranks), lambda literal: _fold(word, literal))
 
+
+def _fold(word: Column, literal: Column) -> Column:
     def rank(piece: Column) -> Column:
         bucket = F.get(literal, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))
         return F.coalesce(F.try_element_at(bucket, piece), F.lit(NONE))
