@@ -67,7 +67,7 @@ NICKNAMES = {
     "marge": "margaret", "matt": "matthew", "meg": "margaret", "mike": "michael", "nat": "nathaniel", "nate": "nathaniel", "ned": "edward",
     "nick": "nicholas", "pat": "patricia patrick", "patty": "patricia", "peg": "margaret", "peggy": "margaret", "pete": "peter", "phil": "philip",
     "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel samantha", "steve": "stephen",
-    "sue": "susan", "susie": "susan", "ted": "theodore edward", "teddy": "theodore edward", "theo": "theodore", "tim": "timothy", "tom": "thomas",
+    "sue": "susan", "susie": "susan", "susy": "susan", "suzy": "susan", "suzie": "susan", "ted": "theodore edward", "teddy": "theodore edward", "theo": "theodore", "tim": "timothy", "tom": "thomas",
     "tony": "anthony", "tricia": "patricia", "vic": "victor victoria", "vicki": "victoria", "vicky": "victoria", "will": "william", "liza": "elizabeth",
     "trish": "patricia", "jamie": "james", "debby": "deborah", "kit": "katherine", "fredo": "frederick", "franny": "francesca", "rita": "margaret", "dot": "dorothy",
 }
@@ -86,7 +86,7 @@ def plain(s: str) -> str:
 
 def words(spelling: str) -> list[str]:
     s = plain(spelling)
-    s = re.sub(r"\([^)]*\)", " ", s) if re.sub(r"\([^)]*\)|\W|_", "", s) else s
+    s = re.sub(r"\(([^)]*)\)", lambda m: " " if m[1].strip().lower() in INITIALS else f" {m[1]} ", s)
     s = re.sub(r"'s(?![^\W_])", " ", s, flags=re.I)
     s = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])", " ", s)
     out: list[str] = []
@@ -284,8 +284,9 @@ def link(names: DataFrame) -> DataFrame:
     forms = cut(
         formed.groupBy("kind", "name", "given", "full").agg(F.sum("n").alias("n"), F.count("*").alias("spellings")).withColumn("id", key)
     )
-    # A proper name that several kinds of bodies bear is no slip of the pen.
-    borne = forms.where(F.col("name") != "").groupBy("name").agg((F.count_distinct("kind") > 1).alias("borne"))
+    # A proper name that three kinds of bodies or more bear is no slip of the pen.
+    body = F.regexp_replace("kind", r" ?\d+", "")
+    borne = forms.where(F.col("name") != "").groupBy("name").agg((F.count_distinct(body) > 2).alias("borne"))
     forms = forms.join(borne, "name", "left")
     whole = forms.where((F.length("name") >= ONE_FROM))
     index = whole.where("full").select(
