@@ -16,9 +16,15 @@ from tidegraph.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the parquet files under ``path``, with the schema they have."""
+    """A stream of the parquet files under ``path``, or of that file, with the schema they have."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        folder, _, name = path.rstrip("/").rpartition("/")  # the file source lists folders
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def crawl_stream(rows: DataFrame) -> DataFrame:
