@@ -20,7 +20,7 @@ def xml_to_json(text: str | None, keep: frozenset[str] | None = None) -> str | N
     """
     if text is None or not text.strip():
         return None
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate("utf-8")
     parser.buffer_text = True
     top: dict = {}
     stack: list[dict] = [top]

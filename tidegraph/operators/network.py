@@ -355,7 +355,7 @@ def combine(vertices: DataFrame, edges: DataFrame, mode: str) -> tuple[DataFrame
 
 def _shares(counts: DataFrame, key: str, n_graphs: Column) -> DataFrame:
     total = W.partitionBy(G)
-    share = F.col("n") / F.sum("n").over(total)
+    share = F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(total)), F.lit(0.0))  # a graph without edges has no shares
     return counts.select(key, share.alias("share")).groupBy(key).agg((F.sum("share") / n_graphs).alias("avg_share"))
 
 

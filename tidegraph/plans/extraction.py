@@ -127,7 +127,7 @@ _ROLE = f"""case when t.dep = 'appos' then 'appos' when t.pos in ({_words(S.VERB
     when t.dep in ({_words(S.SUBJECTS)}) then 'source' when upper(t.dep) = 'ROOT' then 'root_not_verb'
     when t.h = t.id then 'broken_dep_rel' when t.h = {{start}} then 'inf_loop' end"""
 
-_CRAWL = f"""
+CRAWL_SQL = f"""
 with recursive t0 as (
   select distinct file_id, doc_id, sentence_id, concat_ws('|', file_id, doc_id, sentence_id) as sk, token_id as id, head_token_id as h,
     token, lemma, pos, tag, dep_rel as dep, coalesce(entity, '') as entity
@@ -184,7 +184,7 @@ c as (
 _IDS = "file_id, doc_id, sentence_id"
 _MATH_SQL = "translate(n, '" + "".join("ℎ" if i == 7 else chr(0x1D44E + i) for i in range(26)) + "".join(chr(0x1D434 + i) for i in range(26)) + "', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _NET = (
-    _CRAWL
+    CRAWL_SQL
     + f""",
 e1 as (
   select *, regexp_replace(entity, '_.+', '') as entity_type, regexp_replace(entity, '.+_', '') as iob from c),
@@ -228,12 +228,12 @@ edges as (
 )
 
 ORACLE = {
-    "sentence_filter": _CRAWL + f"select {_IDS}, count(*) as n_tokens from t group by all",
-    "crawl_roles": _CRAWL + f"select {_IDS}, id as token_id, role from c",
-    "crawl_verbs": _CRAWL + f"select {_IDS}, id as token_id, verb_id, verb_name, verb_lemma, verb_tense, parent_id from c",
-    "helper_lists": _CRAWL + f"select {_IDS}, id as token_id, helper_lemma, helper_token from c where verb_id = id and helper_lemma is not null",
-    "xcomp_lists": _CRAWL + f"select {_IDS}, id as token_id, xcomp_verb from c where xcomp_verb is not null",
-    "xcomp_helpers": _CRAWL
+    "sentence_filter": CRAWL_SQL + f"select {_IDS}, count(*) as n_tokens from t group by all",
+    "crawl_roles": CRAWL_SQL + f"select {_IDS}, id as token_id, role from c",
+    "crawl_verbs": CRAWL_SQL + f"select {_IDS}, id as token_id, verb_id, verb_name, verb_lemma, verb_tense, parent_id from c",
+    "helper_lists": CRAWL_SQL + f"select {_IDS}, id as token_id, helper_lemma, helper_token from c where verb_id = id and helper_lemma is not null",
+    "xcomp_lists": CRAWL_SQL + f"select {_IDS}, id as token_id, xcomp_verb from c where xcomp_verb is not null",
+    "xcomp_helpers": CRAWL_SQL
     + f"select {_IDS}, id as token_id, xcomp_helper_lemma, xcomp_helper_token from c where xcomp_verb is not null and verb_id = id and xcomp_helper_lemma is not null",
     "entity_consolidate": _NET + f"select {_IDS}, id as token_id, entity_type, iob, entity_id, n as entity_name from e where entity <> ''",
     "entity_clean": _NET + "select entity_name, count(*) as n_tokens from e where entity <> '' group by entity_name",

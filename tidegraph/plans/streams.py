@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph import schemas as S
 from tidegraph.operators.crawl import sentences
+from tidegraph.plans.extraction import CRAWL_SQL
 from tidegraph.session import scratch, table
 from tidegraph.streaming.events import crawl_stream, read_stream, run_once, windowed_counts
 
@@ -31,4 +32,5 @@ ORACLE = {
     "stream_edge_counts": """
 select strftime(make_timestamp((epoch_us(loaded_at) // 2592000000000) * 2592000000000), '%Y-%m-%d') as window_start, head_verb_lemma, count(*) as n
 from edgelist where loaded_at is not null group by all""",
+    "stream_crawl": CRAWL_SQL + "select file_id, doc_id, sentence_id, id as token_id, role, verb_id from c",
 }

@@ -80,5 +80,6 @@ def build_lexicon(files: DataFrame) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, folder: str, most: int = 60, encoding: str = "ISO-8859-1") -> DataFrame:
     """(word) of word-list files whose ending is a number of at most ``most``."""
-    lines = spark.read.option("encoding", encoding).text(folder).select("value", F.try_to_number(F.regexp_extract(F.input_file_name(), r"\.(\d+)$", 1), F.lit("999")).alias("size"))
+    files = spark.read.format("binaryFile").load(folder)  # the text source reads UTF-8 only
+    lines = files.select(F.explode(F.split(F.decode("content", encoding), r"\r?\n")).alias("value"), F.try_to_number(F.regexp_extract("path", r"\.(\d+)$", 1), F.lit("999")).alias("size"))
     return lines.where((F.col("size") <= most) & (F.trim("value") != "")).select(F.trim("value").alias("word")).distinct()
