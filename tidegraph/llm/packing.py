@@ -2,9 +2,9 @@
 
 Items are spread over shards of a bounded number of tokens. Each shard has a BM25 inverted index of
 its items' tokens. The largest unused item seeds a container; the index returns its unused
-neighbours, best first, and the container's window is filled from them. Among the fillings that
-leave the least space, the one of the best-placed neighbours is taken (reachable sums in order of
-rank). What space is then left goes to the largest unused items that fit, whatever their words.
+neighbours, best first, and the container's window is filled from them: of the fillings that leave
+the least space, one of the fewest items, so that small items stay for later gaps. What space is
+then left goes to the largest unused items that fit, whatever their words.
 
 A shard is what one task holds: its size doesn't grow with the data. Every item is packed; each
 shard ends with at most a few containers that aren't full.
@@ -60,27 +60,25 @@ class Index:
 
 
 def fill(sizes: list[int], space: int) -> list[int]:
-    """Which items, in order of preference, fill ``space`` best: the greatest sum, made of the
-    earliest items that reach it."""
-    by = np.full(space + 1, -1)
-    reached = np.zeros(space + 1, bool)
-    reached[0] = True
+    """Which items, given in order of preference, fill ``space`` best: the greatest sum, of the fewest
+    items, so that small ones stay for small gaps; of equals those of higher preference."""
+    most = len(sizes) + 1
+    count = np.full(space + 1, most)
+    count[0] = 0
+    taken = np.zeros((len(sizes), space + 1), bool)
     for i, s in enumerate(sizes):
         if s > space:
             continue
-        new = np.zeros(space + 1, bool)
-        new[s:] = reached[: space + 1 - s]
-        new &= ~reached
-        by[new] = i
-        reached |= new
-        if reached[space]:
-            break
-    total = int(np.flatnonzero(reached)[-1])
+        better = count[: space + 1 - s] + 1 < count[s:]
+        taken[i, s:] = better
+        count[s:] = np.where(better, count[: space + 1 - s] + 1, count[s:])
+    total = int(np.flatnonzero(count < most)[-1])
     out = []
-    while total:
-        out.append(int(by[total]))
-        total -= sizes[out[-1]]
-    return out
+    for i in range(len(sizes) - 1, -1, -1):
+        if taken[i, total]:
+            out.append(i)
+            total -= sizes[i]
+    return out[::-1]
 
 
 def pack(sizes: np.ndarray, index: Index, capacity: int) -> np.ndarray:
