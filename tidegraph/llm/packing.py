@@ -4,7 +4,8 @@ Items are spread over shards of a bounded number of tokens. Each shard has a BM2
 its items' tokens. The largest unused item seeds a container; the index returns its unused
 neighbours, best first, and the container's window is filled from them: of the fillings that leave
 the least space, one of the fewest items, so that small items stay for later gaps. What space is
-then left goes to the largest unused items that fit, whatever their words.
+then left goes to the largest unused items that fit, whatever their words. A shard that would take
+more containers than best fit over sizes alone is packed by best fit.
 
 A shard is what one task holds: its size doesn't grow with the data. Every item is packed; each
 shard ends with at most a few containers that aren't full.
@@ -12,6 +13,8 @@ shard ends with at most a few containers that aren't full.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +131,24 @@ def pack(sizes: np.ndarray, index: Index, capacity: int) -> np.ndarray:
     return container
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item by best fit, largest first, whatever the words."""
+    container = np.empty(len(sizes), np.int64)
+    spaces: list[tuple[int, int]] = []  # (space left, container), ascending
+    n = 0
+    for i in np.lexsort((np.arange(len(sizes)), -sizes)):
+        size = int(sizes[i])
+        at = bisect_left(spaces, (size, -1))
+        if at < len(spaces):
+            space, c = spaces.pop(at)
+        else:
+            space, c, n = capacity, n, n + 1
+        container[i] = c
+        if space > size:
+            insort(spaces, (space - size, c))
+    return container
+
+
 def pack_shard(keys: pa.Array, ids: pa.ListArray, capacity: int) -> dict[str, np.ndarray]:
     """Rows (row of the shard, part, start, size, container) of a shard's texts."""
     ends = ids.offsets.to_numpy().astype(np.int64)
@@ -141,6 +162,9 @@ def pack_shard(keys: pa.Array, ids: pa.ListArray, capacity: int) -> dict[str, np
     item = np.repeat(np.arange(len(row)), size)
     at = np.repeat(ends[row] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     container = pack(size, Index(item, tokens[at], size), capacity)
+    plain = best_fit(size, capacity)
+    if len(size) and plain.max() < container.max():  # the neighbours' words have cost containers
+        container = plain
     return {"row": row, "part": part, "start": start, "size": size, "container": container}
 
 
