@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.session import table
+from tidegraph.session import cut, table
 
 #: Where the vocabulary files are.
 TOKENIZERS = os.environ.get("TIDEGRAPH_TOKENIZERS", "/opt/tokenizers")
@@ -191,7 +191,8 @@ def encode(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k") ->
     split = placed.select(
         "__key", "__shard", F.regexp_extract_all(F.coalesce("__text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("__words")
     )
-    per_shard = split.select("__shard", F.explode("__words").alias("__word")).distinct()
+    # Read twice, so written once: the words of the corpus' shards are far fewer than its occurrences.
+    per_shard = cut(split.select("__shard", F.explode("__words").alias("__word")).distinct())
     distinct = per_shard.select("__word").distinct()
     long = F.octet_length("__word") > LONG
     encoded = (
