@@ -54,12 +54,11 @@ class Index:
     def scores(self, item: int) -> np.ndarray:
         """The score of every item for the words of ``item``."""
         terms = self.terms[self.first[item] : self.first[item + 1]]
-        a, b = self.begin[terms], self.begin[terms + 1]
-        ends = np.cumsum(b - a)
-        if not len(ends) or ends[-1] == 0:
+        spans = list(zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True))
+        if not spans:
             return np.zeros(self.n)
-        at = np.repeat(a - np.r_[0, ends[:-1]], b - a) + np.arange(ends[-1])
-        return np.bincount(self.posting[at], self.weight[at], self.n)
+        found = np.concatenate([self.posting[a:b] for a, b in spans])
+        return np.bincount(found, np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
 
 
 def fill(sizes: list[int], space: int) -> list[int]:
