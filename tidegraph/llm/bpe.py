@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegraph.session import cut, table
 
@@ -143,12 +144,11 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _long_words(word: Column, name: str) -> Column:
-    path = os.path.join(TOKENIZERS, f"{name}.tiktoken")
+def _long_words(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The same for longer words. The ranks travel with the function: executors need no files."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(words: pd.Series) -> pd.Series:
-        ranks = read_ranks(path)
         return words.map(lambda w: merge_long(w.encode(), ranks))
 
     return run(word)
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k") ->
     encoded = (
         distinct.where(~long)
         .select("__word", merge_words(F.col("__word"), ranks).alias("__ids"))
-        .unionByName(distinct.where(long).select("__word", _long_words(F.col("__word"), name).alias("__ids")))
+        .unionByName(distinct.where(long).select("__word", _long_words(F.col("__word"), ranks).alias("__ids")))
     )
     words = per_shard.join(encoded, "__word").select(F.col("__shard").alias("__of"), "__word", "__ids")
     kind = dict(docs.dtypes)[key]
