@@ -130,7 +130,7 @@ def brute(rows):
 
 def test_hierarchies_against_climbing(spark):
     rng, rows, want = random.Random(3), [], {}
-    for g in [*range(60), None]:
+    for g in [*range(30), None]:
         n = rng.randint(1, 30)
         rs = [(i, rng.choice([None, 0, 99]) if rng.random() < 0.1 else rng.randint(1, n), False) for i in range(1, n + 1)]
         rs = [(i, i if rng.random() < 0.15 else up, rng.random() < 0.5) for i, up, _ in rs]
@@ -139,10 +139,16 @@ def test_hierarchies_against_climbing(spark):
         want |= {(g, i): v for i, v in brute(rs).items()}
     rows += [(1, None, 1, False, "x")]
     df = spark.createDataFrame(rows, "g int, id int, up int, root boolean, kind string")
-    got = hierarchies(df, ["g"], "id", "up", F.col("root")).collect()
+    for large_rows in (10**6, 12):  # all in blocks, some groups by joins, all by joins
+        check_all(df, large_rows, want)
+    assert hierarchies(df.limit(0), ["g"], "id", "up", F.col("root")).count() == 0
+
+
+def check_all(df, large_rows, want):
+    got = hierarchies(df, ["g"], "id", "up", F.col("root"), large_rows=large_rows).collect()
+    assert len(got) == len(want)
     assert {(r.g, r.id): (r.kind, r.depth, r.top, r.path, sorted(r.descendants)) for r in got} == want
     assert all(r.n_below == len(r.descendants) for r in got)
-    assert hierarchies(df.limit(0), ["g"], "id", "up", F.col("root")).count() == 0
 
 
 def test_a_long_chain_and_batches_that_cut_groups(spark):
@@ -150,6 +156,8 @@ def test_a_long_chain_and_batches_that_cut_groups(spark):
     try:
         df = spark.range(1, 3001).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("id"), (F.col("id") - 1).cast("int").alias("up"), (F.col("id") == 1).alias("root"))
         got = hierarchies(df, ["g"], "id", "up", F.col("root"), False)
+        short = df.where("id <= 150")
+        assert hierarchies(short, ["g"], "id", "up", F.col("root"), True, 100).where("size(path) = depth + 1 and n_below = 150 - id").count() == 150
         assert got.agg(F.max("depth")).first()[0] == 2999 and got.where("kind = 'ok'").count() == 2999
         many = spark.range(500).select((F.col("id") / 3).cast("int").alias("g"), (F.col("id") % 3 + 1).cast("int").alias("id"), F.lit(1).alias("up"), (F.col("id") % 3 == 0).alias("root"))
         assert hierarchies(many, ["g"], "id", "up", F.col("root")).where("size(path) <> depth + 1 or kind not in ('root', 'ok')").count() == 0

@@ -11,11 +11,13 @@ A group's rows name their parents by id. Per block of groups, on whole arrays:
    the rows whose intervals enclose its own, read off level by level.
 
 Groups never cross blocks, and a task holds one block at a time: those groups that complete within
-an Arrow batch, and what is left of the last one. Only a single group's rows must fit a task.
+an Arrow batch, and what is left of the last one. Groups of more rows than a task should hold go
+another way, with the same result: pointer doubling by joins, where no task ever holds a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.session import cut, hint_small
+
+#: Rows of a group from which it is solved by joins.
+LARGE_ROWS, LARGE_GROUPS = 1_000_000, 100_000
 KINDS = np.array(["root", "self", "cycle", "orphan", "ok", "below"], dtype=object)
 ROOT, SELF, CYCLE, ORPHAN, OK, BELOW = range(6)
 
@@ -131,7 +137,9 @@ def lists(got: dict[str, np.ndarray], ident: np.ndarray) -> tuple[pa.ListArray,
     return paths, descendants
 
 
-def hierarchies(df: DataFrame, group: list[str], ident: str, parent: str, is_root: Column, with_lists: bool = True) -> DataFrame:
+def hierarchies(
+    df: DataFrame, group: list[str], ident: str, parent: str, is_root: Column, with_lists: bool = True, large_rows: int = LARGE_ROWS
+) -> DataFrame:
     """For each row: kind, depth, top, n_below, and with ``with_lists`` path and descendants.
 
     kind is ``root`` or ``ok`` for rows that reach a root; else ``self`` (its own parent but no
@@ -151,6 +159,16 @@ def hierarchies(df: DataFrame, group: list[str], ident: str, parent: str, is_roo
         F.coalesce(is_root, F.lit(False)).alias("__root"),
     ).where(F.col("__id").isNotNull())
     g = list(names.values())
+    # Large groups are few: at most rows / large_rows, so the list of them is small.
+    large = base.groupBy(*g).agg(F.count("*").alias("n")).where(F.col("n") > large_rows)
+    sizes = large.agg(F.count("*").alias("groups"), F.max("n").alias("n")).first()
+    if sizes.groups:
+        large = hint_small(cut(large), LARGE_GROUPS, sizes.groups)
+        same = _same(base, large, g)
+        found = _by_joins(base.join(large, same, "left_semi"), g, sizes.n, with_lists)
+        lists_ = ["path", "descendants"] * with_lists
+        found = found.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__id").cast("int").alias(ident), "kind", "depth", "top", "n_below", *lists_)
+        base = base.join(large, same, "left_anti")
     # Partitioned by group, so the sort finds repeats next to each other; no second shuffle.
     placed = base.repartition(*g).sortWithinPartitions(*g, "__id", F.col("__up").asc_nulls_last(), F.desc("__root"))
     types = dict(base.dtypes)
@@ -209,7 +227,70 @@ def hierarchies(df: DataFrame, group: list[str], ident: str, parent: str, is_roo
         if held:
             yield block(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, schema)
+    blocks = placed.mapInArrow(run, schema)
+    return blocks.unionByName(found) if sizes.groups else blocks
+
+
+def _same(a: DataFrame, b: DataFrame, g: list[str]) -> Column:
+    out = F.lit(True)
+    for c in g:
+        out = out & F.equal_null(a[c], b[c])
+    return out
+
+
+def _by_joins(base: DataFrame, g: list[str], most: int, with_lists: bool) -> DataFrame:
+    """The same columns by pointer doubling: every round joins each row with what its pointer points
+    to, so that after k rounds it has seen 2^k rows above it. Rows are spread by group and id."""
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in g])  # one column to join by; groups are few
+    first = base.groupBy(key.alias("k"), "__id").agg(
+        F.min(F.struct(F.col("__up").isNull(), "__up", (~F.col("__root")).alias("no"))).alias("x"), *[F.first(c).alias(c) for c in g]
+    )
+    rows = first.select("k", "__id", *g, F.col("x.__up").alias("up"), (~F.col("x.no")).alias("root"))
+    there = rows.select("k", F.col("__id").alias("up"), F.lit(True).alias("there"))
+    rows = cut(
+        rows.join(there, ["k", "up"], "left").select(
+            "k", "__id", *g, "up",
+            F.when(F.col("root"), "root").when(F.col("there").isNull(), "orphan").when(F.col("up") == F.col("__id"), "self").alias("own"),
+        )
+    )
+    # Rows that lead to no end are on cycles or below them; where they are after more steps than there are rows is on one.
+    walk = rows.select("k", "__id", F.when(F.col("own").isNull(), F.col("up")).otherwise(F.col("__id")).alias("to"))
+    for _ in range(math.ceil(math.log2(most + 1))):
+        walk = cut(walk.join(walk.select("k", F.col("__id").alias("to"), F.col("to").alias("next")), ["k", "to"]).select("k", "__id", F.col("next").alias("to")))
+    ends = rows.where(F.col("own").isNotNull()).select("k", F.col("__id").alias("to"))
+    cycle = walk.join(ends, ["k", "to"], "left_anti").select("k", F.col("to").alias("__id"), F.lit(True).alias("cycle")).distinct()
+    rows = cut(
+        rows.join(cycle, ["k", "__id"], "left").select("k", "__id", *g, "up", F.coalesce("own", F.when(F.col("cycle"), "cycle")).alias("own"))
+    )
+    # Now every chain ends. steps: how far ``to`` is above the row; n: rows at most that far below it.
+    state = rows.select(
+        "k", "__id", F.when(F.col("own").isNull(), F.col("up")).otherwise(F.col("__id")).alias("to"), F.col("own").isNull().cast("int").alias("steps"),
+        F.lit(1).cast("long").alias("n"), *[F.when(F.col("own").isNull(), F.array("__id")).otherwise(F.array().cast("array<bigint>")).alias("seg")] * with_lists,
+    )
+    reach = 1
+    while not state.where(F.col("steps") == reach).isEmpty():
+        below = state.where(F.col("steps") == reach).groupBy("k", F.col("to").alias("__id")).agg(F.sum("n").alias("more"))
+        ahead = state.select("k", F.col("__id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("s2"), *[F.col("seg").alias("seg2")] * with_lists)
+        state = cut(
+            state.join(ahead, ["k", "to"]).join(below, ["k", "__id"], "left").select(
+                "k", "__id", F.col("next").alias("to"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
+                *[F.concat("seg2", "seg").alias("seg")] * with_lists,
+            )
+        )
+        reach *= 2
+    tops = rows.select("k", F.col("__id").alias("to"), F.col("own").alias("end"))
+    out = state.join(tops, ["k", "to"]).join(rows.drop("up"), ["k", "__id"]).select(
+        "k", "__id", *g,
+        F.coalesce("own", F.when(F.col("end") == "root", "ok").otherwise("below")).alias("kind"),
+        F.col("steps").alias("depth"), F.col("to").cast("int").alias("top"), (F.col("n") - 1).cast("int").alias("n_below"),
+        *[F.concat(F.array("to"), "seg").cast("array<int>").alias("path")] * with_lists,
+    )
+    if not with_lists:
+        return out
+    out = cut(out)
+    above = out.select("k", F.col("__id").alias("d"), F.explode(F.slice("path", 1, F.col("depth"))).alias("a"))
+    lists_ = above.groupBy("k", F.col("a").cast("long").alias("__id")).agg(F.sort_array(F.collect_list(F.col("d").cast("int"))).alias("descendants"))
+    return out.join(lists_, ["k", "__id"], "left").withColumn("descendants", F.coalesce("descendants", F.array().cast("array<int>")))
 
 
 def _continues(a: pa.RecordBatch, b: pa.RecordBatch, columns: list[str]) -> bool:
