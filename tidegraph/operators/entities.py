@@ -163,12 +163,12 @@ def custom_entities(tokens: DataFrame, terms: dict[str, Sequence[str]], concaten
 def filter_sentences(tokens: DataFrame, words: DataFrame, percent_threshold: float = 40, case_sensitive: bool = False) -> DataFrame:
     """The tokens of sentences of which at least that share of tokens is in the one-column word list.
 
-    The list is a dictionary; it is broadcast if it is small enough, else joined by shuffle.
+    The list is a dictionary; the adaptive planner broadcasts it if it turns out small.
     """
     w = words.toDF("__w").where(F.col("__w").isNotNull())
     w = (w if case_sensitive else w.select(F.lower("__w").alias("__w"))).distinct().withColumn("__hit", F.lit(1))
     key = F.col("token") if case_sensitive else F.lower("token")
-    hits = tokens.withColumn("__w", key).join(hint_small(w, SMALL_RULES), "__w", "left")
+    hits = tokens.withColumn("__w", key).join(w, "__w", "left")
     share = hits.groupBy(*S.SENTENCE).agg(F.avg(F.coalesce("__hit", F.lit(0))).alias("share")).where(F.col("share") >= percent_threshold / 100)
     return tokens.join(share.select(*S.SENTENCE), list(S.SENTENCE), "left_semi")
 
@@ -178,7 +178,7 @@ def language_share(tokens: DataFrame, words: DataFrame) -> DataFrame:
     the file is hardly in the list's language."""
     w = words.toDF("__w").select(F.lower("__w").alias("__w")).distinct().withColumn("__hit", F.lit(1))
     t = tokens.where(F.col("token").rlike("[A-Za-z]")).select("file_id", F.lower("token").alias("__w"))
-    return t.join(hint_small(w, SMALL_RULES), "__w", "left").groupBy("file_id").agg(F.avg(F.coalesce("__hit", F.lit(0))).alias("share"))
+    return t.join(w, "__w", "left").groupBy("file_id").agg(F.avg(F.coalesce("__hit", F.lit(0))).alias("share"))
 
 
 def suggest_single(tokens: DataFrame) -> DataFrame:

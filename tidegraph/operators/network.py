@@ -12,14 +12,15 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.session import cut
+from tidegraph.session import cut, hint_small
 
 G = "graph_id"
 #: Graphs with more pairs are split into communities by label propagation over joins.
 LOUVAIN_PAIRS, PROPAGATION_ROUNDS = 1_000_000, 12
+#: Graphs up to which a row per graph is broadcast.
+SMALL_GRAPHS = 200_000
 FORMATS = ("igraph", "network")
 
 
@@ -354,9 +355,13 @@ def combine(vertices: DataFrame, edges: DataFrame, mode: str) -> tuple[DataFrame
 
 
 def _shares(counts: DataFrame, key: str, n_graphs: Column) -> DataFrame:
-    total = W.partitionBy(G)
-    share = F.coalesce(F.try_divide(F.col("n"), F.sum("n").over(total)), F.lit(0.0))  # a graph without edges has no shares
-    return counts.select(key, share.alias("share")).groupBy(key).agg((F.sum("share") / n_graphs).alias("avg_share"))
+    """Each key's share of its graph's counts, averaged. A graph's total is a partial aggregate and
+    comes back by join, so a graph of very many rows isn't one task's."""
+    counts = cut(counts)
+    totals = counts.groupBy(G).agg(F.sum("n").alias("total"))
+    share = F.coalesce(F.try_divide(F.col("n"), F.col("total")), F.lit(0.0))  # a graph without edges has no shares
+    shares = counts.join(hint_small(totals, SMALL_GRAPHS), G).select(key, share.alias("share"))
+    return shares.groupBy(key).agg((F.sum("share") / n_graphs).alias("avg_share"))
 
 
 def top_entities(g: Graph) -> DataFrame:
