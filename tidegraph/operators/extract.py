@@ -144,6 +144,7 @@ def edges_of(
     their one-sided ones. Ends are joined per verb on the shuffle key of the sentence, so the pairs are
     bounded by what one sentence holds.
     """
+    flagged = cut(flagged)  # four branches read it: own ends, parents' sources, unsourced verbs, verb attributes
     ends = adopt_sources(flagged, adoption).where((F.col("entity_name") != "") & F.col("entity_type").isin(*keep))
     sources = ends.where(F.col("role") == "source").select(*VERB_KEY, F.col("entity_name").alias("source")).distinct()
     targets = ends.where(F.col("role") == "target").select(*VERB_KEY, F.col("entity_name").alias("target")).distinct()

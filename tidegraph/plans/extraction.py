@@ -62,7 +62,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_source_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = X.adopt_sources(_flagged(spark, sf_dir))
+    a = X.adopt_sources(cut(_flagged(spark, sf_dir)))
     a = a.where((F.col("entity_name") != "") & F.col("entity_type").isin(*KEEP) & (F.col("role") == "source"))
     return a.select(*S.SENTENCE, "verb_id", "entity_name").distinct()
 
