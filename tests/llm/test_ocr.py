@@ -47,6 +47,19 @@ def test_repair(spark):
     assert "Marlow" not in text and "p. 3" not in text and "~" not in text and "\n" not in text.strip().split("  ")[0][:60]
 
 
+def test_splits_merges_and_first_words(spark):
+    """A stray blank, a lost line-end hyphen, two words run together, one of them misread, and a misreading that begins a page."""
+    rows, want = corpus()
+    lines = ["rnonitoring of the plan.", "the manage ment of the basin.", "the waterlevel of the plan.", "the plan of the ground", "water was measured.", "the agency measu", "red the basin.", "the rnanage ment of it.", "the basinmodcl of it.", "the moni-", "tormg of it."]
+    rows.append((2000, "clean_0", 50, "the ground of the plan.\nthe ground of the basin.", "x"))
+    rows.append((1050, "scan_marlow_ridge", 50, "\n".join(lines), "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    extra = {(1050, n, "ocr") for n in (1, 2, 3, 6, 8, 9, 11)} | {(1050, 10, "hyphen")}
+    assert {tuple(r) for r in O.noise(df).collect()} == want | extra
+    text = " ".join(r.paragraph for r in O.repair(df).where("page_key = 1050").orderBy("paragraph_no").collect())
+    assert text == "monitoring of the plan. the management of the basin. the water level of the plan. the plan of the ground water was measured. the agency measured the basin. the management of it. the basin model of it. the monitoring of it."
+
+
 def test_strokes_bring_confusions_together():
     for a, b in [("rnodel", "model"), ("rcdiice", "reduce"), ("bounclary", "boundary"), ("recurrmg", "recurring"), ("smce", "since"), ("Coahtion", "coalition"), ("armually", "annually"), ("he~adgate", "headgate"), ("ſiscal", "fiscal"), ("Coun†y", "county"), ("wäter", "water"), ("5teeper", "steeper"), ("be|ow", "below")]:
         assert O.strokes(a) == O.strokes(b)

@@ -10,9 +10,10 @@ The corpus itself says what is noise; nothing is listed but the shapes that scan
    confusions of a word meet in one group and no candidates need to be listed.
    A rare form is a misreading if its group has a far more frequent one and files that weren't
    scanned don't bear it out.
-3. Each page, with lines and heads taken away, is a stream of characters. A lattice of its
-   segments (as it stands, with the confusion undone, two segments merged over a hyphen or without, one
-   split at a foreign mark) is decoded by least cost; paragraph boundaries are chosen by dynamic
+3. Each page, with lines and heads taken away, is one stream of words. A lattice of its
+   segments (as it stands, with the confusion undone, up to three merged over stray blanks, line ends
+   and hyphens, one split where two words ran together, merges and splits with the confusion undone
+   too) is decoded by least cost; paragraph boundaries are chosen by dynamic
    programming over the lines. What a page needs of the vocabulary reaches it by joins on the
    words it holds, so the vocabulary may be of any size.
 """
@@ -24,6 +25,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +41,10 @@ EDGE, HEAD_PAGES, HEAD_SHARE, HEAD_FILES = 3, 2, 0.02, 3
 RARE_SHARE, LEAST_COUNT = 0.12, 3
 #: In files without traces of scanning, a form this frequent, against scanned ones, is no misreading.
 CLEAN_SHARE = 0.1
+#: Costs of a damage in the lattice, against the logarithm of how much more frequent the repaired form is.
+CONFUSED, STRAY, RUN_ON, HYPHEN = 1.0, 1.0, 1.0, 1.0
+#: Most segments that are merged; least letters of a merged word and of one that is split; most letters of either.
+MERGED, LEAST_LETTERS, MOST_LETTERS = 3, 5, 30
 SMALL_ROWS = 300_000
 
 #: Letters and signs as strokes. What scanners confuse has the same strokes.
@@ -58,6 +64,7 @@ _TRACE = re.compile(r"[^\W\d_][¢†ſ|^`~]|[¢†ſ|^`~][^\W\d_]|[^\W\d_][‐
 _NUMBER = re.compile(r"[$€£]?(?:\d{1,3}(?:,\d{3})+|[1-9]\d*|0)(?:\.\d+)?%?")
 #: Signs that may stand around a word.
 _AROUND = "\"'([{“‘«¿¡)]}”’»,;:!?."
+_LETTERS = re.compile(r"[^\W\d_¢†|^`~]+(?:[¢†|^`~][^\W\d_]*)*")
 _DASHES = re.compile(r"[-/—–]")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 
@@ -184,12 +191,12 @@ def first_word(line: str) -> str:
     return re.split(r"[-/—–]", ws[0].strip(_AROUND))[0] if ws else ""
 
 
-def countable(lines: list[str], at: list[int]) -> Iterator[tuple[str, bool]]:
-    """(word or compound, is compound) of a page, without what page and line ends may have cut."""
-    after_break = True
+def countable(lines: list[str], at: list[int], lead: bool = False) -> Iterator[tuple[str, bool]]:
+    """(word or compound, is compound) of a page, without what hyphens cut at line ends. lead: the page before ends in one."""
+    after_break = lead
     for n, i in enumerate(at):
         ws = split_words(lines[i])
-        cut_end = broken(lines[i]) is not None or n + 1 == len(at)
+        cut_end = broken(lines[i]) is not None
         ws = ws[1 if after_break and ws else 0 : len(ws) - 1 if cut_end else len(ws)]
         for w in ws:
             yield w.lower(), False
@@ -198,23 +205,115 @@ def countable(lines: list[str], at: list[int]) -> Iterator[tuple[str, bool]]:
         after_break = broken(lines[i]) is not None
 
 
-def decode(lines: list[str], skip: set[int], follow: str, facts: dict[str, tuple[int, str | None]], scanned: bool, mend: bool = True) -> tuple[list[tuple[int, str]], list[list[str]]]:
+class Piece(NamedTuple):
+    """A word of the page's stream: its line and place there, and what parts it from the one before:
+    "b" a blank, "l" a line end, "h" a hyphen at a line end, else "" (a sign, a wide gap, a blank line)."""
+
+    line: int
+    start: int
+    end: int
+    core: str
+    gap: str
+
+
+def pieces(lines: list[str], at: list[int]) -> list[Piece]:
+    """The words of a page as one stream, those of ``split_words``."""
+    out: list[Piece] = []
+    for n, i in enumerate(at):
+        gap = "" if not n else "h" if broken(lines[at[n - 1]]) else "l" if at[n - 1] == i - 1 and out and gap_open else ""
+        line = lines[i].rstrip()
+        line = line[:-1] if broken(line) else line
+        gap_open, last = False, None
+        for m in re.finditer(r"\S+", line):
+            if last is not None:
+                gap = "b" if gap_open and m.start() - last <= 2 else ""
+            for q in re.finditer(r"[^-/—–]+", m[0]) if not m[0].isalpha() else (re.match(r".+", m[0]),):
+                core = q[0].strip(_AROUND)
+                ok = bool(core) and len(core) <= 30 and any(c.isalnum() for c in core) and (core.isascii() or not _MATH.search(core))
+                if ok:
+                    start = m.start() + q.start() + q[0].index(core)
+                    before = start > m.start()
+                    out.append(Piece(i, start, start + len(core), core, gap if gap == "h" or not before else ""))
+                gap_open = ok and start + len(core) == m.end()
+                gap = ""
+            last = m.end()
+    return out
+
+
+def mergeable(ps: list[Piece], blanks_only: bool = False) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of segments that may be one word: of letters, and of two lines at most."""
+    for i in range(len(ps)):
+        size = len(ps[i].core)
+        for j in range(i + 1, min(len(ps), i + MERGED)):
+            size += len(ps[j].core)
+            if not ps[j].gap or size > MOST_LETTERS or ps[j].line != ps[i].line and ps[j - 1].line not in (ps[i].line, ps[j].line):
+                break
+            if not all(_LETTERS.fullmatch(p.core) for p in ps[i : j + 1]) or (blanks_only and any(p.gap == "h" for p in ps[i + 1 : j + 1])):
+                break
+            if len({p.line for p in ps[i : j + 1]}) > 2:
+                break
+            # A single hyphen between two halves is decided by join().
+            if size >= LEAST_LETTERS and not (j == i + 1 and ps[j].gap == "h"):
+                yield i, j + 1
+
+
+def merged_key(ps: list[Piece]) -> str:
+    return " ".join(p.core.lower() for p in ps)
+
+
+def is_half(ps: list[Piece], i: int, lead: bool) -> bool:
+    """Whether a hyphen at a line's or page's end cuts the segment off its word."""
+    return ps[i].gap == "h" or (i + 1 < len(ps) and ps[i + 1].gap == "h") or (i == 0 and lead)
+
+
+def segments(ps: list[Piece], facts: dict[str, tuple[int, str | None]], gains: dict[str, float], lead: bool, joins: dict[int, str | None]) -> list[tuple[int, int, str | None]]:
+    """The page's lattice decoded: (first, end, what it should be or None as it stands) of the arcs of
+    least cost. joins: places of the halves that ``join`` puts to the half before, with the word if it is misread."""
+    n = len(ps)
+    arcs: list[list[tuple[int, float, str | None]]] = [[(i + 1, 0.0, None)] for i in range(n)]
+    for i, p in enumerate(ps):
+        w = p.core.lower()
+        for k in (f"t:{w}",) if is_half(ps, i, lead) else (f"t:{w}", f"r:{w}"):
+            if (got := facts.get(k)) and got[1] is not None and not joins.get(i) and not joins.get(i + 1):
+                arcs[i].append((i + 1, -gains.get(k, CONFUSED), got[1]))
+        if i + 1 in joins:
+            arcs[i].append((i + 2, -HYPHEN - CONFUSED * bool(joins[i + 1]), joins[i + 1]))
+    for i, end in mergeable(ps):
+        k = f"m:{merged_key(ps[i:end])}"
+        if not (i == 0 and lead) and (got := facts.get(k)) and got[1] is not None:
+            arcs[i].append((end, -gains.get(k, 0.0), got[1]))
+    best: list[float] = [0.0] + [float("inf")] * n
+    came: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
+    for i in range(n):
+        for end, cost, right in arcs[i]:
+            if best[i] + cost < best[end]:
+                best[end], came[end] = best[i] + cost, (i, right)
+    out, end = [], n
+    while end:
+        i, right = came[end]
+        out.append((i, end, right))
+        end = i
+    return out[::-1]
+
+
+def decode(
+    lines: list[str], skip: set[int], follow: str, facts: dict[str, tuple[int, str | None]], scanned: bool, mend: bool = True, lead: bool = False, gains: dict[str, float] | None = None
+) -> tuple[list[tuple[int, str]], list[list[str]]]:
     """One page: (line number, kind) of its broken and misread lines, and its lines repaired, each as
     (text, joined to the next), empty unless ``mend``. facts: "t:word" and "h:compound" -> count, with a misreading's
-    original; "s:strokes" -> count and word of the most frequent of a group."""
+    original; "r:word" -> the words that ran together; "m:words" -> the word they are parts of; "s:strokes" -> count and word
+    of the most frequent of a group. gains: of the repairs, how much likelier they are than the text as it stands."""
     at = content_lines(lines, skip)
-    wrong = {k[2:] for k, f in facts.items() if f[1] is not None and k.startswith("t:")}
     found: set[tuple[int, str]] = set()
-    out: list[list[str]] = []
-    carry = ""  # the first half of a word broken on the line before
+    hows: dict[int, str] = {}
+    joined: dict[int, str | None] = {}  # by the line after the hyphen
     for n, i in enumerate(at):
-        line = lines[i].rstrip("\r")
-        b = broken(line)
-        nxt = first_word(lines[at[n + 1]]) if n + 1 < len(at) else follow
-        joined_next = False
-        if b:
-            left, sign = b
-            joined_next, noise, where = join(left, sign, nxt, facts, scanned)
+        if b := broken(lines[i]):
+            nxt = first_word(lines[at[n + 1]]) if n + 1 < len(at) else follow
+            joined_next, noise, where = join(*b, nxt, facts, scanned)
+            hows[i] = "join" if joined_next else "hyphen"
+            if n + 1 < len(at) and joined_next:
+                joined[at[n + 1]] = facts[f"s:{strokes(b[0].lower() + nxt.lower())}"][1] if where else None
             if noise:
                 found.add((i + 1, "hyphen"))
             if scanned and where:
@@ -222,15 +321,33 @@ def decode(lines: list[str], skip: set[int], follow: str, facts: dict[str, tuple
                     found.add((i + 1, "ocr"))
                 if "r" in where and n + 1 < len(at):
                     found.add((at[n + 1] + 1, "ocr"))
-        if scanned and wrong:
-            ws = split_words(line)
-            lo = 1 if (n == 0 and ws and ws[0][:1].islower()) or carry else 0
-            hi = len(ws) - 1 if b or (n + 1 == len(at) and follow and False) else len(ws)
-            if wrong and any(w.lower() in wrong for w in ws[lo:hi]):
-                found.add((i + 1, "ocr"))
-        if mend:
-            out.append([repaired(line, facts) if scanned else line, "join" if joined_next else "hyphen" if b else ""])
-        carry = b[0] if b else ""
+    changes: dict[int, list[tuple[int, int, str]]] = {}
+    if scanned:
+        ps = pieces(lines, at)
+        halves = {j: joined[p.line] for j, p in enumerate(ps) if p.gap == "h" and j and p.line in joined}
+        for i, end, right in segments(ps, facts, gains or {}, lead, halves):
+            if right is None:
+                continue
+            part = ps[i:end]
+            if end == i + 1 and not is_half(ps, i, lead):
+                found.add((part[0].line + 1, "ocr"))
+            for p, q in zip(part, part[1:], strict=False):
+                found.add((p.line + 1, "hyphen" if q.gap == "h" else "ocr"))
+            core = part[0].core
+            right = right.upper() if core.isupper() and len("".join(p.core for p in part)) > 1 and all(p.core.isupper() for p in part) else right[:1].upper() + right[1:] if core[:1].isupper() else right
+            first = [p for p in part if p.line == part[0].line]
+            rest = part[len(first) :]
+            at_cut = min(len(right) - 1, sum(len(p.core) for p in first)) if rest else len(right)
+            changes.setdefault(first[0].line, []).append((first[0].start, first[-1].end, right[:at_cut]))
+            if rest:
+                changes.setdefault(rest[0].line, []).append((rest[0].start, rest[-1].end, right[at_cut:]))
+                hows[first[0].line] = "join"
+    out: list[list[str]] = []
+    for i in at if mend else ():
+        line = lines[i].rstrip("\r")
+        for start, end, right in sorted(changes.get(i, ()), reverse=True):
+            line = line[:start] + right + line[end:]
+        out.append([line, hows.get(i, "")])
     return sorted(found), out
 
 
@@ -260,12 +377,6 @@ def join(left: str, sign: str, right: str, facts: dict, scanned: bool) -> tuple[
     return noise, noise, ""
 
 
-def misread(w: str, facts: dict) -> str | None:
-    """What the word should be, if it is a misreading."""
-    got = facts.get(f"t:{w.lower()}")
-    return got[1] if got and got[1] is not None else None
-
-
 def number_misread(w: str) -> str | None:
     """The number that a word with digits and letters can stand for."""
     if not re.search(r"\d", w) or not re.search(r"[lIiOoSsZB|gqb]", w) or not re.fullmatch(r"[$]?[\dlIiOoSsZB|gqb.,%]+", w):
@@ -274,21 +385,6 @@ def number_misread(w: str) -> str | None:
     return d if _NUMBER.fullmatch(d) and d != w else None
 
 
-def repaired(line: str, facts: dict) -> str:
-    def fix(m: re.Match) -> str:
-        w = m[0]
-        parts = re.split(r"([-/—–])", w)
-        for k, p in enumerate(parts):
-            core = p.strip(_AROUND)
-            right = misread(core, facts) if core else None
-            if right is not None:
-                right = right.upper() if core.isupper() and len(core) > 1 else right.capitalize() if core[:1].isupper() else right
-                parts[k] = p.replace(core, right)
-        return "".join(parts)
-
-    return re.sub(r"\S+", fix, line)
-
-
 def paragraphs(lines: list[list[str]], blank_before: list[bool]) -> list[str]:
     """Repaired lines to paragraphs. Dynamic programming over the lines: a boundary costs little
     after a blank line, or a short line that ends a sentence, and much inside a sentence."""
@@ -423,17 +519,39 @@ def noise_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _count(row: dict) -> list[tuple]:
     lines = row["text"].split("\n")
-    seen = Counter(countable(lines, content_lines(lines, set(row["skip"] or ()))))
+    seen = Counter(countable(lines, content_lines(lines, set(row["skip"] or ())), bool(row["lead"])))
     s = bool(row["scanned"])
     return [(w, c, strokes(w) if not c else "", 0 if s else n, n if s else 0) for (w, c), n in seen.items()]
 
 
+def _runs(row: dict) -> list[tuple]:
+    """Adjacent words of a page: (words, how many, their strokes together if they may be parts of one word, else null, count)."""
+    lines = row["text"].split("\n")
+    ps = pieces(lines, content_lines(lines, set(row["skip"] or ())))
+    seen: Counter = Counter()
+    for a, b in zip(ps, ps[1:], strict=False):
+        if b.gap in ("b", "l") and _LETTERS.fullmatch(a.core) and _LETTERS.fullmatch(b.core):
+            seen[merged_key([a, b]), 2] += 1
+    asked = {(merged_key(ps[i:end]), end - i) for i, end in mergeable(ps)} if row["scanned"] else set()
+    for k in asked:
+        seen[k] += not seen[k]
+    return [(k, n, strokes(k.replace(" ", "")) if (k, n) in asked else None, c) for (k, n), c in seen.items()]
+
+
+def _halves(row: dict) -> list[tuple]:
+    """The ways to cut a word in two: (word, its count, halves, their strokes)."""
+    w = row["word"]
+    return [(w, row["n"], w[:k], w[k:], strokes(w[:k]), strokes(w[k:])) for k in range(1, len(w) - 1) if k > 1 or w[0] == "a"]
+
+
 def _asked(row: dict) -> list[tuple]:
     """What a page must know: its words, and for each broken word its halves, its whole and its strokes."""
     lines = row["text"].split("\n")
     at = content_lines(lines, set(row["skip"] or ()))
     words: set[str] = set()
     other: set[str] = set()
+    ps = pieces(lines, at) if row["scanned"] else []
+    parts = {f"m:{merged_key(ps[i:end])}" for i, end in mergeable(ps)}
     for n, i in enumerate(at):
         if row["scanned"]:
             words.update(w.lower() for w in split_words(lines[i]))
@@ -441,7 +559,7 @@ def _asked(row: dict) -> list[tuple]:
         if b:
             left, right = b[0].lower(), (first_word(lines[at[n + 1]]) if n + 1 < len(at) else row["follow"] or "").lower()
             other |= {f"q:{left}", f"q:{right}", f"q:{left}{right}", f"h:{left}-{right}", f"s:{strokes(left + right)}"}
-    return [(row["page_key"], [f"t:{w}" for w in sorted(words)], sorted(other))] if words or other else []
+    return [(row["page_key"], [*(f"t:{w}" for w in sorted(words)), *sorted(parts)], sorted(other))] if words or other else []
 
 
 def _head_word(row: dict) -> list[tuple]:
@@ -450,9 +568,15 @@ def _head_word(row: dict) -> list[tuple]:
     return [(row["file_id"], (row["page_no"] or 0) - 1, first_word(lines[at[0]]))] if at and row["page_no"] is not None else []
 
 
+def _tail_word(row: dict) -> list[tuple]:
+    lines = row["text"].split("\n")
+    at = content_lines(lines, set(row["skip"] or ()))
+    return [(row["file_id"], row["page_no"] + 1, True)] if at and row["page_no"] is not None and broken(lines[at[-1]]) else []
+
+
 def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with all that decoding needs: skip (heads and numbers), scanned, follow (the next page's
-    first word) and facts; and the lines of heads and page numbers."""
+    first word), lead (whether the page before ends in a broken word) and facts; and the lines of heads and page numbers."""
     pages = cut(
         pages.where(F.col("text_list").isNotNull())
         .select("page_key", "file_id", "page_no", F.col("text_list").alias("text"))
@@ -468,7 +592,8 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("p.*", F.coalesce("scanned", F.lit(False)).alias("scanned"))
     )
     nexts = _rows(_head_word, ["file_id", "page_no", "follow"], "file_id string, page_no int, follow string", known).groupBy("file_id", "page_no").agg(F.min("follow").alias("follow"))
-    known = cut(known.join(nexts, ["file_id", "page_no"], "left"))
+    leads = _rows(_tail_word, ["file_id", "page_no", "lead"], "file_id string, page_no int, lead boolean", known).distinct()
+    known = cut(known.join(nexts, ["file_id", "page_no"], "left").join(leads, ["file_id", "page_no"], "left"))
     words = cut(
         _rows(_count, ["word", "compound", "strokes", "clean", "scan"], "word string, compound boolean, strokes string, clean long, scan long", known)
         .groupBy("word", "compound", "strokes")
@@ -485,7 +610,7 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         singles.join(groups, "strokes")
         .where((F.col("word") != F.col("best")) & F.col("best").rlike(r"^[\p{L}'’.]+$") & F.col("word").rlike(r"[\p{L}¢†|]"))
         .where(((F.length("strokes") >= 3) | F.col("word").rlike(r"\d") | foreign_mark) & unborne & (F.col("n_best") >= LEAST_COUNT) & ((F.col("n") <= RARE_SHARE * F.col("n_best")) | (foreign_mark & (F.col("n") <= F.col("n_best")))))
-        .select(F.concat(F.lit("t:"), "word").alias("k"), "n", "best")
+        .select(F.concat(F.lit("t:"), "word").alias("k"), "n", "best", F.greatest(F.lit(0.5), F.log(F.col("n_best") / (F.col("n") + 1)) - CONFUSED).alias("gain"))
     )
     numbers = (
         singles.where(F.col("word").rlike(r"\d") & F.col("word").rlike(r"[lioszb|gq]"))
@@ -496,10 +621,70 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = (
         numbers.join(singles.select(F.col("word").alias("best"), F.col("n").alias("m")), "best", "left")
         .where(F.col("n") <= F.greatest(F.coalesce("m", F.lit(0)), F.lit(1)))
-        .select(F.concat(F.lit("t:"), "word").alias("k"), "n", "best")
+        .select(F.concat(F.lit("t:"), "word").alias("k"), "n", "best", F.lit(CONFUSED).alias("gain"))
+    )
+    runs = cut(
+        _rows(_runs, ["words", "size", "strokes", "m"], "words string, size int, strokes string, m long", known)
+        .groupBy("words", "size")
+        .agg(F.max("strokes").alias("strokes"), F.sum("m").alias("m"))
+    )
+    # Parts of one word: the whole is frequent, and a part by itself is rare against it and unborne.
+    whole = runs.where(F.col("strokes").isNotNull()).join(
+        groups.where(F.col("best").rlike(r"^\p{L}+$") & (F.length("best") >= LEAST_LETTERS) & (F.col("n_best") >= LEAST_COUNT)), "strokes"
+    ).where(F.col("m") <= RARE_SHARE * F.col("n_best"))
+    parts = (
+        whole.select("words", "m", "best", "n_best", F.explode(F.split("words", " ")).alias("word"))
+        .join(singles.select("word", "n", "clean", "scan"), "word", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .withColumn("odd", (F.col("n") <= RARE_SHARE * F.col("n_best")) & F.coalesce(unborne, F.lit(True)))
+        .groupBy("words", "m", "best", "n_best")
+        .agg(F.min(F.when(F.col("odd"), F.col("n"))).alias("n"))
+        .where(F.col("n").isNotNull())
+    )
+    same = F.col("best") == F.replace("words", F.lit(" "), F.lit(""))
+    parts = parts.select(
+        F.concat(F.lit("m:"), "words").alias("k"), "n", "best",
+        (F.log(F.col("n_best") / (F.col("n") + 1)) - STRAY - F.when(same, 0.0).otherwise(CONFUSED)).alias("gain"),
+    ).where("gain > 0")
+    # Words that ran together: rare and unborne, and both halves stand side by side elsewhere.
+    halves = cut(
+        _rows(
+            _halves,
+            ["word", "n", "a", "b", "sa", "sb"],
+            "word string, n long, a string, b string, sa string, sb string",
+            singles.where(unborne & (F.col("scan") > 0) & F.col("word").rlike(rf"^[\p{{L}}¢†|^`~]{{{LEAST_LETTERS},{MOST_LETTERS}}}$")).select("word", "n"),
+        )
+    )
+    pair = F.split("words", " ")
+    side = runs.where("size = 2").select(pair[0].alias("xa"), pair[1].alias("xb"), "m")
+    group = groups.where(F.col("best").rlike(r"^\p{L}+$"))
+    options = (
+        halves.select("word", "n", F.col("a").alias("xa"), F.col("b").alias("xb"), F.lit(0).alias("changed"))
+        .unionByName(
+            halves.join(group.select(F.col("strokes").alias("sa"), F.col("best").alias("xa")), "sa")
+            .join(group.select(F.col("strokes").alias("sb"), F.col("best").alias("xb")), "sb")
+            .select("word", "n", "xa", "xb", ((F.col("xa") != F.col("a")).cast("int") + (F.col("xb") != F.col("b")).cast("int")).alias("changed"))
+        )
+        .join(side, ["xa", "xb"])
+        .where(F.col("m") >= F.col("n"))
+    )
+    ran = (
+        options.join(singles.select(F.col("word").alias("xa"), F.col("n").alias("na")), "xa")
+        .join(singles.select(F.col("word").alias("xb"), F.col("n").alias("nb")), "xb")
+        .where((F.least("na", "nb") >= LEAST_COUNT) & (F.col("n") <= RARE_SHARE * F.least("na", "nb")))
+        .withColumn("gain", F.log(F.least("na", "nb") / (F.col("n") + 1)) - RUN_ON - CONFUSED * F.col("changed"))
+        .where("gain > 0")
+        .groupBy("word", "n")
+        .agg(F.max(F.struct("gain", "m", F.concat_ws(" ", "xa", "xb").alias("best"))).alias("x"))
+        .select(F.concat(F.lit("r:"), "word").alias("k"), "n", "x.best", "x.gain")
     )
     asked = cut(_rows(_asked, ["page_key", "words", "other"], "page_key long, words array<string>, other array<string>", known))
-    wrong = cut(bad.unionByName(numbers).groupBy("k").agg(F.max("n").alias("n"), F.min("best").alias("best")))
+    wrong = cut(
+        bad.unionByName(numbers).unionByName(parts).unionByName(ran)
+        .groupBy("k")
+        .agg(F.max("n").alias("n"), F.min("best").alias("best"), F.max("gain").alias("gain"))
+        .withColumn("ask", F.regexp_replace("k", "^r:", "t:"))
+    )
     nothing = F.lit(None).cast("string")
     other = cut(
         singles.select(F.concat(F.lit("q:"), "word").alias("k"), "n", nothing.alias("best"))
@@ -507,10 +692,10 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(groups.where(F.col("best").rlike(r"^\p{L}+$")).select(F.concat(F.lit("s:"), "strokes").alias("k"), F.col("n_best").alias("n"), "best"))
     )
     told = (
-        asked.select("page_key", F.explode("words").alias("k")).join(hint_small(wrong, SMALL_ROWS), "k")
-        .unionByName(asked.select("page_key", F.explode("other").alias("k")).join(other, "k"))
+        asked.select("page_key", F.explode("words").alias("ask")).join(hint_small(wrong, SMALL_ROWS), "ask").drop("ask")
+        .unionByName(asked.select("page_key", F.explode("other").alias("k")).join(other, "k").withColumn("gain", F.lit(None).cast("double")))
         .groupBy("page_key")
-        .agg(F.collect_list(F.struct("k", "n", "best")).alias("facts"))
+        .agg(F.collect_list(F.struct("k", "n", "best", "gain")).alias("facts"))
     )
     return known.join(told, "page_key", "left"), lines
 
@@ -531,14 +716,18 @@ def _facts(row: dict) -> dict[str, tuple[int, str | None]]:
     return out
 
 
+def _gains(row: dict) -> dict[str, float]:
+    return {f["k"]: f["gain"] for f in row["facts"] or () if f["gain"] is not None}
+
+
 def _noise(row: dict) -> list[tuple]:
-    found, _ = decode(row["text"].split("\n"), set(row["skip"] or ()), row["follow"] or "", _facts(row), bool(row["scanned"]), mend=False)
+    found, _ = decode(row["text"].split("\n"), set(row["skip"] or ()), row["follow"] or "", _facts(row), bool(row["scanned"]), mend=False, lead=bool(row["lead"]), gains=_gains(row))
     return [(row["page_key"], n, k) for n, k in found]
 
 
 def _clean(row: dict) -> list[tuple]:
     lines, skip = row["text"].split("\n"), set(row["skip"] or ())
-    _, out = decode(lines, skip, row["follow"] or "", _facts(row), bool(row["scanned"]))
+    _, out = decode(lines, skip, row["follow"] or "", _facts(row), bool(row["scanned"]), lead=bool(row["lead"]), gains=_gains(row))
     at = content_lines(lines, skip)
     blank = [False] + [any(not lines[j].strip() for j in range(a + 1, b)) for a, b in zip(at, at[1:], strict=False)]
     return [(row["page_key"], i + 1, p) for i, p in enumerate(paragraphs(out, blank))]
