@@ -43,6 +43,19 @@ def test_labels_run_through_near_copies(spark):
     assert {(r.k, r.reason) for r in R.residue(df, "k", "text").collect()} == {(2, "notice")}
 
 
+def test_pages_that_only_propagation_finds(spark):
+    """A notice with a sentence the grammar lacks, and a placeholder in a notation it lacks; not content, and not a filled letter."""
+    known = ["Please enable JavaScript to view this page.", "JavaScript is required.", "Unable to show your file at this time.", "Cookies must be enabled.", "The page you requested is gone from the archive of the county.",
+             "Please try again later with one of the modern programs that the help pages list.", "Please contact the help desk of the county library if the trouble stays.",
+             "Please return to the start of the library and look for the plan there by name.", "Please check the address of the plan for slips in the name of the basin."]
+    assert R.is_notice("\n".join(known)) and R.sentence_kind("Kindly use a browser with scripts.") == "content"
+    letter = lambda who: " ".join([*letter_lines[:4], f"We thank {who} for the report.", *letter_lines[4:]])
+    letter_lines = [f"The clerk of district {w} has put the map of parcel {w} on file." for w in "ab cd ef gh ij kl mn op".split()]
+    texts = ["\n".join(known), "\n".join([*known, "Kindly use a browser with scripts."]), "\n".join([*known, "Pumping rose to nine feet."]), letter("{{agency}}"), letter("~agency~"), letter("Marlow")]
+    got = R.residue(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", "text")
+    assert {(r.k, r.reason) for r in got.collect()} == {(0, "notice"), (1, "near"), (3, "marked"), (4, "near")}
+
+
 def R_normal(t):
     return " ".join(t.lower().split())
 

@@ -6,16 +6,19 @@
    sentences are an error message, a notice, its tail, or a site's menu and title.
 3. Representatives get a SimHash of its five-word shingles, and an entry in each of TABLES
    tables, keyed by a sample of its bits. The tables are partitioned by that key. Unlabelled
-   representatives of a like number of shingles meet labelled whole-page residue there, are verified by Hamming distance and by
+   representatives of a like number of shingles meet labelled residue there, are verified by Hamming distance and by
    the shingle similarity of the texts, and take the label over. New ones go on to their neighbours
-   until none is new: the labels run through the connected components of whole-page residue, whose
+   until none is new: the labels run through the connected components of residue, whose
    pairs are never listed: only a labelled and an unlabelled text are compared.
-4. An exact check on the text itself ends it: what a page took over is kept only if it has no
-   sentence of its own that the page it came from lacks.
+4. An exact check on the text itself ends it. A page like a notice is one if the sentences it has of its own
+   are few, and each holds words of notices or varies one of the other page. A page like one with a
+   placeholder or filler takes the label over if it has the filler too, or signs of a blank in the placeholder's place:
+   the same letter filled in is no residue.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ from tidegraph.session import cut, hint_small, table
 
 #: Words of a shingle, least shingle similarity, tables, bits of a key, most differing bits of 64.
 SHINGLE, SIMILAR, TABLES, KEY_BITS, MOST_BITS = 5, 0.8, 32, 16, 16
+#: Most words of its own of a near notice, as a share of all; least share of words of a sentence that varies another.
+OWN_SHARE, VARIES = 0.25, 0.5
 #: Rows of labelled keys up to which they're sent to all tasks.
 SMALL_ROWS = 200_000
 
@@ -127,11 +132,18 @@ NOTICE_HINTS = (
     "verweigert", "refus", "trouv", "unauthori", "bad request", "too many", "gone", "conflict", "too large", "too long", "not allowed", "not acceptable",
     "not implemented", "required", "unsupported", "temporarily", "time-out", "moved", "deleted", "looking for", "not available", "page you", "is not here", "http",
 )
+#: Of the hints, those that prose seldom has: a sentence that holds one can be of a notice.
+NOTICE_WORDS = (
+    "javascript", "java script", "cookie", "browser", "traceback", "exception", "unable to", "could not be", "not found", "does not exist", "access denied", "forbidden",
+    "unavailable", "session", "timed out", "timeout", "gateway", "bad request", "encontrad", "no se encuentra", "nicht gefunden", "introuvable", "this page", "this server", "ad blocker",
+)
 FILLER_HINTS = (
     "lorem ipsum", "text here", "goes here", "copy to follow", "is dummy", "is placeholder", "is sample", "to add", "with your own", "placeholder",
     "quick filler", "texto de", "sustituya este", "blindtext", "beispieltext", "texte factice", "texte d'exemple", "coming soon",
 )
 _STATUS = r"(?<![\w.,$])[45]\d\d(?![\w.,%])"
+#: Signs of a blank, in place of a placeholder.
+_BLANK = re.compile(r"[\[\]{}<>«»~|\\^…]|_{2,}|@@|(?<!\w)@|\.{3,}|X{2,}")
 _MARKS = r"[{<«]|@@|__|\[\[|\[[A-Zeify]|%[A-Zsd]|\((?:name|title|address|date) |XX/"
 
 
@@ -281,14 +293,66 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float32")
 
 
-@F.pandas_udf(T.BooleanType())
-def _no_more(text: pd.Series, origin: pd.Series) -> pd.Series:
-    """Whether all content of ``text`` is in the page the label came from."""
+def _own(text: str) -> list[str]:
+    """The content sentences, words only."""
+    return [w for t in sentences(text) if sentence_kind(t) == "content" and not is_title(t) and (w := _words(t))]
+
+
+def _words(s: str) -> str:
+    return " ".join(re.sub(r"\d+|[^\w\s']", " ", s.lower()).split())
+
 
-    def own(t: str) -> set[str]:
-        return {" ".join(re.sub(r"\d+|[^\w\s]", " ", s.lower()).split()) for s in sentences(t) if sentence_kind(s) == "content" and not is_title(s)}
+def _share(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def still_notice(text: str, origin: str) -> bool:
+    """Whether what ``text`` has and the notice ``origin`` lacks is of a notice too: few words, in
+    sentences with the vocabulary or a placeholder, or that vary a sentence of ``origin``."""
+    theirs = {w for t in sentences(origin) if (w := _words(t))}
+    mine = [w for w in _own(text) if w not in theirs]
+    if sum(len(w.split()) for w in mine) > OWN_SHARE * len(text.split()):
+        return False
+    return all(any(h in w for h in NOTICE_WORDS) or any(_share(w, t) >= VARIES for t in theirs) for w in mine)
+
+
+def spots(text: str) -> str:
+    """JSON of where a text's placeholders stand (words before, words after) and its fillers (a sentence)."""
+    out: list[list[str]] = []
+    for m in re.finditer(_ANY, text):
+        out.append([" ".join(text[: m.start()].split()[-3:]), " ".join(text[m.end() :].split()[:3])])
+    for t in sentences(text):
+        if any(re.search(f, t) for f in FILLERS):
+            out.append([_words(t)])
+    return json.dumps(out)
+
+
+def still_marked(text: str, mark: str) -> bool:
+    """Whether one of the spots is still unfilled in ``text``."""
+    flat = " ".join(text.split())
+    for spot in json.loads(mark):
+        if len(spot) == 1:
+            if any(_share(_words(t), spot[0]) >= VARIES for t in sentences(text)):
+                return True
+        elif any(spot):
+            before, after = (re.escape(x) for x in spot)
+            start = before or "^"
+            m = re.search(rf"{start}\s?(\S+(?: \S+){{0,5}}?)\s?{after}" if after else rf"{start}\s?(\S+)$", flat)
+            if m and _BLANK.search(m[1]):
+                return True
+    return False
+
+
+@F.pandas_udf(T.StringType())
+def _mark(texts: pd.Series, notices: pd.Series) -> pd.Series:
+    return pd.Series(["" if n else spots(t) for t, n in zip(texts, notices, strict=True)], dtype="object")
 
-    return pd.Series([own(a) <= own(b) for a, b in zip(text, origin, strict=True)])
+
+@F.pandas_udf(T.BooleanType())
+def _still(text: pd.Series, origin: pd.Series, mark: pd.Series) -> pd.Series:
+    """Whether ``text`` is residue as the text is that the label came from. mark: "" for a notice, else its spots."""
+    return pd.Series([still_marked(a, m) if m else still_notice(a, b) for a, b, m in zip(text, origin, mark, strict=True)], dtype="bool")
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,23 +379,25 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
         marked(F.col("text"), F.col("lower")).alias("marked"),
         F.when(F.col("hint"), _notice("text")).otherwise(False).alias("notice"),
     )
-    rows = cut(labelled.select("key", "marked", "notice", F.xxhash64("normal").alias("h"), "normal", "text"))
+    rows = cut(labelled.select("key", "marked", "notice", F.xxhash64("normal", "marked").alias("h"), "normal", "text"))
     # One representative of all copies. A page label holds for all of them. n: shingles.
     reps = cut(
         rows.where(F.col("normal") != "")
         .groupBy("h")
-        .agg(F.bool_or("notice").alias("page"), F.min(F.struct("normal", "text")).alias("t"))
-        .select("h", "page", "t.normal", "t.text", F.greatest(F.size(F.split("t.normal", " ")) - (SHINGLE - 1), F.lit(1)).alias("n"))
+        .agg(F.bool_or("notice").alias("page"), F.bool_or("marked").alias("spot"), F.min(F.struct("normal", "text")).alias("t"))
+        .select("h", "page", "spot", "t.normal", "t.text", F.greatest(F.size(F.split("t.normal", " ")) - (SHINGLE - 1), F.lit(1)).alias("n"))
     )
     texts = reps.select("h", "normal", "text")
-    front = cut(reps.where("page").select("h", "n", "normal").mapInArrow(_signed, SIGNED))
+    first = reps.where(F.col("page") | F.col("spot"))
+    front = cut(first.select("h", "n", "normal").mapInArrow(_signed, SIGNED))
+    marks = cut(first.select("h", _mark("text", "page").alias("mark")))
     signed, reach, taken = None, 0, None
     while True:
         # Only texts of a size that can be near to a labelled one need a signature; as labels reach
         # larger texts, so do the signatures.
         largest = front.agg(F.max("n")).first()[0] or 0
         if largest / SIMILAR > reach:
-            further = reps.where(~F.col("page") & (F.col("n") > reach) & (F.col("n") <= largest / SIMILAR)).select("h", "n", "normal").mapInArrow(_signed, SIGNED)
+            further = reps.where(~F.col("page") & ~F.col("spot") & (F.col("n") > reach) & (F.col("n") <= largest / SIMILAR)).select("h", "n", "normal").mapInArrow(_signed, SIGNED)
             signed, reach = cut(further if signed is None else signed.unionByName(further)), largest / SIMILAR
         if signed is None:
             break
@@ -347,11 +413,14 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
         verified = (
             near.join(texts, "h")
             .join(texts.select(F.col("h").alias("from"), F.col("normal").alias("n2"), F.col("text").alias("t2")), "from")
-            .where((_similarity("normal", "n2") >= SIMILAR) & _no_more("text", "t2"))
+            .join(marks.withColumnRenamed("h", "from"), "from")
+            .where((_similarity("normal", "n2") >= SIMILAR) & _still("text", "t2", "mark"))
         )
-        new = cut(verified.select("h").distinct())
+        # What a page carries on: being a notice comes first.
+        new = cut(verified.groupBy("h").agg(F.min("mark").alias("mark")))
         if new.isEmpty():
             break
+        marks, new = new, new.select("h")
         taken = new if taken is None else cut(taken.unionByName(new))
         front = cut(signed.join(new, "h", "left_semi"))
     pages = reps.where("page").select("h", F.lit("notice").alias("reason"))
