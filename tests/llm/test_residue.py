@@ -78,6 +78,36 @@ def test_simhash_tables_find_near_texts():
     assert (far[0] == far[1]).sum() <= 1
 
 
+def limit_pairs():
+    """Pairs of a similarity just above the least one, at which sampled bits miss many."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    out = []
+    while len(out) < 200:
+        a = [word() for _ in range(200)]
+        b = list(a)
+        for k in (20, 70, 120, 170):
+            b[k] = word()
+        out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_all_pairs_at_the_limit_meet():
+    for x, y in limit_pairs():
+        assert R.SIMILAR <= R.similarity(x, y) < 0.85
+        (k, j), _ = R.prefixes([x, y])
+        s = R.simhash([x, y])
+        assert len(np.intersect1d(k, j)) and int(s[0] ^ s[1]).bit_count() <= R.MOST_BITS
+
+
+def test_near_pages_at_the_limit_are_found(spark):
+    """Every text 0.8 like one with a placeholder, with the placeholder spoilt, takes the label over."""
+    pairs = [(a.replace(a.split()[100], "{{" + a.split()[100] + "}}"), b.replace(b.split()[100], "~" + b.split()[100] + "~")) for a, b in limit_pairs()[:60]]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    got = R.residue(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect()
+    assert {r.k for r in got} == set(range(120))
+
+
 def test_simhash_of_a_batch_equals_single_ones():
     texts = ["", "one", "a b c d e f g", "x " * 500, "long " * 70000]
     assert (R.simhash(texts) == np.concatenate([R.simhash([t]) for t in texts])).all()

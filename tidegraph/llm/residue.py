@@ -4,8 +4,9 @@
    one representative, so that a page sent a million times is one row from there on.
 2. Trusted labels: a text with an unfilled placeholder or filler anywhere, or one all of whose
    sentences are an error message, a notice, its tail, or a site's menu and title.
-3. Representatives get a SimHash of its five-word shingles, and an entry in each of TABLES
-   tables, keyed by a sample of its bits. The tables are partitioned by that key. Unlabelled
+3. Representatives get a SimHash of their five-word shingles, and an entry for each shingle of
+   their prefix: the first in order of hash, so many that two texts of the least similarity share one.
+   The entries are partitioned by shingle, so no near pair is left out. Unlabelled
    representatives of a like number of shingles meet labelled residue there, are verified by Hamming distance and by
    the shingle similarity of the texts, and take the label over. New ones go on to their neighbours
    until none is new: the labels run through the connected components of residue, whose
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 
 from tidegraph.session import cut, hint_small, table
 
-#: Words of a shingle, least shingle similarity, tables, bits of a key, most differing bits of 64.
-SHINGLE, SIMILAR, TABLES, KEY_BITS, MOST_BITS = 5, 0.8, 32, 16, 16
+#: Words of a shingle, least shingle similarity, most differing bits of 64 (at the least similarity about 10 differ).
+SHINGLE, SIMILAR, MOST_BITS = 5, 0.8, 28
+#: Tables and bits of a key of sampled bits. They miss near pairs at the least similarity and only sort texts roughly.
+TABLES, KEY_BITS = 32, 16
 #: Most words of its own of a near notice, as a share of all; least share of words of a sentence that varies another.
 OWN_SHARE, VARIES = 0.25, 0.5
 #: Rows of labelled keys up to which they're sent to all tasks.
@@ -279,7 +282,17 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "h long, n int, signature long, keys array<int>"
+SIGNED = "h long, n int, signature long, keys array<long>"
+
+
+def prefixes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's first shingles in order of hash, and its number of different ones. Two texts of at
+    least ``SIMILAR`` have one in common: of n, as many as can be missing from the other, and one more."""
+    h, owner = shingle_hashes(texts)
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    sets = [np.unique(h[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    size = np.array([len(x) for x in sets], np.int32)
+    return [x[: len(x) - int(np.ceil(SIMILAR * len(x) - 1e-9)) + 1] for x in sets], size
 
 
 def similarity(a: str, b: str) -> float:
@@ -357,10 +370,12 @@ def _still(text: pd.Series, origin: pd.Series, mark: pd.Series) -> pd.Series:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = simhash(b["normal"].to_pylist())
-        keys = keys_of(s)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES), pa.int32()), pa.array(keys.ravel(), pa.int32()))
-        yield pa.RecordBatch.from_arrays([b["h"], b["n"], pa.array(s.view(np.int64)), flat], names=["h", "n", "signature", "keys"])
+        texts = b["normal"].to_pylist()
+        s, (keys, n) = simhash(texts), prefixes(texts)
+        ends = np.cumsum([0, *(len(k) for k in keys)])
+        flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b["h"], pa.array(n, pa.int32()), pa.array(s.view(np.int64)), listed], names=["h", "n", "signature", "keys"])
 
 
 def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -380,12 +395,13 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("hint"), _notice("text")).otherwise(False).alias("notice"),
     )
     rows = cut(labelled.select("key", "marked", "notice", F.xxhash64("normal", "marked").alias("h"), "normal", "text"))
-    # One representative of all copies. A page label holds for all of them. n: shingles.
+    # One representative of all copies. A page label holds for all of them. n: a text has
+    # at least so many different shingles, as each word but the last four begins one; signed ones have their number.
     reps = cut(
         rows.where(F.col("normal") != "")
         .groupBy("h")
         .agg(F.bool_or("notice").alias("page"), F.bool_or("marked").alias("spot"), F.min(F.struct("normal", "text")).alias("t"))
-        .select("h", "page", "spot", "t.normal", "t.text", F.greatest(F.size(F.split("t.normal", " ")) - (SHINGLE - 1), F.lit(1)).alias("n"))
+        .select("h", "page", "spot", "t.normal", "t.text", F.greatest(F.size(F.array_distinct(F.split("t.normal", " "))) - (SHINGLE - 1), F.lit(1)).alias("n"))
     )
     texts = reps.select("h", "normal", "text")
     first = reps.where(F.col("page") | F.col("spot"))
