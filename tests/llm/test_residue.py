@@ -78,6 +78,22 @@ def test_simhash_tables_find_near_texts():
     assert (far[0] == far[1]).sum() <= 1
 
 
+def test_listed_notices_pass_the_prefilter(spark):
+    """One text for each notice and wording of the expressions."""
+    texts = [
+        "La página solicitada no se encuentra", "Diese Seite wurde nicht gefunden", "Diese Seite wurde nicht geladen", "Die Seite existiert nicht", "The document you requested is elsewhere",
+        "The file you are looking for is elsewhere", "The record you were looking for is elsewhere", "We could not open the file", "We cannot show this page", "Failed to load the map", "Our server was not able to load the map",
+        "The site was not here", "This view is not on this server", "This record has been moved", "The page could not be displayed", "Not Found", "Conflict", "Gone", "Payload too large", "Forbidden", "Payment required", "Server error", "Unsupported media type", "Request time-out",
+        "Access denied", "Connection refused", "Connection reset", "You do not have access to view this page", "Your session has expired", "The site is down for planned maintenance", "The site is temporarily down", "This site is currently down for short maintenance",
+        "Checking your browser before you continue", "Please wait", "Loading...", "Please enable scripting", "Turn on JS", "Use a newer browser", "Scripts are off", "The portal cannot run without it", "The map needs cookies", "We use cookies", "Cookies must be on",
+        "Página no encontrada", "La página no existe", "Acceso denegado", "Active el JavaScript", "Seite nicht gefunden", "Zugriff verweigert", "Page introuvable", "Page non trouvée", "La page demandée n'existe plus", "Accès refusé", "System error: 5", "KeyError: 'x'", "Error 503", 'File "a.py", line 28',
+    ]
+    assert [t for t in texts if not R.is_notice(t)] == []
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    hinted = {r.k for r in df.where(R.hinted(R.F.col("text"), R.F.lower("text"))).collect()}
+    assert [t for i, t in enumerate(texts) if i not in hinted] == []
+
+
 def limit_pairs():
     """Pairs of a similarity just above the least one, at which sampled bits miss many."""
     rng = random.Random(5)

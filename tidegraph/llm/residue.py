@@ -134,6 +134,7 @@ NOTICE_HINTS = (
     "gefunden", "introuvable", "permission", "please wait", "removed", "no existe", "n'existe", "existiert nicht", "timed out", "timeout", "denegado",
     "verweigert", "refus", "trouv", "unauthori", "bad request", "too many", "gone", "conflict", "too large", "too long", "not allowed", "not acceptable",
     "not implemented", "required", "unsupported", "temporarily", "time-out", "moved", "deleted", "looking for", "not available", "page you", "is not here", "http",
+    "no se encuentra", "wurde nicht", "you requested", "you are looking", "you were looking", "down for", "seite nicht", "checking your", "not on this", "not here", "without it", "without them", "do not have access", '", line ',
 )
 #: Of the hints, those that prose seldom has: a sentence that holds one can be of a notice.
 NOTICE_WORDS = (
