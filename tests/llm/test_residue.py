@@ -12,6 +12,9 @@ CASES = [
     "la;f sjlsj; slsl ;l;j ssdj", "Please enable JavaScript to view this page.", "HTTP 504 - Gateway Timeout. Please try again later.", "Menu\n\nSeite nicht gefunden.",
     "Some Library\nHome | Plans | Contact\n\nThis document failed to load.", "Error 429\nToo Many Requests\nReference: be0b", "Unable to show your file at this time. Request 817922bd was logged.",
     'Traceback (most recent call last):\n  File "render.py", line 28\nKeyError: \'x\'',
+    "Oops! Something went wrong. Our engineers have been notified.", "Sorry, the document you are looking for could not be displayed. It might have been renamed.", "Plan Area\n\nWarning: Undefined index chair in view on line 7",
+    "The board met on Monday.\n\ntest test test test test test test\n\nIt adjourned.", "blah blah blah blah blah blah blah", "foo bar foo bar foo bar foo bar foo bar foo bar foo bar",
+    "Menu\n\nVestibulum tellus praesent, mattis ornare felis eros. Nunc placerat morbi.", "An unexpected error occurred.", "Página não encontrada", "word " * 4000,
 ]
 OTHERS = [
     "Let the wells be {A, B, C} and the set {1, ..., 4}; f(x) = {x | x > 0}.", 'The call x[["edgelist"]] returns rows where <source> is known.', "A map [sic] and a note [12].",
@@ -20,7 +23,10 @@ OTHERS = [
     "A page not found in the binder was the signed map, and the clerk put it back.", "The new dashboard needs JavaScript, so the county also prints the tables.",
     "On 14 May the data portal answered error 500 for an hour, and staff told growers by mail.", "Best viewed with scripts enabled.\n\nThe board met and agreed on the plan for the basin.",
     "Error: image 3 not found.\n\nTotal yield came to 508 acre-feet, of which 63 were sold.", "Access was denied to the surveyors at two gates, and permission came a week later.",
-    "", " \n\t", None, "Approved 5-0", "n/a", "word " * 4000,
+    "", " \n\t", None, "Approved 5-0", "n/a", " ".join(f"word{i}" for i in range(4000)),
+    "Sorry, said the clerk, the page you are looking for is in the other binder, and the board moved on.", "No, no, no, said the chair.", "The staff was very, very, very tired.",
+    "Something went wrong with pump 4, and the district bought another one in May.", "El distrito consulta la portada del plan temporal y la comisión vela por el acuífero.", "Magna Carta was quoted in the hearing.",
+    "Our team has been told of the change. The board then set the rate at 9 dollars.",
 ]
 
 

@@ -78,7 +78,24 @@ FILLERS = (
     r"(?i)\b(?:blindtext|beispieltext)\b|\btexte (?:factice|d'exemple)\b",
     r"(?i)\bcoming soon\. content for this (?:section|page) is under construction\b",
     r"(?im)^[ \t]*[asdfjkl;]{2,}(?:[ \t]+[asdfjkl;]+){3,}[ \t]*$",
+    r"(?i)\b([a-z]{2,20}+(?:\s[a-z]{2,20}+)?)(?:\s\1){5}\b",
 )
+#: Beginnings of the words of pseudo-Latin filler.
+LATIN = (
+    "accu", "adip", "aene", "alia", "aliq", "amet", "anim", "ante", "apte", "arcu", "auct", "augu", "aute", "bibe", "blan", "cill", "class", "comm", "condi", "cong",
+    "conse", "conub", "conv", "cras", "cubil", "culp", "cupid", "curab", "curs", "dapi", "deser", "diam", "dict", "digni", "dole", "dolo", "done", "duis", "effic", "eges",
+    "eius", "eleif", "elem", "elit", "enim", "erat", "eros", "esse", "etia", "euis", "exce", "exer", "facil", "fame", "fauc", "feli", "ferm", "feug", "fini", "fring",
+    "fugi", "fusce", "grav", "habit", "hend", "iacul", "imperd", "incid", "inte", "interd", "ipsu", "irur", "jus", "labo", "lacin", "lacus", "laor", "lect", "leo",
+    "libe", "ligul", "lobo", "lore", "luct", "maec", "magna", "magni", "male", "mass", "matt", "mauri", "maxim", "metu", "mini", "moles", "moll", "montes", "morb",
+    "nasc", "natoq", "neque", "nibh", "nisi", "nisl", "nost", "null", "nunc", "nunq", "occae", "odio", "offic", "orci", "orna", "pari", "parturi", "pell", "phare",
+    "phase", "plac", "porta", "portt", "porto", "posu", "potent", "praes", "preti", "primis", "proid", "proin", "pulv", "puru", "quam", "quis", "repreh", "rhonc", "ridic",
+    "risu", "rutr", "sagit", "sapi", "scele", "sed", "semp", "senec", "sint", "sodal", "sollic", "sunt", "suscip", "suspend", "tell", "temp", "tinc", "torto", "tris",
+    "turp", "ulla", "ullam", "ultri", "urna", "varius", "vehic", "vel", "vene", "veni", "vesti", "vesto", "vita", "vive", "volut", "vulp",
+)
+_LATIN_WORD = "(?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in LATIN if w[0] == a)})" for a in sorted({w[0] for w in LATIN})) + ")[a-z]*"
+#: Three such words in a row; least words and share of them in a sentence of filler.
+_LATIN_RUN = rf"(?i)\b{_LATIN_WORD}[\s,]+{_LATIN_WORD}[\s,]+{_LATIN_WORD}\b"
+LATIN_WORDS, LATIN_SHARE = 4, 0.6
 _ANY = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 
 #: The reasons of HTTP's status lines.
@@ -87,6 +104,7 @@ _REASONS = (
     r"uri too long|unsupported media type|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
 )
 _SCRIPTS = r"(?:java ?scripts?|js|scripts?|scripting|script support|cookies|(?:a )?(?:newer|modern|supported) browser|cookies and (?:script support|scripts?|scripting|javascript|js))"
+_SORRY = r"(?:(?:oops|whoops|uh-?oh|sorry|we(?:'re| are) sorry|our apologies)[,.!:]* (?:but )?)?"
 _IT = r"(?:the|this|your|our|that|it)"
 _THING = r"(?:page|file|document|record|request|site|view|content|resource|item|map|address|url)"
 _WHERE = r"(?:(?:the|this|our|your) )?(?:document viewer|viewer|map|portal|application|app|site|website|library|page|archive|service|browser|dashboard)"
@@ -95,7 +113,11 @@ NOTICES = (
     rf"(?:sorry,? )?(?:we (?:could not|cannot|can't|couldn't|were unable to|are unable to)|unable to|failed to|cannot|could not|{_IT} server (?:was|is) (?:not able|unable) to) "
     rf"\w+ {_IT} \w+(?: at this time| right now| because it does not exist|: ?\w[\w ]{{0,20}})?(?: \(code \d+\))?",
     rf"{_IT} (?:requested )?{_THING} (?:(?:failed|was unable) to load|(?:is|was|has been) (?:no longer|not) (?:on this server|available|found|here)|could not be (?:found|loaded|displayed|opened)|does not exist|(?:has|have) been (?:moved|removed|deleted))(?: (?:on|from) this server)?",
-    rf"{_IT} (?:requested )?{_THING} you (?:requested|are looking for|were looking for) .{{0,60}}",
+    rf"{_SORRY}{_IT} (?:requested )?{_THING} (?:that )?you (?:requested|are looking for|were looking for|have requested|are trying to (?:reach|view|open)) .{{0,60}}",
+    rf"{_SORRY}something (?:has gone|went) (?:badly |terribly )?wrong(?: (?:(?:on|at|with) (?:our|the|this|your) (?:side|end|server|page|request|site)|here|while .{{0,40}}|when .{{0,40}}|[-–—] .{{0,40}}))?|{_SORRY}(?:an?|there was an?|there has been an?) (?:unexpected |unknown |internal |application |server )*(?:error|problem)(?: has)?(?: occurred| happened)?(?: .{{0,60}})?",
+    rf"{_SORRY}{_IT} (?:requested )?{_THING} (?:cannot|can't|can not|couldn't|could not) be (?:found|reached|loaded|displayed|opened|shown)(?: .{{0,40}})?",
+    r"(?:warning|notice|deprecated|strict standards|syntax error|template error|render(?:ing)? error):? .{0,160}\b(?:on|at) line \d+.{0,20}|undefined (?:variable|index|offset|property|array key|method|constant|function)\b.{0,120}",
+    r"oops|whoops|uh-?oh",
     rf"(?:http |error |status )*[45]\d\d(?: ?[-:–] ?| )?(?:error )?{_REASONS}?",
     rf"{_REASONS}|access denied|connection (?:timed out|refused|reset)",
     r"(?:fatal|application|parse|runtime|system|server) error:? .{0,120}|traceback \(most recent call last\):?|file \".*\", line \d+.*|\w*(?:error|exception): ?\S.{0,60}",
@@ -115,6 +137,7 @@ NOTICES = (
     rf"cookies must be (?:on|enabled|allowed)",
     r"página no encontrada|la página .{0,40}no (?:existe|se encuentra).{0,30}|acceso denegado|active? (?:el )?javascript.{0,60}|habilite (?:el )?javascript.{0,60}",
     r"seite nicht gefunden|(?:diese|die) seite (?:existiert|wurde) nicht.{0,40}|bitte aktivieren sie javascript.{0,60}|zugriff verweigert",
+    r"p[áa]gina (?:não encontrada|non trovata|niet gevonden)|erro interno.{0,40}|errore interno.{0,40}",
     r"page (?:introuvable|non trouvée)|la page .{0,40}(?:n'existe|introuvable).{0,40}|(?:veuillez )?activer? (?:le )?javascript.{0,60}|accès refusé",
 )
 #: What stands beside them.
@@ -123,8 +146,11 @@ TAILS = (
     r"(?:request|incident|reference|error|ref|code|id|ray id|trace id)[ :#]+[\w-]+(?: (?:was|has been) (?:logged|recorded|reported))?",
     r"this (?:takes|may take|can take) .{0,40}|vuelva al inicio|zurück.{0,30}|retour.{0,40}|inténtelo.{0,40}|veuillez.{0,50}",
     rf"(?:and )?disable any ad ?blockers?|if nothing happens, .{{0,60}}",
+    r"(?:our|the) (?:team|staff|engineers?|developers?|administrators?|support|webmaster) (?:has|have|was|were) (?:already )?been (?:told|notified|informed|alerted).{0,40}|(?:our|the) (?:team|staff|engineers?) (?:is|are) (?:working on|looking into) it",
+    rf"{_IT} (?:{_THING} )?(?:may|might|could) have (?:been )?(?:moved|removed|deleted|renamed|expired).{{0,60}}|we apologi[sz]e for .{{0,60}}|sorry for .{{0,60}}",
 )
 _NOTICE, _TAIL = (re.compile("|".join(f"(?:{p})" for p in x), re.I) for x in (NOTICES, TAILS))
+_LATIN = re.compile(_LATIN_WORD)
 _CHROME = re.compile(r"(?:menu|home|skip to (?:main )?content|search|contact|about|login|sign in|navigation|toggle navigation|inicio|accueil|startseite)", re.I)
 #: In lower case, what every notice, placeholder and filler holds some of. They're looked for as
 #: they stand, which costs far less than the expressions; a text without any needs no closer look.
@@ -135,6 +161,7 @@ NOTICE_HINTS = (
     "verweigert", "refus", "trouv", "unauthori", "bad request", "too many", "gone", "conflict", "too large", "too long", "not allowed", "not acceptable",
     "not implemented", "required", "unsupported", "temporarily", "time-out", "moved", "deleted", "looking for", "not available", "page you", "is not here", "http",
     "no se encuentra", "wurde nicht", "you requested", "you are looking", "you were looking", "down for", "seite nicht", "checking your", "not on this", "not here", "without it", "without them", "do not have access", '", line ',
+    "sorry", "oops", "uh-oh", "uhoh", "went wrong", "on line ", "at line ", "undefined", "a problem", "can not be", "não encontrada", "non trovata", "niet gevonden", "erro ", "trying to",
 )
 #: Of the hints, those that prose seldom has: a sentence that holds one can be of a notice.
 NOTICE_WORDS = (
@@ -178,6 +205,15 @@ def sentences(text: str) -> list[str]:
     return [s for s in out if s.strip()]
 
 
+def is_latin(text: str) -> bool:
+    """Whether a sentence of the text is pseudo-Latin filler."""
+    for s in sentences(text):
+        words = re.findall(r"[^\W\d_]+", s.lower())
+        if len(words) >= LATIN_WORDS and sum(bool(_LATIN.fullmatch(w)) for w in words) >= LATIN_SHARE * len(words):
+            return True
+    return False
+
+
 def is_title(s: str) -> bool:
     return len(s.split()) <= 6 and s[-1:] not in ".!?;:," and not re.search(r"\d", s) and bool(re.match(r"[^\W\d_]", s))
 
@@ -199,6 +235,11 @@ def is_notice(text: str) -> bool:
     return "notice" in kinds
 
 
+@F.pandas_udf(T.BooleanType())
+def _latin(texts: pd.Series) -> pd.Series:
+    return texts.map(is_latin)
+
+
 @F.pandas_udf(T.BooleanType())
 def _notice(texts: pd.Series) -> pd.Series:
     return texts.map(is_notice)
@@ -207,9 +248,9 @@ def _notice(texts: pd.Series) -> pd.Series:
 def marked(text: Column, lower: Column) -> Column:
     """A placeholder or filler anywhere in the text."""
     filler = F.lit(False)
-    for p in FILLERS[:-1]:
+    for p in FILLERS[:-2]:
         filler = filler | text.rlike(p)
-    return (text.rlike(_MARKS) & text.rlike(_ANY)) | (_has(lower, FILLER_HINTS) & filler) | text.rlike(FILLERS[-1])
+    return (text.rlike(_MARKS) & text.rlike(_ANY)) | (_has(lower, FILLER_HINTS) & filler) | text.rlike(FILLERS[-2]) | text.rlike(FILLERS[-1])
 
 
 def hinted(text: Column, lower: Column) -> Column:
@@ -337,7 +378,7 @@ def spots(text: str) -> str:
     for m in re.finditer(_ANY, text):
         out.append([" ".join(text[: m.start()].split()[-3:]), " ".join(text[m.end() :].split()[:3])])
     for t in sentences(text):
-        if any(re.search(f, t) for f in FILLERS):
+        if any(re.search(f, t) for f in FILLERS) or is_latin(t):
             out.append([_words(t)])
     return json.dumps(out)
 
@@ -392,7 +433,7 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
         "key",
         "text",
         normal(F.col("lower"), F.col("hint")).alias("normal"),
-        marked(F.col("text"), F.col("lower")).alias("marked"),
+        (marked(F.col("text"), F.col("lower")) | F.when(F.col("text").rlike(_LATIN_RUN), _latin("text")).otherwise(False)).alias("marked"),
         F.when(F.col("hint"), _notice("text")).otherwise(False).alias("notice"),
     )
     rows = cut(labelled.select("key", "marked", "notice", F.xxhash64("normal", "marked").alias("h"), "normal", "text"))
