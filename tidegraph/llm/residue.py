@@ -5,7 +5,7 @@
 2. Trusted labels: a text with an unfilled placeholder or filler anywhere, or one all of whose
    sentences are an error message, a notice, its tail, or a site's menu and title.
 3. Representatives get a SimHash of their five-word shingles, and an entry for each shingle of
-   their prefix: the first in order of hash, so many that two texts of the least similarity share one.
+   their prefix: the rarest of the corpus, so many that two texts of the least similarity share one.
    The entries are partitioned by shingle, so no near pair is left out. Unlabelled
    representatives of a like number of shingles meet labelled residue there, are verified by Hamming distance and by
    the shingle similarity of the texts, and take the label over. New ones go on to their neighbours
@@ -22,13 +22,16 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,8 @@ from tidegraph.session import cut, hint_small, table
 
 #: Words of a shingle, least shingle similarity, most differing bits of 64 (at the least similarity about 10 differ).
 SHINGLE, SIMILAR, MOST_BITS = 5, 0.8, 28
+#: Buckets of shingle hashes whose counts order the shingles: 2 MB, whatever the input.
+BUCKETS = 1 << 18
 #: Tables and bits of a key of sampled bits. They miss near pairs at the least similarity and only sort texts roughly.
 TABLES, KEY_BITS = 32, 16
 #: Most words of its own of a near notice, as a share of all; least share of words of a sentence that varies another.
@@ -43,7 +48,7 @@ OWN_SHARE, VARIES = 0.25, 0.5
 #: Rows of labelled keys up to which they're sent to all tasks.
 SMALL_ROWS = 200_000
 
-#: The notations of unfilled placeholders, as Java and Python regular expressions.
+#: The notations of unfilled placeholders, as regular expressions.
 PLACEHOLDERS = (
     r"\{\{\s?[\w.]+\s?\}\}",
     r"\{%\s?[\w.]+\s?%\}",
@@ -93,8 +98,7 @@ LATIN = (
     "turp", "ulla", "ullam", "ultri", "urna", "varius", "vehic", "vel", "vene", "veni", "vesti", "vesto", "vita", "vive", "volut", "vulp",
 )
 _LATIN_WORD = "(?:" + "|".join(f"{a}(?:{'|'.join(w[1:] for w in LATIN if w[0] == a)})" for a in sorted({w[0] for w in LATIN})) + ")[a-z]*"
-#: Three such words in a row; least words and share of them in a sentence of filler.
-_LATIN_RUN = rf"(?i)\b{_LATIN_WORD}[\s,]+{_LATIN_WORD}[\s,]+{_LATIN_WORD}\b"
+#: Least words, and share of such ones, of a sentence of filler.
 LATIN_WORDS, LATIN_SHARE = 4, 0.6
 _ANY = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 
@@ -178,13 +182,23 @@ _BLANK = re.compile(r"[\[\]{}<>«»~|\\^…]|_{2,}|@@|(?<!\w)@|\.{3,}|X{2,}")
 _MARKS = r"[{<«]|@@|__|\[\[|\[[A-Zeify]|%[A-Zsd]|\((?:name|title|address|date) |XX/"
 
 
-def _has(lower: Column, words: tuple[str, ...]) -> Column:
-    out = F.contains(lower, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(lower, F.lit(w))
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        out.add_word(w)
+    out.make_automaton()
     return out
 
 
+@lru_cache(maxsize=1)
+def _finders() -> tuple:
+    """Made once per Python worker: automata of the hints, and the expressions."""
+    return (
+        _automaton(NOTICE_HINTS), _automaton(FILLER_HINTS), re.compile(_STATUS), re.compile(_MARKS), re.compile(_ANY),
+        [re.compile(f) for f in FILLERS[:-2]], re.compile(FILLERS[-2]), re.compile(FILLERS[-1]),
+    )
+
+
 @lru_cache(maxsize=4096)
 def sentence_kind(s: str) -> str:
     """``notice``, ``tail``, ``chrome`` or ``content``."""
@@ -235,33 +249,45 @@ def is_notice(text: str) -> bool:
     return "notice" in kinds
 
 
-@F.pandas_udf(T.BooleanType())
-def _latin(texts: pd.Series) -> pd.Series:
-    return texts.map(is_latin)
+def hinted(text: str) -> bool:
+    """Whether the text can be a notice: one pass over it for all hints."""
+    notice, status = _finders()[0], _finders()[2]
+    return next(notice.iter(text.lower()), None) is not None or status.search(text) is not None
 
 
-@F.pandas_udf(T.BooleanType())
-def _notice(texts: pd.Series) -> pd.Series:
-    return texts.map(is_notice)
+def marked(text: str, words: list[str]) -> bool:
+    """A placeholder or filler anywhere in the text. words: those of the text, in lower case."""
+    _, hints, _, marks, placeholder, fillers, keys, repeated = _finders()
+    if marks.search(text) and placeholder.search(text):
+        return True
+    if next(hints.iter(text.lower()), None) is not None and any(f.search(text) for f in fillers):
+        return True
+    if ";" in text and keys.search(text):
+        return True
+    # Words that follow themselves, or the one before, can be repeated ones; three in a row of Latin look, filler.
+    if sum(a == b for a, b in zip(words, words[1:], strict=False)) >= 5 or sum(a == b for a, b in zip(words, words[2:], strict=False)) >= 9:
+        if repeated.search(text):
+            return True
+    return "111" in "".join(map(_latin_word, words)) and is_latin(text)
+
+
+@lru_cache(maxsize=1 << 16)
+def _latin_word(w: str) -> str:
+    return "1" if _LATIN.fullmatch(w) else "0"
 
 
-def marked(text: Column, lower: Column) -> Column:
-    """A placeholder or filler anywhere in the text."""
-    filler = F.lit(False)
-    for p in FILLERS[:-2]:
-        filler = filler | text.rlike(p)
-    return (text.rlike(_MARKS) & text.rlike(_ANY)) | (_has(lower, FILLER_HINTS) & filler) | text.rlike(FILLERS[-2]) | text.rlike(FILLERS[-1])
+_WORD, _HEX = re.compile(r"[^\W_]+"), re.compile(r"(?<!\w)(?=[a-f]*\d)[0-9a-f]{5,}(?!\w)|\d+")
+_DIGITS = str.maketrans("123456789", "000000000")
 
 
-def hinted(text: Column, lower: Column) -> Column:
-    return _has(lower, NOTICE_HINTS) | text.rlike(_STATUS)
+def normal_words(text: str, hint: bool) -> list[str]:
+    """The words in lower case; numbers masked, in texts that may be notices also hexadecimal ones."""
+    lower = text.lower()
+    return _WORD.findall(_HEX.sub("0", lower) if hint else lower.translate(_DIGITS))
 
 
-def normal(lower: Column, hint: Column) -> Column:
-    """Words only, of lower-case text; numbers masked, in texts that may be notices also hexadecimal ones."""
-    masked = F.regexp_replace(lower, r"\b(?=[a-f]*\d)[0-9a-f]{5,}\b|\d+", "0")
-    t = F.when(hint, masked).otherwise(F.translate(lower, "123456789", "000000000"))
-    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+def normal(text: str) -> str:
+    return " ".join(normal_words(text, hinted(text)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -327,16 +353,38 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
 SIGNED = "h long, n int, signature long, keys array<long>"
 
 
-def prefixes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's first shingles in order of hash, and its number of different ones. Two texts of at
-    least ``SIMILAR`` have one in common: of n, as many as can be missing from the other, and one more."""
+def prefixes(texts: list[str], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's first shingles, and its number of different ones. Two texts of at least
+    ``SIMILAR`` have one in common: of n, as many as can be missing from the other, and one more. This holds for
+    every order that is one for all texts; the rarest come first, by ``counts`` of the buckets of their hashes, so that
+    sentences which many texts share bring none together."""
     h, owner = shingle_hashes(texts)
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
     sets = [np.unique(h[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    if counts is not None:
+        sets = [x[np.argsort(counts[x & np.uint64(BUCKETS - 1)], kind="stable")] for x in sets]
     size = np.array([len(x) for x in sets], np.int32)
     return [x[: len(x) - int(np.ceil(SIMILAR * len(x) - 1e-9)) + 1] for x in sets], size
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all shingles of a partition, how many fall into each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        h, _ = shingle_hashes(b["normal"].to_pylist())
+        total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each of ``BUCKETS`` buckets: as long a list at every size of the input."""
+    rows = texts.select("normal").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the shingle sets."""
     x, y = (set(shingle_hashes([t])[0].tolist()) for t in (a, b))
@@ -410,14 +458,36 @@ def _still(text: pd.Series, origin: pd.Series, mark: pd.Series) -> pd.Series:
     return pd.Series([still_marked(a, m) if m else still_notice(a, b) for a, b, m in zip(text, origin, mark, strict=True)], dtype="bool")
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signing(counts: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["normal"].to_pylist()
+            s, (keys, n) = simhash(texts), prefixes(texts, counts.value)
+            ends = np.cumsum([0, *(len(k) for k in keys)])
+            flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["h"], pa.array(n, pa.int32()), pa.array(s.view(np.int64)), listed], names=["h", "n", "signature", "keys"])
+
+    return signed
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> key, marked, notice, h, n, normal, text: one pass over each text. h: of its words and mark. n: a text has
+    at least so many different shingles, as each word but the last four begins one. Blank texts are left out."""
     for b in batches:
-        texts = b["normal"].to_pylist()
-        s, (keys, n) = simhash(texts), prefixes(texts)
-        ends = np.cumsum([0, *(len(k) for k in keys)])
-        flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays([b["h"], pa.array(n, pa.int32()), pa.array(s.view(np.int64)), listed], names=["h", "n", "signature", "keys"])
+        keep, out = [], []
+        for i, t in enumerate(b["text"].to_pylist()):
+            if t is None or not t.strip():
+                continue
+            hint = hinted(t)
+            words = normal_words(t, hint)
+            mark, flat = marked(t, words), " ".join(words)
+            keep.append(i)
+            out.append((mark, hint and is_notice(t), xxhash.xxh64_intdigest(flat, int(mark)) - (1 << 63), max(1, len(set(words)) - (SHINGLE - 1)), flat))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kept = b.take(pa.array(keep, pa.int32()))
+        kinds = (pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([kept["key"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), kept["text"]], names=["key", "marked", "notice", "h", "n", "normal", "text"])
 
 
 def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -426,28 +496,22 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and blank texts aren't residue. Repeated rows give one row per distinct key and
     reason. Extra columns are dropped; an empty table gives no rows.
     """
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    lowered = base.select("key", "text", F.lower("text").alias("lower"))
-    hints = lowered.select("*", hinted(F.col("text"), F.col("lower")).alias("hint"))
-    labelled = hints.select(
-        "key",
-        "text",
-        normal(F.col("lower"), F.col("hint")).alias("normal"),
-        (marked(F.col("text"), F.col("lower")) | F.when(F.col("text").rlike(_LATIN_RUN), _latin("text")).otherwise(False)).alias("marked"),
-        F.when(F.col("hint"), _notice("text")).otherwise(False).alias("notice"),
-    )
-    rows = cut(labelled.select("key", "marked", "notice", F.xxhash64("normal", "marked").alias("h"), "normal", "text"))
-    # One representative of all copies. A page label holds for all of them. n: a text has
-    # at least so many different shingles, as each word but the last four begins one; signed ones have their number.
+    spark = docs.sparkSession
+    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    schema = T.StructType([T.StructField("key", base.schema["key"].dataType), *T._parse_datatype_string("marked boolean, notice boolean, h long, n int, normal string, text string").fields])
+    rows = cut(base.mapInArrow(_labelled, schema))
+    # One representative of all copies. A page label holds for all of them. Signed ones have their number of shingles.
     reps = cut(
         rows.where(F.col("normal") != "")
         .groupBy("h")
-        .agg(F.bool_or("notice").alias("page"), F.bool_or("marked").alias("spot"), F.min(F.struct("normal", "text")).alias("t"))
-        .select("h", "page", "spot", "t.normal", "t.text", F.greatest(F.size(F.array_distinct(F.split("t.normal", " "))) - (SHINGLE - 1), F.lit(1)).alias("n"))
+        .agg(F.bool_or("notice").alias("page"), F.bool_or("marked").alias("spot"), F.min(F.struct("normal", "text")).alias("t"), F.min("n").alias("n"))
+        .select("h", "page", "spot", "t.normal", "t.text", "n")
     )
+    counts = spark.sparkContext.broadcast(shingle_counts(reps))
+    sign = _signing(counts)
     texts = reps.select("h", "normal", "text")
     first = reps.where(F.col("page") | F.col("spot"))
-    front = cut(first.select("h", "n", "normal").mapInArrow(_signed, SIGNED))
+    front = cut(first.select("h", "n", "normal").mapInArrow(sign, SIGNED))
     marks = cut(first.select("h", _mark("text", "page").alias("mark")))
     signed, reach, taken = None, 0, None
     while True:
@@ -455,7 +519,7 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
         # larger texts, so do the signatures.
         largest = front.agg(F.max("n")).first()[0] or 0
         if largest / SIMILAR > reach:
-            further = reps.where(~F.col("page") & ~F.col("spot") & (F.col("n") > reach) & (F.col("n") <= largest / SIMILAR)).select("h", "n", "normal").mapInArrow(_signed, SIGNED)
+            further = reps.where(~F.col("page") & ~F.col("spot") & (F.col("n") > reach) & (F.col("n") <= largest / SIMILAR)).select("h", "n", "normal").mapInArrow(sign, SIGNED)
             signed, reach = cut(further if signed is None else signed.unionByName(further)), largest / SIMILAR
         if signed is None:
             break
