@@ -9,7 +9,7 @@ CASES = [
     "Dear {{agency_name}},\nyour permit is ready.", "Total came to {% amount %} this year.", "See ${permitNo} for more.", "<%= chair %>", "By «county» order", "<<PLAN TITLE>> of 2020",
     "the [[contact_email]] address", "@@basin@@ plan", "in %COUNTY% now", "__BASIN__ map", "moved {0} feet", "a %s b", "[INSERT COUNTY] water", "<insert chair here>", "due [DATE TO BE ADDED].",
     "(name of agency) met", "_______ [enter number] wells", "on XX/XX/20XX", "the [Plan Title] text", "Lorem ipsum dolor sit amet consectetur.", "Land Use\n\nSample text goes here.",
-    "la;f sjlsj; slsl ;l;j ssdj", "Please enable JavaScript to view this page.", "HTTP 504 - Gateway Timeout. Please try again later.", "Menu\n\nSeite nicht gefunden.",
+    "la;f sjlsj; slsl ;l;j ssdj", "aadff jjsdf skkalk jks lfla djdffjff", "Please enable JavaScript to view this page.", "HTTP 504 - Gateway Timeout. Please try again later.", "Menu\n\nSeite nicht gefunden.",
     "Some Library\nHome | Plans | Contact\n\nThis document failed to load.", "Error 429\nToo Many Requests\nReference: be0b", "Unable to show your file at this time. Request 817922bd was logged.",
     'Traceback (most recent call last):\n  File "render.py", line 28\nKeyError: \'x\'',
     "Oops! Something went wrong. Our engineers have been notified.", "Sorry, the document you are looking for could not be displayed. It might have been renamed.", "Plan Area\n\nWarning: Undefined index chair in view on line 7",

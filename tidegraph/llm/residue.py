@@ -262,7 +262,7 @@ def marked(text: str, words: list[str]) -> bool:
         return True
     if next(hints.iter(text.lower()), None) is not None and any(f.search(text) for f in fillers):
         return True
-    if ";" in text and keys.search(text):
+    if keys.search(text):
         return True
     # Words that follow themselves, or the one before, can be repeated ones; three in a row of Latin look, filler.
     if sum(a == b for a, b in zip(words, words[1:], strict=False)) >= 5 or sum(a == b for a, b in zip(words, words[2:], strict=False)) >= 9:
