@@ -12,17 +12,19 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEADING_THE = r"^(?:The|the|THE)_"
+#: Rules up to which they're broadcast.
+SMALL_RULES = 100_000
 
 
 @dataclass
 class Rules:
-    """Compiled rules. exact: from -> to, chains resolved if recursive; many: from -> several;
-    partial: (from, to) in order; passes: how often all are applied."""
+    """Compiled rules. exact: from -> to, chains that one pass in order runs through resolved if recursive; many:
+    from -> several; partial: (from, to) in order; passes: how often all are applied."""
 
     exact: dict[str, str] = field(default_factory=dict)
     many: dict[str, list[str]] = field(default_factory=dict)
@@ -42,8 +44,9 @@ def compile_rules(
 
     Errors: unequal lengths; several names to rewrite in one rule; several targets of a partial
     rule; one name in two rules. Warnings: a partial rule whose target holds its origin becomes exact;
-    a rule that changes nothing is left out; the rule that closes a cycle is left out. With
-    ``recursive`` a name that a rule gives is rewritten again; without it, each original name once.
+    a rule that changes nothing is left out; the rule that closes a cycle is left out; partial rules
+    whose targets hold each other's origins in a circle become exact. With ``recursive`` a name that
+    a rule gives is rewritten again; without it, each original name once.
     """
     if isinstance(origin, str) or isinstance(target, str) or len(origin) != len(target):
         raise ValueError("origin and target must be lists of equal length")
@@ -86,6 +89,9 @@ def compile_rules(
                     seen.add(y)
                     stack.append((via, y))
     rules = [r for r in rules if r[0] not in dropped]
+    if circle := _circles(rules):
+        warnings.warn(", ".join(sorted(circle)) + ": the rules lead to each other by partial matches and are matched whole", stacklevel=2)
+        rules = [(a, b, p and a not in circle) for a, b, p in rules]
     out = Rules(concatenator=concatenator)
     for a, b, p in rules:
         if p:
@@ -95,15 +101,31 @@ def compile_rules(
         else:
             out.exact[a] = b[0]
     if recursive:
-        for a in list(out.exact):
-            x, length = out.exact[a], 1
-            while x in out.exact:
-                x, length = out.exact[x], length + 1
-            out.exact[a] = x
+        # One pass applies exact rules in order: a name runs on to later rules, to earlier ones in the next pass.
+        at = {a: i for i, a in enumerate(out.exact)}
+        for a in reversed(list(out.exact)):
+            if at.get(out.exact[a], -1) > at[a]:
+                out.exact[a] = out.exact[out.exact[a]]
         out.passes = max(1, _longest({a: b for a, b, _ in rules}))
     return out
 
 
+def _circles(rules: list[tuple[str, list[str], bool]]) -> set[str]:
+    """Origins of partial rules that lead to each other: a rule leads to the partial rules whose origin its target holds."""
+    step = {a: [x for x, _, p in rules if p and any(re.search(x, t) for t in b)] for a, b, _ in rules}
+    out = set()
+    for a, _, p in rules:
+        stack, seen = list(step[a]) if p else [], set()
+        while stack:
+            x = stack.pop()
+            if x not in seen:
+                seen.add(x)
+                stack += step[x]
+        if a in seen:
+            out.add(a)
+    return out
+
+
 def _longest(step: dict[str, list[str]]) -> int:
     """Rules in the longest chain."""
     known: dict[str, int] = {}
@@ -137,38 +159,53 @@ def partial_column(c: Column, rules: Rules) -> Column:
     return c
 
 
-def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
-    """(from, to array): all whole-name rules."""
-    rows = [(a, [b]) for a, b in rules.exact.items()] + [(a, b) for a, b in rules.many.items()]
-    return spark.createDataFrame(rows, "`from` string, `to` array<string>")
+def partial_hit(c: Column, rules: Rules) -> Column:
+    """Whether one of the partial rules matches."""
+    k = rules.concatenator
+    return c.rlike("|".join(f"^{a}{k}|{k}{a}|^{a}$" for a, _ in rules.partial)) if rules.partial else F.lit(False)
+
+
+def _lookup(df: DataFrame, column: str, known: dict[str, list[str]]) -> DataFrame:
+    """``df`` with __to: what ``known`` has for the column, or null. Rules are written by people: up to
+    ``SMALL_RULES`` they're broadcast, beyond it joined by shuffle."""
+    table = df.sparkSession.createDataFrame([(a, b) for a, b in known.items()], "__from string, __to array<string>")
+    return df.join(F.broadcast(table) if len(known) <= SMALL_RULES else table, df[column] == F.col("__from"), "left").drop("__from")
 
 
 def rewrite(df: DataFrame, column: str, rules: Rules, try_drop: str | None = None) -> DataFrame:
     """``df`` with the names in ``column`` rewritten; a rule with several targets multiplies rows.
 
-    ``try_drop``: an expression; if a name without it is an origin or a target of a rule, it is used
-    without it. Null names stay null.
+    A pass applies the rules with several targets, then all partial rules, then the exact ones: an exact rule
+    sees what partial ones left. ``try_drop``: an expression; a name that no rule of the pass matches is tried without
+    it: if a rule matches then, its result is taken, and if the bare name is a rule's target, the bare name.
+    Null names stay null.
     """
-    spark = df.sparkSession
     df = df.withColumn(column, F.regexp_replace(column, LEADING_THE, ""))
-    table = rule_table(spark, rules)
-    n_rules = len(rules.exact) + len(rules.many)
-    hint = F.broadcast if n_rules <= 100_000 else lambda t: t
-    if try_drop:
-        known = sorted(set(rules.exact) | set(rules.many) | {a for a, _ in rules.partial} | rules.targets)
-        if known:
-            names = spark.createDataFrame([(x,) for x in known], "__bare string").withColumn("__known", F.lit(True))
-            bare = df.withColumn("__bare", F.regexp_replace(column, try_drop, ""))
-            df = bare.join(hint(names), "__bare", "left").withColumn(
-                column, F.when(F.col("__known") & (F.col("__bare") != ""), F.col("__bare")).otherwise(F.col(column))
-            ).drop("__bare", "__known")
+    c, bare = F.col(column), F.col("__bare")
+    exact = {a: [b] for a, b in rules.exact.items()}
     for _ in range(rules.passes):
-        if n_rules:
-            df = df.join(hint(table), df[column] == F.col("from"), "left").withColumn(
-                column, F.explode(F.coalesce("to", F.array(F.col(column))))
-            ).drop("from", "to")
+        hit = F.lit(False)
+        if rules.many:
+            df = _lookup(df, column, rules.many).withColumn("__hit", F.col("__to").isNotNull()).withColumn(column, F.explode(F.coalesce("__to", F.array(c)))).drop("__to")
+            hit = F.col("__hit")
+        df = df.withColumn("__hit", F.coalesce(hit | partial_hit(c, rules), F.lit(False)))
         if rules.partial:
-            df = df.withColumn(column, partial_column(F.col(column), rules))
+            df = df.withColumn(column, partial_column(c, rules))
+        if exact:
+            df = _lookup(df, column, exact).withColumns({"__hit": F.col("__hit") | F.col("__to").isNotNull(), column: F.coalesce(F.get("__to", F.lit(0)), c)}).drop("__to")
+        if try_drop:
+            # Names that no rule matched, with what is to be dropped, are rewritten without it.
+            tried = ~F.col("__hit") & c.rlike(try_drop)
+            df = df.withColumn("__bare", F.when(tried, F.nullif(F.regexp_replace(c, try_drop, ""), F.lit(""))))
+            if rules.many:
+                df = _lookup(df, "__bare", rules.many).withColumnRenamed("__to", "__many")
+            df = df.withColumns({"__fits": partial_hit(bare, rules), "__bare": partial_column(bare, rules) if rules.partial else bare})
+            targets = {t: [t] for t in sorted(rules.targets)}
+            df = _lookup(df, "__bare", targets | exact)
+            new = F.coalesce(F.get("__to", F.lit(0)), F.when(F.col("__fits"), bare), c)
+            several = F.coalesce("__many", F.array(new)) if rules.many else F.array(new)
+            df = df.withColumn(column, F.explode(several)).drop("__bare", "__fits", "__to", "__many")
+        df = df.drop("__hit")
     return df
 
 

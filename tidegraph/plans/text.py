@@ -65,13 +65,23 @@ def hub_rules(spark: SparkSession, sf_dir: str, many: bool) -> D.Rules:
 
 
 PARTIAL = (("Irrigation_District", "Reclamation_District", "Board_of_Supervisors"), ("Irr_Dist", "Recl_Dist", "Supervisors_Board"))
+#: Exact and partial rules, and one with several targets, in one list: an exact origin that a partial rule reaches first, and a chain
+#: against the order of the rules.
+MIXED = (
+    ("Irrigation_District", "Lupnik_Irr_Dist", "Lifnus_Nusget_Subbasin", "Poprab_Vemnon_Irr_Dist", "Nusget", "Fizrab_Tafkok_County", "Hub_b", "Hub_a"),
+    ("Irr_Dist", "X", "Hub_a", "Hub_a", "Hub_c", ["County_A", "County_B"], "Hub_c", "Hub_b"),
+    (True, False, False, False, False, False, False, False),
+)
+#: Rules whose origins and targets stand in the names with a part to drop before them.
+DROP = (("Bobkun_Zensad_River", "Zensad", "Vemnon_Irrigation_District", "Nonbob_Department_of_Water_Resources"), ("Zensad", "Zensad_R", "Soslif_Zoztip_River", ["DWR_A", "DWR_B"]), (False, False, False, False))
+DROPPED = "^(?:Upper|Lower|Poprab|Lupnik)_"
 CHAIN = (("Recl_Dist", "Reclamation_District"), ("RD", "Recl_Dist"))
 
 
-def _rewritten(rules) -> DataFrame:
+def _rewritten(rules, try_drop: str | None = None) -> DataFrame:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = table(spark, sf_dir, "edgelist").where(F.col("source").isNotNull()).select("edge_id", "source").distinct()
-        return D.rewrite(names, "source", rules(spark, sf_dir))
+        return D.rewrite(names, "source", rules(spark, sf_dir), try_drop)
 
     return run
 
@@ -84,7 +94,7 @@ def q_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rules = D.compile_rules(*PARTIAL, True)
     edges = table(spark, sf_dir, "edgelist").select(
-        "edge_id", F.col("file_id").alias("graph_id"), "source", "target", F.col("edge_id").cast("string").alias("doc_sent_verb")
+        "edge_id", F.col("file_id").alias("graph_id"), "source", "target", "doc_sent_verb"
     ).distinct()
     return D.disambiguate(base_nodes(spark, sf_dir), edges, rules, try_drop="^Upper_")
 
@@ -127,6 +137,8 @@ QUERIES = {
     "disambiguate_multi": _rewritten(lambda s, d: hub_rules(s, d, True)),
     "disambiguate_partial": _rewritten(lambda s, d: D.compile_rules(*PARTIAL, True)),
     "disambiguate_chain": _rewritten(lambda s, d: D.compile_rules(CHAIN[0], CHAIN[1], True)),
+    "disambiguate_mixed": _rewritten(lambda s, d: D.compile_rules(*MIXED)),
+    "disambiguate_try_drop": _rewritten(lambda s, d: D.compile_rules(*DROP), DROPPED),
     "disambiguate_nodes": q_disambiguate,
     "disambiguate_edges": q_disambiguate_edges,
     "lexicon_build": lambda s, d: build_lexicon(table(s, d, "vnclass").select("file_name", "record_xml").distinct()).select(
@@ -178,13 +190,21 @@ _STRIP = "regexp_replace({0}, '^(?:The|the|THE)_', '')"
 
 
 def _final(c: str) -> str:
-    """The rules of _whole over one name: a leading Upper_ goes if the rest is an origin or target."""
-    known = ", ".join(f"'{x}'" for x in sorted({*PARTIAL[0], *PARTIAL[1]}))
+    """The rules of _whole over one name: if none matches, a leading Upper_ goes if one matches then or the rest is a target."""
+    any_ = "|".join(f"^{a}_|_{a}|^{a}$" for a in PARTIAL[0])
+    rules = tuple(zip(*PARTIAL, strict=True))
     stripped = _STRIP.format(c)
-    dropped = f"case when regexp_replace({stripped}, '^Upper_', '') in ({known}) then regexp_replace({stripped}, '^Upper_', '') else {stripped} end"
-    return f"nullif(regexp_replace(lower({_partials(tuple(zip(*PARTIAL, strict=True)), dropped)}), '^the_', ''), '')"
+    bare = f"regexp_replace({stripped}, '^Upper_', '')"
+    targets = ", ".join(f"'{x}'" for x in PARTIAL[1])
+    new = f"case when regexp_matches({stripped}, '{any_}') then {_partials(rules, stripped)} when regexp_matches({bare}, '{any_}') then {_partials(rules, bare)} when {bare} in ({targets}) then {bare} else {stripped} end"
+    return f"nullif(regexp_replace(lower({new}), '^the_', ''), '')"
+
+
+def _case(c: str, pairs) -> str:
+    return f"case {c} " + " ".join(f"when '{a}' then '{b}'" for a, b in pairs) + f" else {c} end"
 
 
+_DROP_EXACT = [("Bobkun_Zensad_River", "Zensad_R"), ("Zensad", "Zensad_R"), ("Vemnon_Irrigation_District", "Soslif_Zoztip_River")]
 _WHOLE = f"""with nd as (select distinct node_id, file_id, entity_name, entity_type, num_appearances from nodelist where entity_name <> ''),
 bt as (select file_id, entity_name, entity_type, sum(coalesce(num_appearances, 0)) as n from nd group by all),
 v as (
@@ -194,8 +214,8 @@ v1 as (select graph_id, {_final('entity_name')} as name, entity_type, num_appear
 names as (select distinct graph_id, name from v1 where name is not null),
 v2 as (select v1.graph_id, coalesce(m.name, v1.name) as name, entity_type, num_appearances from v1
   left join names m on m.graph_id = v1.graph_id and m.name = regexp_replace(v1.name, '^upper_', '')),
-e0 as (select distinct edge_id, file_id as graph_id, {_final('source')} as s, {_final('target')} as t from edgelist),
-e1 as (select e0.edge_id, coalesce(a.name, s) as source, coalesce(b.name, t) as target from e0
+e0 as (select distinct edge_id, file_id as graph_id, doc_sent_verb, {_final('source')} as s, {_final('target')} as t from edgelist),
+e1 as (select e0.edge_id, e0.graph_id, doc_sent_verb, coalesce(a.name, s) as source, coalesce(b.name, t) as target from e0
   left join names a on a.graph_id = e0.graph_id and a.name = regexp_replace(e0.s, '^upper_', '')
   left join names b on b.graph_id = e0.graph_id and b.name = regexp_replace(e0.t, '^upper_', ''))
 """
@@ -273,5 +293,29 @@ select *, case """
     "disambiguate_nodes": _WHOLE
     + """select graph_id, name as entity_name, (array_agg(entity_type order by num_appearances desc, entity_type is null, entity_type))[1] as entity_type,
   sum(num_appearances)::bigint as num_appearances from v2 where name is not null group by graph_id, name""",
-    "disambiguate_edges": _WHOLE + "select edge_id, source, target, source is not null and target is not null as edgeiscomplete from e1",
+    "disambiguate_edges": _WHOLE
+    + """, e2 as (select *, source is not null and target is not null as edgeiscomplete from e1)
+select edge_id, source, target, edgeiscomplete from e2 qualify edgeiscomplete or not bool_or(edgeiscomplete) over (partition by graph_id, doc_sent_verb)""",
+    # Four passes, the length of the longest chain: names with several targets, the partial rule, the exact ones in their order.
+    "disambiguate_mixed": _SRC.rstrip(",\n")
+    + "".join(
+        f""",
+m{i} as (select edge_id, unnest(case source when 'Fizrab_Tafkok_County' then ['County_A', 'County_B'] else [source] end) as source from {'n' if not i else f'x{i - 1}'}),
+x{i} as (select edge_id, {_case(_partials((MIXED[0][:1] + MIXED[1][:1],), 'source'), [(a, b) for a, b in zip(MIXED[0][1:], MIXED[1][1:], strict=True) if isinstance(b, str) and a != 'Hub_a'])} as y,
+  case y when 'Hub_a' then 'Hub_b' else y end as source from m{i})"""
+        for i in range(4)
+    )
+    + " select edge_id, source from x3",
+    "disambiguate_try_drop": _SRC.rstrip(",\n")
+    + "".join(
+        f""",
+b{i} as (select edge_id, source, regexp_replace(source, '{DROPPED}', '') as bare, source in ('Bobkun_Zensad_River', 'Zensad', 'Vemnon_Irrigation_District', 'Nonbob_Department_of_Water_Resources') as hit,
+  bare <> source and bare <> '' as tried from {'n' if not i else f'x{i - 1}'}),
+x{i} as (select edge_id, unnest(case when (hit and source = 'Nonbob_Department_of_Water_Resources') or (not hit and tried and bare = 'Nonbob_Department_of_Water_Resources') then ['DWR_A', 'DWR_B']
+    when hit then [{_case('source', _DROP_EXACT)}]
+    when tried and bare in ('Bobkun_Zensad_River', 'Zensad', 'Vemnon_Irrigation_District', 'Zensad_R', 'Soslif_Zoztip_River', 'DWR_A', 'DWR_B') then [{_case('bare', _DROP_EXACT)}]
+    else [source] end) as source from b{i})"""
+        for i in range(2)
+    )
+    + " select edge_id, source from x1",
 }
