@@ -80,7 +80,7 @@ def test_louvain_finds_two_cliques(spark):
 
     edges = [*clique("a"), *clique("b"), ("g", "a0", "b0", "x", "VB")]
     nodes = [("g", f"{p}{i}", "T", 1) for p in "ab" for i in range(5)]
-    for most in (N.LOUVAIN_PAIRS, 0):  # by Louvain's method, and by propagation
+    for most in (N.TASK_PAIRS, 0):  # in tasks, and by joins
         found = N.communities(make(spark, nodes, edges), most)
         sets = {}
         for r in found.collect():
@@ -105,3 +105,79 @@ def test_composites_and_rankings(spark, graphs):
     assert {r.head_verb_lemma: r.avg_share for r in N.top_lemmas(g).collect()}["run"] == pytest.approx((2 / 3 + 2 / 3) / 3)
     metrics = {(r.graph_id, r.entity_name): r for r in N.node_metrics(g).collect()}
     assert metrics["m", "p"].mutual_share == 1.0 and metrics["t", "z"].n_partners == 0
+
+
+def test_communities_are_the_same_in_tasks_and_by_joins(spark):
+    rng = random.Random(11)
+    edges = [("star", "z", f"s{i}", "go", "VB") for i in range(6)] + [("pair", "b", "a", "go", "VB")] + [("ring", f"r{i}", f"r{(i + 1) % 9}", "go", "VB") for i in range(9)]
+    edges += [("blocks", f"{b}{rng.randrange(5)}", f"{b}{rng.randrange(5)}", "go", "VB") for b in "xyz" for _ in range(25)] + [("blocks", "x0", "y0", "go", "VB"), ("blocks", "y1", "z1", "go", "VB")]
+    nodes = sorted({(g, v, "ORG", 1) for g, a, b, *_ in edges for v in (a, b)}) + [("alone", "q", "ORG", 1)]
+    g = make(spark, nodes, edges, collapse_edges=True)
+    here, there = ({(r.graph_id, r.entity_name): r.community for r in N.communities(g, n).collect()} for n in (N.TASK_PAIRS, 0))
+    assert here == there and len(here) == len(nodes)
+    assert {v for (k, _), v in here.items() if k == "star"} == {"s0"} and here["pair", "b"] == "a" and here["alone", "q"] == "q"
+    assert all(v[0] == name[0] for (k, name), v in here.items() if k == "blocks")
+
+
+def shortest(links, names):
+    """(distance, number of shortest paths) by ordered pair."""
+    out = {}
+    for s in names:
+        dist, count, queue = {s: 0}, {s: 1}, [s]
+        for v in queue:
+            for w in sorted(links[v]):
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        out |= {(s, v): (dist[v], count[v]) for v in dist}
+    return out
+
+
+def test_node_metrics_against_brute_force(spark):
+    rng = random.Random(4)
+    names = [f"v{i}" for i in range(9)]
+    edges = sorted({("g", *rng.sample(names[:8], 2), "go", "VB") for _ in range(17)}) + [("g", "v0", "v0", "go", "VB")]
+    g = make(spark, [("g", v, "ORG", 1) for v in names], edges)
+    links = {v: {b if a == v else a for _, a, b, *_ in edges if v in (a, b)} - {v} for v in names}
+    near = shortest(links, names)
+    got = {r.entity_name: r for r in N.centralities(g).collect()}
+    for v in names:
+        close = sum(1 / d for (s, t), (d, _) in near.items() if s == v and d) / 8
+        between = sum(
+            near[s, v][1] * near[v, t][1] / near[s, t][1]
+            for s, t in itertools.combinations(names, 2)
+            if v not in (s, t) and (s, t) in near and (s, v) in near and (v, t) in near and near[s, v][0] + near[v, t][0] == near[s, t][0]
+        )
+        assert got[v].closeness == pytest.approx(close) and got[v].betweenness == pytest.approx(between)
+    a = {(x, y): 0 for x in names for y in names} | {(x, y): 1 for _, x, y, *_ in edges if x != y}
+    both = {k: a[k] + a[k[::-1]] for k in a}
+    got = {r.entity_name: r.clustering for r in N.clustering(g).collect()}
+    for v in names:
+        d, r = sum(both[v, w] for w in names), sum(a[v, w] * a[w, v] for w in names)
+        n = sum(both[v, x] * both[x, y] * both[y, v] for x in names for y in names) / 2
+        assert got[v] == pytest.approx(n / (d * (d - 1) - 2 * r) if d * (d - 1) - 2 * r else 0)
+    assert N.centralities(make(spark, [("g", "a", None, 1)], [])).collect()[0][2:] == (0.0, 0.0)
+
+
+def test_graph_files_and_rankings(spark, graphs, tmp_path):
+    g = make(spark, *graphs, collapse_edges=True, self_loops=False)
+    N.write_graph(g, str(tmp_path / "g"))
+    back = N.read_graph(spark, str(tmp_path / "g"))
+    assert (back.self_loops, back.collapsed) == (False, True) and sorted(back.edges.collect()) == sorted(g.edges.collect())
+    N.write_graph(make(spark, *graphs), str(tmp_path / "m"))
+    here, there = N.top_features(make(spark, *graphs)), N.top_features(str(tmp_path / "m"), spark)
+    assert [x.collect() for x in here] == [x.collect() for x in there]
+    shares = [(-r.avg_share, r.entity_name) for r in there[0].collect()]
+    assert shares == sorted(shares) and len(shares) == 7
+    with pytest.raises(Exception, match="exists"):
+        N.write_graph(g, str(tmp_path / "g"), overwrite=False)
+
+
+def test_components_of_a_star_beyond_the_small_side(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL_LABELS", 0)
+    edges = [("g", "hub", f"s{i}", "go", "VB") for i in range(40)] + [("g", f"c{i}", f"c{i + 1}", "go", "VB") for i in range(12)]
+    nodes = sorted({("g", v, "ORG", 1) for _, a, b, *_ in edges for v in (a, b)})
+    got = {r.entity_name: r.component for r in N.components(make(spark, nodes, edges)).collect()}
+    assert got == {v: "hub" if v[0] in "hs" else "c0" for _, v, *_ in nodes}

@@ -7,18 +7,19 @@ however many edges a pair has.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.session import cut, hint_small
+from tidegraph.session import cut, cut_in_loop, hint_small
 
 G = "graph_id"
-#: Graphs with more pairs are split into communities by label propagation over joins.
-LOUVAIN_PAIRS, PROPAGATION_ROUNDS = 1_000_000, 12
+#: Pairs of a graph up to which its communities are computed in one task; larger graphs go by joins, with the same result.
+TASK_PAIRS = 1_000_000
+#: Rows of a side with one row per key up to which it is broadcast; beyond it, the places in which each key is met.
+SMALL_LABELS, SALTS = 200_000, 32
 #: Graphs up to which a row per graph is broadcast.
 SMALL_GRAPHS = 200_000
 FORMATS = ("igraph", "network")
@@ -139,12 +140,10 @@ def centralization(g: Graph) -> DataFrame:
     return s.select(G, F.try_divide(F.col("m") * n - F.col("s"), most).alias("centralization"))
 
 
-def transitivity(g: Graph) -> DataFrame:
-    """Share of ordered paths i, j, k of three vertices that i leads to k as well.
-
-    Paths are counted from degrees. Closed ones are found per triangle, from its vertex of lowest
-    degree, whose pairs of neighbours are few even where a hub has very many.
-    """
+def triangles(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, vertices, triangles). pairs (a, b, m): m is 1 for a to b, 2 for b to a, 3 for both; vertices (v, i, o, d): pairs in
+    and out, and partners. A triangle is found once, from its vertex of lowest degree, whose pairs of
+    neighbours are few even where a hub has very many: (low, a, b), ua and ub from low, au and bu to it, m of a and b."""
     p = pairs(g).where(F.col("source") != F.col("target")).select(G, "source", "target")
     und = (
         p.select(
@@ -171,8 +170,6 @@ def transitivity(g: Graph) -> DataFrame:
         .groupBy(G, "v")
         .agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.count("*").alias("d"))
     )
-    mutual = und.groupBy(G).agg((2 * F.count_if(F.col("m") == 3)).alias("mutual"))
-    paths = flow.groupBy(G).agg(F.sum(F.col("i") * F.col("o")).alias("through")).join(mutual, G).select(G, (F.col("through") - F.col("mutual")).alias("paths"))
     da, db = flow.select(G, F.col("v").alias("a"), F.col("d").alias("da")), flow.select(G, F.col("v").alias("b"), F.col("d").alias("db"))
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     # out: the pair's bit from low to high; back: from high to low.
@@ -185,7 +182,15 @@ def transitivity(g: Graph) -> DataFrame:
     )
     x = o.select(G, "low", F.col("high").alias("a"), F.col("out").alias("ua"), F.col("back").alias("au"))
     y = o.select(G, "low", F.col("high").alias("b"), F.col("out").alias("ub"), F.col("back").alias("bu"))
-    t = x.join(y, [G, "low"]).where(F.col("a") < F.col("b")).join(und, [G, "a", "b"])
+    return und, flow, x.join(y, [G, "low"]).where(F.col("a") < F.col("b")).join(und, [G, "a", "b"])
+
+
+def transitivity(g: Graph) -> DataFrame:
+    """Share of ordered paths i, j, k of three vertices that i leads to k as well. Paths are counted from degrees, closed ones
+    per triangle."""
+    und, flow, t = triangles(g)
+    mutual = und.groupBy(G).agg((2 * F.count_if(F.col("m") == 3)).alias("mutual"))
+    paths = flow.groupBy(G).agg(F.sum(F.col("i") * F.col("o")).alias("through")).join(mutual, G).select(G, (F.col("through") - F.col("mutual")).alias("paths"))
     ab, ba = F.col("m") != 2, F.col("m") != 1
     ua, au, ub, bu = (F.col(c) for c in ("ua", "au", "ub", "bu"))
     closed = [ua & ab & ub, ub & ba & ua, au & ub & ab, ab & bu & au, bu & ua & ba, ba & au & bu]
@@ -196,22 +201,38 @@ def transitivity(g: Graph) -> DataFrame:
     return paths.join(hits, G, "left").select(G, F.try_divide(F.coalesce("closed", F.lit(0)), F.col("paths")).alias("transitivity"))
 
 
+def salted(rows: DataFrame, by: str, one: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+    """``rows`` left join ``one``, which has one row per ``keys``: a key that very many rows have is met
+    in ``SALTS`` places, a row's place being the hash of its column ``by``. ``one`` is broadcast while it is small;
+    size: its rows or a bound of them, if known."""
+    if (one.count() if size is None else size) <= SMALL_LABELS:
+        return rows.join(F.broadcast(one), keys, "left")
+    salt = F.pmod(F.hash(by), F.lit(SALTS))
+    spread = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(spread, [*keys, "__salt"], "left").drop("__salt")
+
+
 def components(g: Graph) -> DataFrame:
     """(graph_id, entity_name, component): weak components, named by their smallest vertex.
 
     Every round takes the smallest label around and then the label of the label, so that the number of
-    rounds is about the logarithm of the longest chain.
+    rounds is about the logarithm of the longest chain. Only labels that changed are passed on: a
+    vertex whose label stayed has told its neighbours, and a label whose own label stayed leads nowhere, so what all
+    rows of a giant component share takes part in no join.
     """
     e = g.edges.where(F.col("source") != F.col("target")).select(G, "source", "target").distinct()
-    both = cut(e.select(G, F.col("source").alias("x"), F.col("target").alias("y")).union(e.select(G, "target", "source")).distinct())
-    labels = cut(g.vertices.select(G, F.col("entity_name").alias("x"), F.col("entity_name").alias("label")))
+    both = cut_in_loop(e.select(G, F.col("source").alias("x"), F.col("target").alias("y")).union(e.select(G, "target", "source")).distinct())
+    labels = cut_in_loop(g.vertices.select(G, F.col("entity_name").alias("x"), F.col("entity_name").alias("label")))
+    news = labels
     while True:
-        near = both.join(labels.select(G, F.col("x").alias("y"), "label"), [G, "y"]).groupBy(G, "x").agg(F.min("label").alias("near"))
-        low = labels.join(near, [G, "x"], "left").select(G, "x", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = low.select(G, F.col("x").alias("label"), F.col("label").alias("further"))
-        labels2 = cut(low.join(jump, [G, "label"], "left").select(G, "x", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        told = news.select(G, F.col("x").alias("y"), F.col("label").alias("near"))
+        near = salted(both, "x", told, [G, "y"]).where(F.col("near").isNotNull()).groupBy(G, "x").agg(F.min("near").alias("near"))
+        low = cut_in_loop(labels.join(near, [G, "x"], "left").select(G, "x", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")))
+        jump = cut_in_loop(low.where(F.col("label") != F.col("x")).select(G, F.col("x").alias("label"), F.col("label").alias("further")))
+        labels2 = cut_in_loop(salted(low, "x", jump, [G, "label"]).select(G, "x", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = labels2.select(G, "x", "label")
-        if labels2.where(F.col("old") != F.col("label")).isEmpty():
+        news = labels2.where(F.col("old") != F.col("label")).select(G, "x", "label")
+        if news.isEmpty():
             return labels.select(G, F.col("x").alias("entity_name"), F.col("label").alias("component"))
 
 
@@ -232,80 +253,133 @@ def undirected(g: Graph) -> DataFrame:
     return pairs(g).groupBy(G, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("w"))
 
 
-def louvain(edges: list[tuple[str, str, float]]) -> dict[str, str]:
-    """Communities of one weighted undirected graph, without chance: vertices in order of name, the
-    smallest community of equally good ones."""
-    member: dict[str, str] = {}
+def moves(edges: list[tuple[str, str, int]]) -> dict[str, str]:
+    """Communities of one weighted undirected graph, without chance: the rounds of ``communities`` on dictionaries."""
+    member = {v: v for a, b, _ in edges for v in (a, b)}
     level = edges
     while True:
-        near: dict[str, dict[str, float]] = {}
-        loop: dict[str, float] = {}
+        near: dict[str, dict[str, int]] = {}
+        loop: dict[str, int] = {}
         for a, b, w in level:
             if a == b:
-                loop[a] = loop.get(a, 0.0) + w
+                loop[a] = loop.get(a, 0) + w
                 near.setdefault(a, {})
             else:
-                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-                near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
-        k = {v: sum(n.values()) + 2 * loop.get(v, 0.0) for v, n in near.items()}
+                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0) + w
+                near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0) + w
+        k = {v: sum(n.values()) + 2 * loop.get(v, 0) for v, n in near.items()}
         m2 = sum(k.values())
-        if not m2:
-            return member or {v: v for v in near}
-        com, total = {v: v for v in near}, dict(k)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for v in sorted(near):
-                links: dict[str, float] = {}
-                for u, w in near[v].items():
-                    links[com[u]] = links.get(com[u], 0.0) + w
-                old = com[v]
-                total[old] -= k[v]
-                best, gain = old, links.get(old, 0.0) - total[old] * k[v] / m2
-                for c in sorted(links):
-                    g = links[c] - total[c] * k[v] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] = total.get(best, 0.0) + k[v]
-                if best != old:
-                    com[v], moved, moved_any = best, True, True
-        member = {v: com[c] for v, c in member.items()} if member else dict(com)
-        if not moved_any:
-            return member
-        merged: dict[tuple[str, str], float] = {}
+        com, q = {v: v for v in near}, m2 * 2 * sum(loop.values()) - sum(x * x for x in k.values())
+        down, idle, moved = True, 0, False
+        while idle < 2:
+            total: dict[str, int] = {}
+            for v, c in com.items():
+                total[c] = total.get(c, 0) + k[v]
+            new = dict(com)
+            for v, n in near.items():
+                links: dict[str, int] = {}
+                for u, w in n.items():
+                    links[com[u]] = links.get(com[u], 0) + w
+                stay = links.get(com[v], 0) * m2 - (total[com[v]] - k[v]) * k[v]
+                ways = [(stay - w * m2 + total[c] * k[v], c) for c, w in links.items() if (c < com[v] if down else c > com[v])]
+                if ways and min(ways)[0] < 0:
+                    new[v] = min(ways)[1]
+            total = {}
+            for v, c in new.items():
+                total[c] = total.get(c, 0) + k[v]
+            q2 = m2 * (2 * sum(loop.values()) + sum(w for v, n in near.items() for u, w in n.items() if new[u] == new[v])) - sum(x * x for x in total.values())
+            idle = 0 if q2 > q else idle + 1
+            if q2 > q:
+                com, q, moved = new, q2, True
+            down = not down
+        member = {v: com[c] for v, c in member.items()}
+        if not moved:
+            least: dict[str, str] = {}
+            for v, c in member.items():
+                least[c] = min(v, least.get(c, v))
+            return {v: least[c] for v, c in member.items()}
+        merged: dict[tuple[str, str], int] = {}
         for a, b, w in level:
-            key = tuple(sorted((com[a], com[b])))
-            merged[key] = merged.get(key, 0.0) + w
+            key = (min(com[a], com[b]), max(com[a], com[b]))
+            merged[key] = merged.get(key, 0) + w
         level = [(a, b, w) for (a, b), w in merged.items()]
 
 
-def communities(g: Graph, louvain_pairs: int = LOUVAIN_PAIRS) -> DataFrame:
-    """(graph_id, entity_name, community). Graphs of up to ``louvain_pairs`` pairs by Louvain's
-    method, one graph a task; larger ones by label propagation over joins. Isolates are each a
-    community."""
+def communities(g: Graph, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """(graph_id, entity_name, community), named by its smallest vertex. Isolates are each a community.
+
+    Louvain's levels with moves in rounds: all vertices of a round move at once to the community around that gains most
+    modularity, of equal ones the smallest; to smaller names only in one round and to larger ones in the next, so that two never
+    swap. A round counts if modularity rises, in whole numbers; after two that don't, communities become the
+    vertices of the next level, and a level without moves ends it. Graphs of up to ``task_pairs`` pairs run
+    in a task, larger ones by joins: where a graph is computed makes no difference to its communities.
+    """
     u = cut(undirected(g))
-    sizes_ = u.groupBy(G).agg((F.count("*") > louvain_pairs).alias("large"))
+    sizes_ = u.groupBy(G).agg((F.count("*") > task_pairs).alias("large"))
     tagged = u.join(sizes_, G)
     kind = dict(u.dtypes)[G]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = louvain(list(zip(pdf["a"], pdf["b"], pdf["w"].astype(float), strict=True)))
+        got = moves(list(zip(pdf["a"], pdf["b"], pdf["w"].astype(int).tolist(), strict=True)))
         return pd.DataFrame({G: key[0], "entity_name": list(got), "community": list(got.values())})
 
     found = tagged.where(~F.col("large")).select(G, "a", "b", "w").groupBy(G).applyInPandas(one, f"{G} {kind}, entity_name string, community string")
     large = tagged.where("large").select(G, "a", "b", "w")
     if not large.isEmpty():
-        found = found.unionByName(_propagate(large))
+        found = found.unionByName(_moves_by_joins(large))
     return g.vertices.select(G, "entity_name").join(found, [G, "entity_name"], "left").select(G, "entity_name", F.coalesce("community", "entity_name").alias("community"))
 
 
-def _propagate(u: DataFrame) -> DataFrame:
-    both = cut(u.select(G, F.col("a").alias("x"), F.col("b").alias("y"), "w").union(u.where("a <> b").select(G, "b", "a", "w")))
-    labels = both.select(G, "x", F.col("x").alias("label")).distinct()
-    for _ in range(PROPAGATION_ROUNDS):
-        votes = both.join(labels.select(G, F.col("x").alias("y"), "label"), [G, "y"]).groupBy(G, "x", "label").agg(F.sum("w").alias("w"))
-        labels = cut(votes.groupBy(G, "x").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
-    return labels.select(G, F.col("x").alias("entity_name"), F.col("label").alias("community"))
+def _moves_by_joins(u: DataFrame) -> DataFrame:
+    """The rounds of ``moves`` for all graphs at once. A hub's or a large community's one row is met in several places."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    level, member = u, None
+    while True:
+        both = cut_in_loop(level.where("a <> b").select(G, F.col("a").alias("x"), F.col("b").alias("y"), "w").union(level.where("a <> b").select(G, "b", "a", "w")))
+        ends = both.select(G, F.col("x").alias("v"), "w").union(level.where("a = b").select(G, "a", 2 * F.col("w")))
+        k = cut_in_loop(ends.groupBy(G, "v").agg(F.sum("w").alias("k")))
+        size = k.count()  # no table by vertex or community has more rows at this level
+        m2 = k.groupBy(G).agg(F.sum("k").alias("m2"), F.sum(big("k") * big("k")).alias("kk"))
+        loops = level.where("a = b").groupBy(G).agg((2 * F.sum("w")).alias("l2"))
+        state = cut_in_loop(m2.join(loops, G, "left").na.fill(0, ["l2"]).select(G, "m2", "l2", (big("m2") * big("l2") - F.col("kk")).alias("q"), F.lit(0).alias("idle"), F.lit(False).alias("moved")))
+        com, down = k.select(G, "v", "k", F.col("v").alias("c")), True
+        while not state.where("idle < 2").isEmpty():
+            now = com.join(hint_small(state.select(G, "m2"), SMALL_GRAPHS, 0 if size <= SMALL_GRAPHS else None), G)
+            total = now.groupBy(G, "c").agg(F.sum("k").alias("total"))
+            near = salted(both, "x", now.select(G, F.col("v").alias("y"), "c"), [G, "y"], size)
+            links = near.groupBy(G, F.col("x").alias("v"), "c").agg(F.sum("w").alias("links"))
+            here = salted(now, "v", total.select(G, "c", F.col("total").alias("own")), [G, "c"], size).withColumnRenamed("c", "old")
+            ways = salted(links, "v", total, [G, "c"], size).join(here, [G, "v"])
+            stay = F.coalesce(F.max(F.when(F.col("c") == F.col("old"), F.col("links"))), F.lit(0))
+            # What a community costs against staying, but for the links that stay, which are the same for all of a vertex.
+            cost = big("total") * big("k") - (big("own") - big("k")) * big("k") - big("links") * big("m2")
+            turn = F.col("c") < F.col("old") if down else F.col("c") > F.col("old")
+            best = ways.groupBy(G, "v").agg(
+                (stay.cast("decimal(38,0)") * F.max(big("m2"))).alias("stay"), F.min(F.when(turn, F.struct(cost.alias("cost"), "c"))).alias("x")
+            ).where(F.col("stay") + F.col("x.cost") < 0).select(G, "v", F.col("x.c").alias("new"))
+            new = cut_in_loop(com.join(best, [G, "v"], "left").select(G, "v", "k", "c", F.coalesce("new", "c").alias("new")))
+            squares = new.groupBy(G, "new").agg(F.sum("k").alias("k")).groupBy(G).agg(F.sum(big("k") * big("k")).alias("kk"))
+            named = new.select(G, F.col("v").alias("y"), F.col("new").alias("cy"))
+            inside = (
+                salted(salted(both, "x", named, [G, "y"], size), "y", named.toDF(G, "x", "cx"), [G, "x"], size)
+                .where("cx = cy").groupBy(G).agg(F.sum("w").alias("inside"))
+            )
+            q2 = big("m2") * (big("l2") + F.coalesce(big("inside"), F.lit(0))) - F.col("kk")
+            tried = state.join(squares, G).join(inside, G, "left").withColumn("q2", q2).withColumn("up", F.col("q2") > F.col("q"))
+            state = cut_in_loop(tried.select(G, "m2", "l2", F.when(F.col("up"), F.col("q2")).otherwise(F.col("q")).alias("q"), F.when(F.col("up"), 0).otherwise(F.col("idle") + 1).alias("idle"), (F.col("moved") | F.col("up")).alias("moved"), "up"))
+            com = new.join(hint_small(state.select(G, "up"), SMALL_GRAPHS, 0 if size <= SMALL_GRAPHS else None), G).select(G, "v", "k", F.when(F.col("up"), F.col("new")).otherwise(F.col("c")).alias("c"))
+            down = not down
+        com = cut_in_loop(com)
+        step = com.select(G, F.col("v").alias("at"), "c")
+        member = cut_in_loop(
+            com.select(G, "v", "c") if member is None
+            else salted(member.withColumnRenamed("c", "at"), "v", step, [G, "at"], size).select(G, "v", F.coalesce("c", "at").alias("c"))
+        )
+        if state.where("moved").isEmpty():
+            least = member.groupBy(G, "c").agg(F.min("v").alias("community"))
+            return salted(member, "v", least, [G, "c"], size).select(G, F.col("v").alias("entity_name"), "community")
+        ca, cb = com.select(G, F.col("v").alias("a"), F.col("c").alias("ca")), com.select(G, F.col("v").alias("b"), F.col("c").alias("cb"))
+        level = cut_in_loop(salted(salted(level, "b", ca, [G, "a"], size), "a", cb, [G, "b"], size).groupBy(G, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
 def modularity(g: Graph, found: DataFrame) -> DataFrame:
@@ -396,5 +470,73 @@ def overlap(vertices: DataFrame) -> DataFrame:
     return per_name.groupBy("n_graphs").agg(F.count("*").alias("n_names"))
 
 
-def columns(g: Graph) -> Sequence[str]:
-    return g.edges.columns
+def top_features(graphs: Graph | str, spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rankings (entities, lemmas), each sorted by share and then name, of graphs or of the folder they were written to."""
+    g = read_graph(spark, graphs) if isinstance(graphs, str) else graphs
+    return top_entities(g).orderBy(F.desc("avg_share"), "entity_name"), top_lemmas(g).orderBy(F.desc("avg_share"), "head_verb_lemma")
+
+
+def write_graph(g: Graph, path: str, overwrite: bool = True) -> None:
+    """Three parquet folders under one path: vertices, edges, and the two flags."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    g.vertices.write.mode(mode).parquet(f"{path}/vertices")
+    g.edges.write.mode(mode).parquet(f"{path}/edges")
+    g.vertices.sparkSession.createDataFrame([(g.self_loops, g.collapsed)], "self_loops boolean, collapsed boolean").coalesce(1).write.mode(mode).parquet(f"{path}/flags")
+
+
+def read_graph(spark: SparkSession, path: str) -> Graph:
+    flags = spark.read.parquet(f"{path}/flags").first()
+    return Graph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"), flags.self_loops, flags.collapsed)
+
+
+def clustering(g: Graph) -> DataFrame:
+    """(graph_id, entity_name, clustering): of the directed triangles that a vertex's pairs could make, the share there is:
+    over d(d-1)-2r, d being its pairs in and out and r its mutual partners; 0 where none is possible. Loops don't count."""
+    und, flow, t = triangles(g)
+    one = lambda *cs: sum((F.col(c).cast("long") for c in cs[1:]), F.col(cs[0]).cast("long"))
+    n = one("ua", "au") * one("ub", "bu") * F.when(F.col("m") == 3, 2).otherwise(1)
+    at = t.select(G, F.explode(F.array("low", "a", "b")).alias("v"), n.alias("n")).groupBy(G, "v").agg(F.sum("n").alias("n"))
+    mutual = und.where("m = 3").select(G, F.explode(F.array("a", "b")).alias("v")).groupBy(G, "v").agg(F.count("*").alias("r"))
+    d = F.col("i") + F.col("o")
+    share = flow.join(at, [G, "v"], "left").join(mutual, [G, "v"], "left").select(
+        G, F.col("v").alias("entity_name"), F.try_divide(F.coalesce("n", F.lit(0)), d * (d - 1) - 2 * F.coalesce("r", F.lit(0))).alias("clustering")
+    )
+    return g.vertices.select(G, "entity_name").join(share, [G, "entity_name"], "left").select(G, "entity_name", F.coalesce("clustering", F.lit(0.0)).alias("clustering"))
+
+
+def centralities(g: Graph) -> DataFrame:
+    """(graph_id, entity_name, closeness, betweenness) without directions: the mean of one over the distance to all others, 0 for
+    those out of reach, and the shares of shortest paths between pairs of others that lead through it.
+
+    Shortest paths run from all vertices at once, a join per step; then what depends on each vertex comes back step
+    by step. Both are over pairs of vertices that reach each other, so the work grows with their number.
+    """
+    u = pairs(g).where(F.col("source") != F.col("target"))
+    both = cut_in_loop(u.select(G, F.col("source").alias("x"), F.col("target").alias("y")).union(u.select(G, "target", "source")).distinct())
+    front = cut_in_loop(both.select(G, F.col("x").alias("s")).distinct().select(G, "s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
+    seen, steps = front.select(G, "s", "v"), [front]
+    while True:
+        further = front.join(both.withColumnRenamed("x", "v"), [G, "v"]).groupBy(G, "s", F.col("y").alias("v")).agg(F.sum("paths").alias("paths"))
+        front = cut_in_loop(further.join(seen, [G, "s", "v"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = cut_in_loop(seen.unionByName(front.select(G, "s", "v")))
+        steps.append(front)
+    near = steps[0].select(G, "s", F.lit(0.0).alias("r"))
+    for d, step in enumerate(steps[1:], 1):
+        near = near.unionByName(step.select(G, "s", F.lit(1.0 / d).alias("r")))
+    close = near.groupBy(G, F.col("s").alias("entity_name")).agg(F.sum("r").alias("r"))
+    through, owed = None, steps[-1].withColumn("owed", F.lit(0.0))
+    for step in steps[-2:0:-1]:
+        back = owed.join(both.withColumnRenamed("x", "v"), [G, "v"]).select(G, "s", F.col("y").alias("v"), ((1 + F.col("owed")) / F.col("paths")).alias("part"))
+        parts = back.join(step.select(G, "s", "v"), [G, "s", "v"], "left_semi").groupBy(G, "s", "v").agg(F.sum("part").alias("part"))
+        owed = cut_in_loop(step.join(parts, [G, "s", "v"], "left").select(G, "s", "v", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("owed")))
+        here = owed.select(G, F.col("v").alias("entity_name"), "owed")
+        through = here if through is None else through.unionByName(here)
+    n = g.vertices.groupBy(G).agg(F.count("*").alias("n"))
+    out = g.vertices.select(G, "entity_name").join(hint_small(n, SMALL_GRAPHS), G).join(close, [G, "entity_name"], "left")
+    if through is None:
+        out = out.withColumn("b", F.lit(None).cast("double"))
+    else:
+        out = out.join(through.groupBy(G, "entity_name").agg((F.sum("owed") / 2).alias("b")), [G, "entity_name"], "left")
+    return out.select(G, "entity_name", F.coalesce(F.try_divide("r", F.col("n") - 1), F.lit(0.0)).alias("closeness"), F.coalesce("b", F.lit(0.0)).alias("betweenness"))

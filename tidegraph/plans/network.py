@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators import network as N
-from tidegraph.session import table
+from tidegraph.session import scratch, table
 
 
 def base_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,19 @@ def q_combine(mode: str, part: int):
     return run
 
 
+def q_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collapsed graphs, written to files and read again."""
+    path = scratch(spark, "graphs")
+    N.write_graph(a_graph(spark, sf_dir, collapse_edges=True), path)
+    return N.read_graph(spark, path).edges
+
+
 QUERIES = {
+    "graph_roundtrip": q_roundtrip,
+    "node_clustering": _stat(N.clustering),
+    "node_centrality": _stat(N.centralities),
+    "top_features_entities": lambda s, d: _rounded(N.top_features(a_graph(s, d))[0].limit(20)),
+    "top_features_lemmas": lambda s, d: _rounded(N.top_features(a_graph(s, d))[1].limit(20)),
     "net_vertices": lambda s, d: a_graph(s, d).vertices,
     "net_collapse": lambda s, d: a_graph(s, d, collapse_edges=True).edges,
     "net_no_loops": lambda s, d: a_graph(s, d, self_loops=False).edges.select("graph_id", "edge_id", "source", "target"),
@@ -107,6 +119,14 @@ reach as (
 """
 
 ORACLE = {
+    "graph_roundtrip": _BASE + "select graph_id, source, target, weight from p",
+    "node_clustering": _BASE
+    + """, q as (select graph_id, source, target from p where source <> target),
+s as (select graph_id, x, y, count(*) as s from (select graph_id, source as x, target as y from q union all select graph_id, target, source from q) group by all),
+d as (select graph_id, x, sum(s) as d, count(*) filter (where s = 2) as r from s group by all),
+t as (select a.graph_id, a.x, sum(a.s * b.s * c.s) / 2 as n from s a join s b on b.graph_id = a.graph_id and b.x = a.y join s c on c.graph_id = a.graph_id and c.x = b.y and c.y = a.x group by all)
+select v.graph_id, v.entity_name, round(case when d * (d - 1) - 2 * r > 0 then coalesce(n, 0) / (d * (d - 1) - 2 * r) else 0.0 end, 9) as clustering
+from v left join d on d.graph_id = v.graph_id and d.x = v.entity_name left join t on t.graph_id = v.graph_id and t.x = v.entity_name""",
     "net_vertices": _BASE + "select * from v",
     "net_collapse": _BASE + "select graph_id, source, target, weight from p",
     "net_no_loops": _BASE + "select graph_id, edge_id, source, target from e where source <> target",
@@ -166,3 +186,5 @@ from (select graph_id, entity_name, (i + o) as d, sum(i + o) over (partition by
     + """select head_verb_lemma, round(sum(c / t) / (select count(distinct graph_id) from v), 9) as avg_share
 from (select graph_id, head_verb_lemma, count(*) as c, sum(count(*)) over (partition by graph_id) as t from e where head_verb_lemma is not null group by 1, 2) group by 1""",
 }
+ORACLE["top_features_entities"] = ORACLE["top_entities"] + " order by avg_share desc, entity_name limit 20"
+ORACLE["top_features_lemmas"] = ORACLE["top_lemmas"] + " order by avg_share desc, head_verb_lemma limit 20"

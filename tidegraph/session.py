@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """``cut`` for tables that come from themselves again and again. A checkpoint keeps the planner's estimate of its
+    size, which a join multiplies; after some rounds the estimates have millions of digits and planning
+    doesn't end. This one has no estimate, and the adaptive planner goes by real sizes."""
+    done = cut(df)
+    try:
+        plain = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    except Exception:  # not a session in this process: the estimate stays
+        return done
+    return DataFrame(plain, df.sparkSession)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
