@@ -10,7 +10,7 @@ from tidegraph.functions.entities import clean_entities
 from tidegraph.operators import acronyms as A
 from tidegraph.operators import disambiguate as D
 from tidegraph.operators import entities as E
-from tidegraph.operators.annotate import RuleAnnotator, concatenate_phrases, keep_hyphens, parse_text, save_tokens, should_parse
+from tidegraph.operators.annotate import RuleAnnotator, concatenate_phrases, keep_hyphens, parse_files, parse_text, save_tokens, should_parse
 from tidegraph.operators.extract import extract_network, read_extract, write_extract
 from tidegraph.sources import lexicon as L
 from tidegraph.sources import pages as P
@@ -190,3 +190,38 @@ def test_lexicon(spark, tmp_path):
     (words / "english-words.10").write_bytes("caf\xe9\nfar\n".encode("latin1"))
     (words / "english-words.95").write_text("rare\n")
     assert {r.word for r in L.read_dictionary(spark, str(words)).collect()} == {"café", "far"}
+
+
+def test_patterns_within_words(spark):
+    t = spark.createDataFrame(TOKENS, SCHEMA)
+    sub = lambda names, **o: sorted((r.start, r.n, r.label) for r in E.ruler_matches(t, E.specify_names(spark, names, "X", whole_word_only=False, **o)).collect())
+    assert sub(["ENTRA"]) == [(1, 1, "X")] and sub(["ENTRA"], case_sensitive=True) == [] and sub(["y Boa"], case_sensitive=True) == [(2, 2, "X")]
+    assert sub(["val", "ral valley b"]) == [(1, 3, "X")] and sub(["nothing"]) == []
+    both = E.specify_names(spark, ["met"], "W").unionByName(E.specify_names(spark, ["oar"], "S", whole_word_only=False))
+    assert sorted((r.start, r.label) for r in E.ruler_matches(t, both).collect()) == [(3, "S"), (4, "W")]
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 1, "Central Board met."), ("b", 1, "Valley Board met.")], "file_id string, page_no int, text string")
+    path, files = str(tmp_path / "parsed"), lambda df: sorted({r.file_id for r in df.collect()})
+    assert files(parse_files(pages.where("file_id = 'a'"), RuleAnnotator(["met"]), path)) == ["a"]
+    assert files(parse_files(pages, RuleAnnotator(["met"]), path, overwrite=False)) == ["b"]
+    assert parse_files(pages, RuleAnnotator(["met"]), path, overwrite=False).count() == 0
+    assert files(parse_files(pages, RuleAnnotator(["met"]), path, overwrite=False, test=True)) == ["a", "b"]
+    assert spark.read.parquet(path).count() == 8
+    spec = E.specify_names(spark, ["Board"], "BODY")
+    tags = lambda where: {r.entity for r in parse_text(pages, RuleAnnotator(["met"]), patterns=spec, ruler_position=where).collect()}
+    assert "BODY_B" in tags("after") and "BODY_B" not in tags("before")
+    with pytest.raises(ValueError):
+        parse_text(pages, RuleAnnotator(), ruler_position="within")
+
+
+def test_rules_of_both_kinds(spark):
+    mixed = D.compile_rules(["A", "A_B"], ["Q", "X"], [True, False])
+    assert rewritten(spark, ["A_B", "A", "B_A"], mixed) == ["B_Q", "Q", "Q_B"]
+    own = D.compile_rules(["Upper_MA", "MA"], ["North", "Mass"])
+    assert rewritten(spark, ["Upper_MA", "MA", "Upper_Mass", "Upper_"], own, try_drop="^Upper_") == ["Mass", "Mass", "North", "Upper_"]
+    assert rewritten(spark, ["Upper_DW"], D.compile_rules(["DW"], [["a", "b"]]), try_drop="^Upper_") == ["a", "b"]
+    with pytest.warns(UserWarning, match="partial"):
+        r = D.compile_rules(["aa", "cc"], ["x_cc", "y_aa"], True)
+    assert r.partial == [] and set(r.exact) == {"aa", "cc"}

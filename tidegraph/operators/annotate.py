@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph import schemas as S
 from tidegraph.operators.entities import apply_ruler, custom_entities
+from tidegraph.session import cut
 
 SCHEMA = (
     "file_id string, doc_id string, sentence_id int, token_id int, token string, lemma string, pos string, tag string, "
@@ -92,6 +93,7 @@ def parse_text(
     phrases: Sequence[str] = (),
     concatenator: str = "_",
     patterns: DataFrame | None = None,
+    ruler_position: str = "after",
     overwrite_ents: bool = True,
     custom: dict[str, Sequence[str]] | None = None,
     make: bool = False,
@@ -100,8 +102,11 @@ def parse_text(
 
     The annotator is sent to the tasks; with ``make`` it is a function that builds one per task, for
     those with models. Null pages have no tokens. Pages are independent, so nothing is shuffled until
-    patterns are applied. file_id must not be null.
+    patterns are applied. file_id must not be null. Patterns come ``after`` the annotator's entities, and override them
+    with ``overwrite_ents``, or ``before`` them: then the annotator has the last word.
     """
+    if ruler_position not in ("after", "before"):
+        raise ValueError("ruler_position must be 'after' or 'before'")
     S.require(pages, ("file_id", "page_no", "text"), "pages")
     text = concatenate_phrases(F.col("text"), phrases, concatenator)
     if keep_hyph_together:
@@ -120,7 +125,7 @@ def parse_text(
 
     tokens = pages.select("file_id", "page_no", text.alias("text")).where(F.col("file_id").isNotNull()).mapInPandas(run, SCHEMA)
     if patterns is not None:
-        tokens = apply_ruler(tokens, patterns, overwrite_ents)
+        tokens = apply_ruler(tokens, patterns, overwrite_ents and ruler_position == "after")
     if custom:
         tokens = custom_entities(tokens, custom, concatenator)
     return tokens
@@ -131,14 +136,30 @@ def should_parse(exists: bool, overwrite: bool, test: bool) -> tuple[bool, bool]
     return overwrite or not exists or test, overwrite or not exists
 
 
+def parse_files(pages: DataFrame, annotator: Annotator | Callable[[], Annotator], path: str, overwrite: bool = True, test: bool = False, **options) -> DataFrame:
+    """``parse_text`` with its results kept in one folder per file under ``path``. Without ``overwrite`` files that are
+    there are neither parsed nor written again, with ``test`` parsed but not written. Returns what was parsed."""
+    parse_all, _ = should_parse(True, overwrite, test)
+    there = _saved(pages.sparkSession, path)
+    todo = pages if parse_all or there is None else pages.join(there, "file_id", "left_anti")
+    tokens = cut(parse_text(todo, annotator, **options))
+    save_tokens(tokens, path, overwrite)
+    return tokens
+
+
+def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+    """The file_ids under the folder, or None if there is no such folder; any other failure is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(SCHEMA).parquet(path).select("file_id").distinct()
+
+
 def save_tokens(tokens: DataFrame, path: str, overwrite: bool = True) -> None:
     """One folder per file. Without ``overwrite`` existing files stay and only new ones are added."""
     if overwrite:
         tokens.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
         return
-    try:
-        there = tokens.sparkSession.read.parquet(path).select("file_id").distinct()
-    except Exception:  # nothing is there yet
-        there = None
+    there = _saved(tokens.sparkSession, path)
     new = tokens if there is None else tokens.join(there, "file_id", "left_anti")
     new.write.mode("append").partitionBy("file_id").parquet(path)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, islice
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +93,70 @@ def specify_names(
 
 
 def ruler_matches(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(sentence, start, n, label): where whole-word patterns occur, as equality of n-grams. Of
+    """(sentence, start, n, label): where patterns occur. Whole-word patterns are equality of n-grams;
+    patterns with text occur anywhere in the sentence, its tokens joined by blanks, and take all tokens they touch. Of
     overlapping matches the longest is taken, of equally long ones the first.
 
     Each token begins one n-gram per length that patterns have; the lengths are few. The patterns are
-    broadcast while they're a bounded number, else joined by shuffle.
+    broadcast while they're a bounded number, else joined by shuffle. Texts are looked for by one automaton for
+    ``SMALL_RULES`` of them, further ones by further passes.
     """
     p = patterns.where(F.col("tokens").isNotNull()).select("label", F.col("tokens").alias("gram"), F.size("tokens").alias("n"), "case_sensitive").distinct()
     lengths = [r.n for r in p.select("n").distinct().collect()]
-    if not lengths:
-        return tokens.sparkSession.createDataFrame([], "file_id string, doc_id string, sentence_id int, start int, n int, label string")
     rows = tokens.where(F.col("token_id").isNotNull()).groupBy(*S.SENTENCE).agg(F.array_sort(F.collect_set(F.struct("token_id", "token"))).alias("s"))
+    found = [_gram_hits(rows, p, lengths)] if lengths else []
+    texts = patterns.where(F.col("text") != "").select("text", "label", "case_sensitive").distinct().orderBy("text", "label").toLocalIterator()
+    while chunk := list(islice(texts, SMALL_RULES)):
+        found.append(_text_hits(rows, [tuple(r) for r in chunk]))
+    if not found:
+        return tokens.sparkSession.createDataFrame([], "file_id string, doc_id string, sentence_id int, start int, n int, label string")
+    hits = found[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    hits = hits.groupBy(*S.SENTENCE, "start", "n").agg(F.min("label").alias("label"))
+    # Longest first, then leftmost: a hit stays if it overlaps none that was taken before it.
+    ordered = hits.groupBy(*S.SENTENCE).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "start", "n", "label"))).alias("h"))
+    taken = F.aggregate(
+        "h",
+        F.slice("h", 1, 0),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (x.start < y.start + y.n) & (y.start < x.start + x.n)), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return ordered.select(*S.SENTENCE, F.explode(taken).alias("h")).select(*S.SENTENCE, "h.start", "h.n", "h.label")
+
+
+def _text_hits(rows: DataFrame, texts: list[tuple[str, str, bool]]) -> DataFrame:
+    """(sentence, start, n, label) of the texts within sentences; n counts up to the last token's number."""
+    shared = rows.sparkSession.sparkContext.broadcast(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = {}
+        for cased in (True, False):
+            labels: dict[str, list[str]] = {}
+            for text, label, c in shared.value:
+                if c == cased:
+                    labels.setdefault(text, []).append(label)
+            if labels:
+                automata[cased] = ahocorasick.Automaton()
+                for text, names in labels.items():
+                    automata[cased].add_word(text, (len(text), names))
+                automata[cased].make_automaton()
+        for b in batches:
+            out = []
+            for i, s in enumerate(b["s"].to_pylist()):
+                for cased, automaton in automata.items():
+                    ts = [(t["token"] or "") if cased else (t["token"] or "").lower() for t in s]
+                    starts = [0, *accumulate(len(t) + 1 for t in ts)]
+                    for last, (size, names) in automaton.iter(" ".join(ts)):
+                        first, end = (s[bisect_right(starts, at) - 1]["token_id"] for at in (last - size + 1, last))
+                        out += [(i, first, end - first + 1, name) for name in names]
+            at, first, n, label = zip(*out, strict=True) if out else ((), (), (), ())
+            kept = b.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(kept[c] for c in S.SENTENCE), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(label, pa.string())], names=[*S.SENTENCE, "start", "n", "label"])
+
+    return rows.mapInArrow(run, "file_id string, doc_id string, sentence_id int, start int, n int, label string")
+
+
+def _gram_hits(rows: DataFrame, p: DataFrame, lengths: list[int]) -> DataFrame:
     grams = rows.select(
         *S.SENTENCE,
         F.explode(
@@ -119,15 +176,7 @@ def ruler_matches(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
     ).where("g.fits").select(*S.SENTENCE, "g.start", "g.n", "g.gram")
     exact = grams.join(hint_small(p.where("case_sensitive"), SMALL_RULES), ["n", "gram"])
     lower = grams.withColumn("gram", F.transform("gram", F.lower)).join(hint_small(p.where(~F.col("case_sensitive")), SMALL_RULES), ["n", "gram"])
-    hits = exact.unionByName(lower).groupBy(*S.SENTENCE, "start", "n").agg(F.min("label").alias("label"))
-    # Longest first, then leftmost: a hit stays if it overlaps none that was taken before it.
-    ordered = hits.groupBy(*S.SENTENCE).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "start", "n", "label"))).alias("h"))
-    taken = F.aggregate(
-        "h",
-        F.slice("h", 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x.start < y.start + y.n) & (y.start < x.start + x.n)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return ordered.select(*S.SENTENCE, F.explode(taken).alias("h")).select(*S.SENTENCE, "h.start", "h.n", "h.label")
+    return exact.unionByName(lower).select(*S.SENTENCE, "start", "n", "label")
 
 
 def apply_ruler(tokens: DataFrame, patterns: DataFrame, overwrite_ents: bool = True) -> DataFrame:

@@ -128,6 +128,9 @@ QUERIES = {
         "label", F.array_join("tokens", " ").alias("tokens"), "case_sensitive"
     ),
     "ruler_match": lambda s, d: E.ruler_matches(tokens(s, d), E.specify_names(s, ["under the", "will", "the municipal"], ["A", "B", "C"])).select(*S.SENTENCE, "start", "n", "label"),
+    "ruler_substring": lambda s, d: E.ruler_matches(tokens(s, d), E.specify_names(s, ["quif", "Nicipal", "r of the"], ["A", "B", "C"], whole_word_only=False)).select(*S.SENTENCE, "start", "n", "label"),
+    "ruler_after": lambda s, d: E.apply_ruler(tokens(s, d), E.specify_names(s, ["aquifer", "agency"], ["THING", "BODY"])).groupBy("entity").agg(F.count("*").alias("n")),
+    "ruler_before": lambda s, d: E.apply_ruler(tokens(s, d), E.specify_names(s, ["ricultu", "su"], ["THING", "OTHER"], whole_word_only=False), False).groupBy("entity").agg(F.count("*").alias("n")),
     "custom_entities": lambda s, d: E.custom_entities(tokens(s, d), {"THING": ["aquifer", "canal"], "OTHER": ["canal", "levee"]}).groupBy("entity").agg(F.count("*").alias("n")),
     "suggest_single": lambda s, d: E.suggest_single(tokens(s, d)).groupBy("phrase").agg(F.count("*").alias("n")),
     "suggest_multi": lambda s, d: E.suggest_multi(untagged(s, d)).groupBy("phrase", "pos_tags").agg(F.count("*").alias("n")),
@@ -254,6 +257,18 @@ two as (select a.file_id, a.doc_id, a.sentence_id, a.token_id as start, 2 as n,
 kept as (select * from two x where not exists (select 1 from two y where y.file_id = x.file_id and y.doc_id = x.doc_id and y.sentence_id = x.sentence_id
   and y.label = 'A' and x.label = 'C' and y.start + y.n > x.start and y.start < x.start))
 select * from kept union all select file_id, doc_id, sentence_id, token_id, 1, 'B' from o where lt = 'will'""",
+    "ruler_substring": _TOKENS
+    + """, o as (select *, lower(token) as lt, lead(lower(token)) over s as l1, lead(lower(token), 2) over s as l2, lead(token_id, 2) over s as i2 from t where token_id is not null
+  window s as (partition by file_id, doc_id, sentence_id order by token_id)),
+three as (select file_id, doc_id, sentence_id, token_id as start, i2 as e, (i2 - token_id + 1)::int as n, 'C' as label from o where ends_with(lt, 'r') and l1 = 'of' and starts_with(l2, 'the')),
+one as (select file_id, doc_id, sentence_id, token_id as start, 1 as n, case when contains(lt, 'quif') then 'A' else 'B' end as label from o where contains(lt, 'quif') or contains(lt, 'nicipal'))
+select file_id, doc_id, sentence_id, start, n, label from three union all
+select * from one x where not exists (select 1 from three y where y.file_id = x.file_id and y.doc_id = x.doc_id and y.sentence_id = x.sentence_id and x.start between y.start and y.e)""",
+    "ruler_after": _TOKENS
+    + "select case lower(token) when 'aquifer' then 'THING_B' when 'agency' then 'BODY_B' else entity end as entity, count(*) as n from t group by 1",
+    "ruler_before": _TOKENS
+    + """select case when coalesce(entity, '') = '' and contains(lower(token), 'ricultu') then case when contains(lower(token), 'su') then 'OTHER_B' else 'THING_B' end
+  when coalesce(entity, '') = '' and contains(lower(token), 'su') then 'OTHER_B' else entity end as entity, count(*) as n from t group by 1""",
     "custom_entities": _TOKENS
     + """select case when coalesce(entity, '') = '' and token in ('aquifer', 'canal') then 'THING_B' when coalesce(entity, '') = '' and token = 'levee' then 'OTHER_B' else entity end as entity,
   count(*) as n from t group by 1""",
