@@ -1,17 +1,18 @@
 """Frequencies of every distinct term of a collection, by recursive radix partitions and DuckDB.
 
-Occurrences are first combined per (field, term, file), so a term that fills a third of all rows is
-a row per file from there on. The combined rows are written to disk, partitioned by the leading bits
-of the term's hash. Partitions above the row limit are split by further bits, again and again,
-until each fits or holds a single term. Each partition then streams, as Arrow batches, into a DuckDB
-aggregate that works out of core under a memory limit. Only counts of oversized partitions, whose
-number is bounded by rows / limit, come to the driver.
+Occurrences are first combined per (field, term, file), then per (field, term, bucket of files): a file is in one
+bucket, so files and occurrences add up, and a term that fills a third of all rows is at most ``FILE_BUCKETS``
+rows from there on. Those are partitioned by the leading bits of the term's hash; partitions above the row
+limit are split by further bits, again and again, until each fits or holds a single term. Spark's exchange
+writes the partitions to disk, and each streams, as Arrow batches, into a DuckDB aggregate that works out of core
+under a memory limit. Oversized prefixes stay in a table; nothing of them comes to the driver.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,73 +20,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.session import scratch, table
+from tidegraph.session import cut, hint_small, shared_dir, table
 
 #: Rows of a partition, and the memory of its aggregate.
 PARTITION_ROWS, MEMORY = 250_000, "256MB"
-STEP_BITS = 6
+STEP_BITS, FILE_BUCKETS, SMALL_PREFIXES = 6, 64, 100_000
+#: The setting that names where DuckDB spills; see ``spill_dir``.
+SPILL_SETTING = "spark.tidegraph.spill.dir"
 RARE, COMMON_SHARE_INVERSE = 3, 4
 
 
-def radix(df: DataFrame, code: Column, limit: int, step: int = STEP_BITS) -> Column:
-    """The partition of a row as text "bits:prefix", from the leading bits of ``code`` (a long).
+def radix(df: DataFrame, code: str, limit: int, step: int = STEP_BITS, rows: int | None = None) -> DataFrame:
+    """``df`` with ``part``: the partition as text "bits:prefix", from the leading bits of the long column ``code``.
 
-    The first level has enough bits for partitions of ``limit`` rows each if hashes are even; those
-    that are above it nevertheless get ``step`` more bits at a time, unless they hold one code only.
+    The first level has enough bits for partitions of a quarter of ``limit`` rows if hashes are even; those
+    that are above the limit nevertheless get ``step`` more bits at a time, unless they hold one code only.
     """
-    df = df.select(code.alias("h"))
-    n = df.count()
-    bits = max(0, math.ceil(math.log2(max(1, n) / limit)))
+    n = df.count() if rows is None else rows
+    at = min(64, max(0, math.ceil(math.log2(max(1, n) / limit)) + 2)) if n > limit else 0
 
-    def prefix(b: int) -> Column:
-        return F.shiftrightunsigned("h", 64 - b) if b else F.lit(0).cast("long")
+    def prefix(bits: int) -> Column:
+        return F.shiftrightunsigned(code, 64 - bits) if bits else F.lit(0).cast("long")
 
-    levels: list[tuple[int, list[int]]] = []
-    part, at = df, bits
+    def name(bits: int) -> Column:
+        return F.concat(F.lit(f"{bits}:"), prefix(bits).cast("string"))
+
+    out, part = df.withColumn("part", name(at)), df.select(code)
     while at < 64:
-        over = [
-            r.p
-            for r in part.groupBy(prefix(at).alias("p")).agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"))
-            .where((F.col("n") > limit) & (F.col("a") != F.col("b"))).collect()
-        ]
-        levels.append((at, over))
-        if not over:
+        over = cut(
+            part.groupBy(prefix(at).alias("__p")).agg(F.count("*").alias("n"), F.min(code).alias("a"), F.max(code).alias("b"))
+            .where((F.col("n") > limit) & (F.col("a") != F.col("b"))).select("__p", F.lit(True).alias("__over"))
+        )
+        count = over.count()
+        if not count:
             break
-        part = part.where(prefix(at).isin(over))
-        at = min(64, at + step)
+        over = hint_small(over, SMALL_PREFIXES, count)
+        part = part.withColumn("__p", prefix(at)).join(over, "__p", "left_semi").select(code)
+        deeper = min(64, at + step)
+        # Only rows that the levels before have split can be split here.
+        out = out.withColumn("__p", F.when(F.col("part") == name(at), prefix(at))).join(over, "__p", "left").withColumn("part", F.when(F.col("__over"), name(deeper)).otherwise(F.col("part"))).drop("__p", "__over")
+        at = deeper
+    return out
 
-    def name(b: int) -> Column:
-        return F.concat(F.lit(f"{b}:"), (F.shiftrightunsigned(code, 64 - b) if b else F.lit(0)).cast("string"))
 
-    out = name(min(64, levels[-1][0] + step) if levels and levels[-1][1] else levels[-1][0])
-    for b, over in reversed([x for x in levels if x[1]]):
-        p = F.shiftrightunsigned(code, 64 - b) if b else F.lit(0).cast("long")
-        out = F.when(p.isin(over), out).otherwise(name(b))
-    return out
+def spill_dir(spark: SparkSession) -> str:
+    """Where a task's DuckDB spills: what ``spark.tidegraph.spill.dir`` names; else the shared folder if it is a plain path; else,
+    as DuckDB can't write there, "", which stands for the executor's own folders for spilling (SPARK_LOCAL_DIRS). What
+    is spilled belongs to one running task and is gone with it, like Spark's own spills."""
+    if given := spark.conf.get(SPILL_SETTING, None):
+        return given
+    shared = shared_dir(spark)
+    return shared[7:] if shared.startswith("file://") else ""
 
 
-def term_counts(rows: DataFrame, limit: int = PARTITION_ROWS) -> DataFrame:
+def _spill_here(folder: str) -> str:
+    local = folder or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0] or tempfile.gettempdir()
+    return os.path.join(local, "duckdb-spill", uuid.uuid4().hex)
+
+
+def term_counts(rows: DataFrame, limit: int = PARTITION_ROWS, memory: str = MEMORY) -> DataFrame:
     """(field_name, term, n_occurrences, n_files) of rows (field_name, term, file_id, n).
 
     Null and empty terms are left out; a null n counts 0; a null file_id is no file but its
     occurrences count. Extra columns play no part. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    combined = (
-        rows.where(F.col("term") != "")
-        .groupBy("field_name", "term", "file_id")
-        .agg(F.sum(F.coalesce(F.col("n").cast("long"), F.lit(0))).alias("n"))
-        .select("*", F.xxhash64("field_name", "term").alias("h"))
-    )
-    path = scratch(spark, "terms")
-    combined.write.parquet(path)
-    stored = spark.read.schema(combined.schema).parquet(path)
-    limit = max(1, min(limit, -(-stored.count() // spark.sparkContext.defaultParallelism)))
-    buckets = scratch(spark, "terms-by-hash")
-    # Rows of one partition go to few files: they're clustered by partition before they are written.
-    stored.withColumn("part", radix(stored, F.col("h"), limit)).repartition("part").write.parquet(buckets)
-    placed = spark.read.schema(f"field_name string, term string, file_id string, n long, h long, part string").parquet(buckets)
-    spill = buckets[7:] if buckets.startswith("file://") else buckets if buckets.startswith("/") else ""
+    combined = rows.where(F.col("term") != "").groupBy("field_name", "term", "file_id").agg(F.sum(F.coalesce(F.col("n").cast("long"), F.lit(0))).alias("n"))
+    bucket = F.pmod(F.hash("file_id"), F.lit(FILE_BUCKETS))
+    stored = cut(
+        combined.groupBy("field_name", "term", bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("file_id").alias("files"))
+        .select("field_name", "term", "n", "files", F.xxhash64("field_name", "term").alias("h"))
+    )
+    count = stored.count()
+    limit = max(1, min(limit, -(-count // spark.sparkContext.defaultParallelism)))
+    placed = radix(stored, "h", limit, rows=count).select("part", "field_name", "term", "n", "files")
+    folder = spill_dir(spark)
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -94,19 +103,15 @@ def term_counts(rows: DataFrame, limit: int = PARTITION_ROWS) -> DataFrame:
         if first is None:
             return
         held = pa.RecordBatchReader.from_batches(first.schema, _chain(first, batches))
-        own = os.path.join(spill, "_spill", uuid.uuid4().hex) if spill else ""
-        con = duckdb.connect(config={"memory_limit": MEMORY, "threads": "1", "temp_directory": own, "preserve_insertion_order": "false"})
+        own = _spill_here(folder)
+        con = duckdb.connect(config={"memory_limit": memory, "threads": "1", "temp_directory": own, "preserve_insertion_order": "false"})
         try:
             con.register("held", held)
-            done = con.execute(
-                "select field_name, term, sum(n)::bigint as n_occurrences, count(distinct file_id)::bigint as n_files "
-                "from held group by field_name, term"
-            )
+            done = con.execute("select field_name, term, sum(n)::bigint as n_occurrences, sum(files)::bigint as n_files from held group by field_name, term")
             yield from (b.cast(OUT) for b in _reader(done))
         finally:
             con.close()
-            if own:
-                _remove(own)
+            _remove(own)
 
     return placed.groupBy("part").applyInArrow(aggregate, "field_name string, term string, n_occurrences long, n_files long")
 
