@@ -4,8 +4,9 @@ Items are spread over shards of a bounded number of tokens. Each shard has a BM2
 its items' tokens. The largest unused item seeds a container; the index returns its unused
 neighbours, best first, and the container's window is filled from them: of the fillings that leave
 the least space, one of the fewest items, so that small items stay for later gaps. What space is
-then left goes to the largest unused items that fit, whatever their words. A shard that would take
-more containers than best fit over sizes alone is packed by best fit.
+then left goes to the next neighbours, and if none fits to the largest unused items that fit, whatever their
+words. If a shard's containers are more than best fit over sizes alone needs, as few of the last ones as needed are
+filled anew by best fit.
 
 A shard is what one task holds: its size doesn't grow with the data. Every item is packed; each
 shard ends with at most a few containers that aren't full.
@@ -108,14 +109,17 @@ def pack(sizes: np.ndarray, index: Index, capacity: int) -> np.ndarray:
         while smallest <= capacity and left[smallest] == 0:
             smallest += 1
         if smallest <= space:
-            s = np.where(unused & (sizes <= space), index.scores(seed), 0.0)
-            k = min(NEIGHBOURS, n)
-            near = np.argpartition(-s, k - 1)[:k]
-            near = near[s[near] > 0]
-            near = near[np.lexsort((near, -s[near]))]
-            for j in fill(sizes[near].tolist(), space):
-                take(int(near[j]), c)
-                space -= int(sizes[near[j]])
+            s, k = index.scores(seed), min(NEIGHBOURS, n)
+            while space >= smallest:  # the next neighbours, while there is space for one
+                s = np.where(unused & (sizes <= space), s, 0.0)
+                near = np.argpartition(-s, k - 1)[:k]
+                near = near[s[near] > 0]
+                if not len(near):
+                    break
+                near = near[np.lexsort((near, -s[near]))]
+                for j in fill(sizes[near].tolist(), space):
+                    take(int(near[j]), c)
+                    space -= int(sizes[near[j]])
             while space >= smallest:  # whatever fits best
                 at = np.flatnonzero(left[: space + 1])
                 if not len(at):
@@ -148,6 +152,34 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return container
 
 
+def mended(container: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The containers, in the order they were filled, of which the last ones are filled anew by best fit if all need more
+    containers than best fit over all items does: as few of the last ones as bring it down to that number."""
+    if not len(container):
+        return container
+    filled, least = int(container.max()) + 1, int(best_fit(sizes, capacity).max()) + 1
+
+    def rest(kept: int) -> np.ndarray:
+        return np.flatnonzero(container >= kept)
+
+    def count(kept: int) -> int:
+        items = rest(kept)
+        return kept + (int(best_fit(sizes[items], capacity).max()) + 1 if len(items) else 0)
+
+    if filled <= least:
+        return container
+    bad, step = filled, 1
+    while count(max(0, bad - step)) > least:
+        bad, step = bad - step, 2 * step
+    good = max(0, bad - step)
+    while bad - good > 1:  # between one that does and one that doesn't
+        at = (good + bad) // 2
+        good, bad = (at, bad) if count(at) <= least else (good, at)
+    out, items = container.copy(), rest(good)
+    out[items] = good + best_fit(sizes[items], capacity)
+    return out
+
+
 def pack_shard(keys: pa.Array, ids: pa.ListArray, capacity: int) -> dict[str, np.ndarray]:
     """Rows (row of the shard, part, start, size, container) of a shard's texts."""
     ends = ids.offsets.to_numpy().astype(np.int64)
@@ -160,10 +192,7 @@ def pack_shard(keys: pa.Array, ids: pa.ListArray, capacity: int) -> dict[str, np
     size = np.minimum(capacity, sizes[row] - start)
     item = np.repeat(np.arange(len(row)), size)
     at = np.repeat(ends[row] + start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    container = pack(size, Index(item, tokens[at], size), capacity)
-    plain = best_fit(size, capacity)
-    if len(size) and plain.max() < container.max():  # the neighbours' words have cost containers
-        container = plain
+    container = mended(pack(size, Index(item, tokens[at], size), capacity), size, capacity)
     return {"row": row, "part": part, "start": start, "size": size, "container": container}
 
 
