@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import functions as F
 
 from tidegraph.functions.xmljson import xml_to_json
+from tidegraph import session
 from tidegraph.operators.hierarchy import hierarchies
 from tidegraph.operators.keys import hot_keys, key_profile
 from tidegraph.operators.nested import depth, flatten, infer_shape, parse_shape
@@ -147,7 +148,7 @@ def test_hierarchies_against_climbing(spark):
 def check_all(df, large_rows, want):
     got = hierarchies(df, ["g"], "id", "up", F.col("root"), large_rows=large_rows).collect()
     assert len(got) == len(want)
-    assert {(r.g, r.id): (r.kind, r.depth, r.top, r.path, sorted(r.descendants)) for r in got} == want
+    assert {(r.g, r.id): (r.kind, r.depth, r.top, r.path, r.descendants) for r in got} == want
     assert all(r.n_below == len(r.descendants) for r in got)
 
 
@@ -167,3 +168,21 @@ def test_a_long_chain_and_batches_that_cut_groups(spark):
 
 def test_shape_of_no_rows(spark):
     assert infer_shape(spark.createDataFrame([], "json string"), "json").arrays == {}
+
+
+def test_depth_adds_no_explosions(spark):
+    """A table is one explosion, however deep its type nests, and holds the rows of every level."""
+    deep = '{"S": [' * 9 + '{"n": "x"}' + "]}" * 9
+    flat = flatten(spark.createDataFrame([(1, deep), (2, '{"S": [{"n": "a"}, {"n": "b", "S": [{"n": "c"}]}]}'), (3, None)], "k long, j string"), "k", "j")
+    assert flat["S"].where("k = 1").count() == 9 and flat["S"].where("k = 1 and n = 'x'").first().node == ".".join(["S.0"] * 9)
+    assert sorted((r.node, r.parent, r.ordinal, r.n) for r in flat["S"].where("k = 2").collect()) == [("S.0", None, 0, "a"), ("S.1", None, 1, "b"), ("S.1.S.0", "S.1", 0, "c")]
+    plan = flat["S"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
+def test_rows_that_many_point_to_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL_SIDE", 0)
+    monkeypatch.setattr(session, "HEAVY_KEY", 10)
+    star = [(1, i, 2 if i > 2 else 1, i == 1, "x") for i in range(1, 61)]
+    df = spark.createDataFrame(star, "g int, id int, up int, root boolean, kind string")
+    check_all(df, 12, {(1, i): v for i, v in brute([r[1:4] for r in star]).items()})

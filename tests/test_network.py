@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tidegraph import session
 from tidegraph.operators import network as N
 
 NODES = "graph_id string, entity_name string, entity_type string, num_appearances long"
@@ -176,7 +177,8 @@ def test_graph_files_and_rankings(spark, graphs, tmp_path):
 
 
 def test_components_of_a_star_beyond_the_small_side(spark, monkeypatch):
-    monkeypatch.setattr(N, "SMALL_LABELS", 0)
+    monkeypatch.setattr(session, "SMALL_SIDE", 0)
+    monkeypatch.setattr(session, "HEAVY_KEY", 9)
     edges = [("g", "hub", f"s{i}", "go", "VB") for i in range(40)] + [("g", f"c{i}", f"c{i + 1}", "go", "VB") for i in range(12)]
     nodes = sorted({("g", v, "ORG", 1) for _, a, b, *_ in edges for v in (a, b)})
     got = {r.entity_name: r.component for r in N.components(make(spark, nodes, edges)).collect()}

@@ -12,7 +12,7 @@ A group's rows name their parents by id. Per block of groups, on whole arrays:
 
 Groups never cross blocks, and a task holds one block at a time: those groups that complete within
 an Arrow batch, and what is left of the last one. Groups of more rows than a task should hold go
-another way, with the same result: pointer doubling by joins, where no task ever holds a group.
+another way, with the same result: pointer doubling by joins, where no task ever holds a group or a row that many point to.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.session import cut, hint_small
+from tidegraph.session import cut, cut_in_loop, hint_small, spread_join
 
 #: Rows of a group from which it is solved by joins.
 LARGE_ROWS, LARGE_GROUPS = 1_000_000, 100_000
@@ -119,13 +119,13 @@ def _slices(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.List
 
 
 def lists(got: dict[str, np.ndarray], ident: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
-    """path, from the top to the row itself, and descendants in tour order."""
+    """path, from the top to the row itself, and descendants by id."""
     top, link, depth = got["top"], got["link"], got["depth"]
     order = np.lexsort((got["enter"], top))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     below = (got["leave"] - got["enter"] - 1) // 2
-    descendants = _slices(ident[order], place + 1, below)
+    descendants = _sorted(_slices(ident[order], place + 1, below))
     offsets = np.r_[0, np.cumsum(depth + 1)]
     flat = np.empty(offsets[-1], np.int64)
     now, rows, at = np.arange(len(order)), np.arange(len(order)), offsets[1:] - 1
@@ -137,6 +137,12 @@ def lists(got: dict[str, np.ndarray], ident: np.ndarray) -> tuple[pa.ListArray,
     return paths, descendants
 
 
+def _sorted(lists_: pa.ListArray) -> pa.ListArray:
+    flat, ends = lists_.values.to_numpy(zero_copy_only=False), lists_.offsets.to_numpy()
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    return pa.ListArray.from_arrays(lists_.offsets, pa.array(flat[np.lexsort((flat, owner))], lists_.type.value_type))
+
+
 def hierarchies(
     df: DataFrame, group: list[str], ident: str, parent: str, is_root: Column, with_lists: bool = True, large_rows: int = LARGE_ROWS
 ) -> DataFrame:
@@ -144,7 +150,7 @@ def hierarchies(
 
     kind is ``root`` or ``ok`` for rows that reach a root; else ``self`` (its own parent but no
     root), ``cycle`` (on a cycle of two or more), ``orphan`` (a null or unknown parent) or ``below``
-    (leads to one of these). depth, path and descendants count from the tree's top: a root, an
+    (leads to one of these). descendants come by id. depth, path and descendants count from the tree's top: a root, an
     orphan, a self-parent, or the cycle row it leads to; cycle rows themselves have depth 0.
 
     Repeated (group, id) rows count once: that with the smallest parent, nulls last. Rows with a
@@ -161,11 +167,11 @@ def hierarchies(
     g = list(names.values())
     # Large groups are few: at most rows / large_rows, so the list of them is small.
     large = base.groupBy(*g).agg(F.count("*").alias("n")).where(F.col("n") > large_rows)
-    sizes = large.agg(F.count("*").alias("groups"), F.max("n").alias("n")).first()
+    sizes = large.agg(F.count("*").alias("groups"), F.max("n").alias("n"), F.sum("n").alias("total")).first()
     if sizes.groups:
         large = hint_small(cut(large), LARGE_GROUPS, sizes.groups)
         same = _same(base, large, g)
-        found = _by_joins(base.join(large, same, "left_semi"), g, sizes.n, with_lists)
+        found = _by_joins(base.join(large, same, "left_semi"), g, sizes.n, sizes.total, with_lists)
         lists_ = ["path", "descendants"] * with_lists
         found = found.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__id").cast("int").alias(ident), "kind", "depth", "top", "n_below", *lists_)
         base = base.join(large, same, "left_anti")
@@ -238,7 +244,7 @@ def _same(a: DataFrame, b: DataFrame, g: list[str]) -> Column:
     return out
 
 
-def _by_joins(base: DataFrame, g: list[str], most: int, with_lists: bool) -> DataFrame:
+def _by_joins(base: DataFrame, g: list[str], most: int, total: int, with_lists: bool) -> DataFrame:
     """The same columns by pointer doubling: every round joins each row with what its pointer points
     to, so that after k rounds it has seen 2^k rows above it. Rows are spread by group and id."""
     key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in g])  # one column to join by; groups are few
@@ -255,8 +261,10 @@ def _by_joins(base: DataFrame, g: list[str], most: int, with_lists: bool) -> Dat
     )
     # Rows that lead to no end are on cycles or below them; where they are after more steps than there are rows is on one.
     walk = rows.select("k", "__id", F.when(F.col("own").isNull(), F.col("up")).otherwise(F.col("__id")).alias("to"))
+    # Pointers end at few rows, or pass through few; such rows are met apart.
     for _ in range(math.ceil(math.log2(most + 1))):
-        walk = cut(walk.join(walk.select("k", F.col("__id").alias("to"), F.col("to").alias("next")), ["k", "to"]).select("k", "__id", F.col("next").alias("to")))
+        step = walk.select("k", F.col("__id").alias("to"), F.col("to").alias("next"))
+        walk = cut_in_loop(spread_join(walk, step, ["k", "to"], total).select("k", "__id", F.col("next").alias("to")))
     ends = rows.where(F.col("own").isNotNull()).select("k", F.col("__id").alias("to"))
     cycle = walk.join(ends, ["k", "to"], "left_anti").select("k", F.col("to").alias("__id"), F.lit(True).alias("cycle")).distinct()
     rows = cut(
@@ -271,8 +279,8 @@ def _by_joins(base: DataFrame, g: list[str], most: int, with_lists: bool) -> Dat
     while not state.where(F.col("steps") == reach).isEmpty():
         below = state.where(F.col("steps") == reach).groupBy("k", F.col("to").alias("__id")).agg(F.sum("n").alias("more"))
         ahead = state.select("k", F.col("__id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("s2"), *[F.col("seg").alias("seg2")] * with_lists)
-        state = cut(
-            state.join(ahead, ["k", "to"]).join(below, ["k", "__id"], "left").select(
+        state = cut_in_loop(
+            spread_join(state, ahead, ["k", "to"], total).join(below, ["k", "__id"], "left").select(
                 "k", "__id", F.col("next").alias("to"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
                 *[F.concat("seg2", "seg").alias("seg")] * with_lists,
             )

@@ -1,17 +1,17 @@
 """Deeply nested records as related flat tables that keep parent-child links.
 
 A first pass infers one schema merged over all records (``schema_of_variant_agg``, an aggregate with
-map-side partials; only the schema comes to the driver). The second walks that schema: each array
-level is exploded from its parent's rows into a child table, which carries the parent's surrogate
-key and the ordinal in the array. Tables of one name at different depths are stacked, so recursive
-types of any depth end in one table.
+map-side partials; only the schema comes to the driver). The second walks that schema: within a record, the
+objects of each array level are taken out of the objects of the level above, with the parent's surrogate key
+and the ordinal in the array; then all that a table holds is exploded at once. So there is one pass over a
+record and one explosion a table, however deep the schema is, and recursive types of any depth end in one table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -106,36 +106,41 @@ def flatten(records: DataFrame, key: str, json: str, shape: Shape | None = None,
     be null or repeated, but links hold within a record only if it is unique.
     """
     shape = infer_shape(records, json) if shape is None else shape
-    out: dict[str, list[DataFrame]] = {}
     scalars: dict[str, dict[str, None]] = {}
-
-    def walk(parent: DataFrame, level: Shape, parent_table: str | None) -> None:
-        for name, sub in level.arrays.items():
-            child = parent.select(
-                key,
-                F.col("node").alias("parent"),
-                F.posexplode(F.variant_get("v", _path(name), "array<variant>")).alias("ordinal", "v"),
-            ).select(
-                key,
-                F.concat_ws(".", "parent", F.lit(name), F.col("ordinal").cast("string")).alias("node"),
-                "parent",
-                F.lit(parent_table).cast("string").alias("parent_table"),
-                "ordinal",
-                "v",
-            )
-            if tables is None or name in tables:
+    levels, shapes = [], [shape]
+    while any(x.arrays for x in shapes):
+        levels.append(list(dict.fromkeys(name for x in shapes for name in x.arrays)))
+        for x in shapes:
+            for name, sub in x.arrays.items():
                 scalars.setdefault(name, {}).update(dict.fromkeys(sub.scalars))
-                out.setdefault(name, []).append(child)
-            walk(child, sub, name)
-
-    top = records.where(F.col(json).isNotNull()).select(key, F.lit(None).cast("string").alias("node"), F.parse_json(json).alias("v"))
-    walk(top, shape, None)
+        shapes = [sub for x in shapes for sub in x.arrays.values()]
+    v = F.parse_json(json)
+    none = F.lit(None).cast("string")
+    df = records.where(F.col(json).isNotNull()).select(key, F.array(F.struct(none.alias("node"), none.alias("table"), v.alias("v"))).alias("l0"))
+    for i, names in enumerate(levels):
+        df = df.withColumn(f"l{i + 1}", _children(F.col(f"l{i}"), names))
     flat: dict[str, DataFrame] = {}
-    for name, parts in out.items():
-        stacked = parts[0]
-        for part in parts[1:]:
-            stacked = stacked.unionByName(part)
-        flat[name] = stacked.select(
-            key, "node", "parent", "parent_table", "ordinal", *[F.variant_get("v", _path(s), "string").alias(s) for s in scalars[name]]
+    for name in scalars:
+        if tables is not None and name not in tables:
+            continue
+        held = F.concat(*[F.filter(f"l{i + 1}", lambda x: x.table == name) for i, names in enumerate(levels) if name in names])
+        rows = df.select(key, F.explode(held).alias("x"))
+        flat[name] = rows.select(
+            key, "x.node", "x.parent", "x.parent_table", "x.ordinal", *[F.variant_get("x.v", _path(s), "string").alias(s) for s in scalars[name]]
         )
     return flat
+
+
+def _children(level: Column, names: list[str]) -> Column:
+    """The objects in the arrays ``names`` of a level's objects."""
+
+    def of(p: Column, name: str) -> Column:
+        return F.transform(
+            F.variant_get(p.v, _path(name), "array<variant>"),
+            lambda x, i: F.struct(
+                F.concat_ws(".", p.node, F.lit(name), i.cast("string")).alias("node"), p.node.alias("parent"), p.table.alias("parent_table"),
+                F.lit(name).alias("table"), i.alias("ordinal"), x.alias("v"),
+            ),
+        )
+
+    return F.flatten(F.transform(level, lambda p: F.flatten(F.filter(F.array(*[of(p, n) for n in names]), lambda a: a.isNotNull()))))

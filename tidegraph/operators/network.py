@@ -13,13 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.session import cut, cut_in_loop, hint_small
+from tidegraph.session import cut, cut_in_loop, hint_small, spread_join
 
 G = "graph_id"
 #: Pairs of a graph up to which its communities are computed in one task; larger graphs go by joins, with the same result.
 TASK_PAIRS = 1_000_000
-#: Rows of a side with one row per key up to which it is broadcast; beyond it, the places in which each key is met.
-SMALL_LABELS, SALTS = 200_000, 32
 #: Graphs up to which a row per graph is broadcast.
 SMALL_GRAPHS = 200_000
 FORMATS = ("igraph", "network")
@@ -201,17 +199,6 @@ def transitivity(g: Graph) -> DataFrame:
     return paths.join(hits, G, "left").select(G, F.try_divide(F.coalesce("closed", F.lit(0)), F.col("paths")).alias("transitivity"))
 
 
-def salted(rows: DataFrame, by: str, one: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
-    """``rows`` left join ``one``, which has one row per ``keys``: a key that very many rows have is met
-    in ``SALTS`` places, a row's place being the hash of its column ``by``. ``one`` is broadcast while it is small;
-    size: its rows or a bound of them, if known."""
-    if (one.count() if size is None else size) <= SMALL_LABELS:
-        return rows.join(F.broadcast(one), keys, "left")
-    salt = F.pmod(F.hash(by), F.lit(SALTS))
-    spread = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", salt).join(spread, [*keys, "__salt"], "left").drop("__salt")
-
-
 def components(g: Graph) -> DataFrame:
     """(graph_id, entity_name, component): weak components, named by their smallest vertex.
 
@@ -226,10 +213,10 @@ def components(g: Graph) -> DataFrame:
     news = labels
     while True:
         told = news.select(G, F.col("x").alias("y"), F.col("label").alias("near"))
-        near = salted(both, "x", told, [G, "y"]).where(F.col("near").isNotNull()).groupBy(G, "x").agg(F.min("near").alias("near"))
+        near = spread_join(both, told, [G, "y"]).where(F.col("near").isNotNull()).groupBy(G, "x").agg(F.min("near").alias("near"))
         low = cut_in_loop(labels.join(near, [G, "x"], "left").select(G, "x", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")))
         jump = cut_in_loop(low.where(F.col("label") != F.col("x")).select(G, F.col("x").alias("label"), F.col("label").alias("further")))
-        labels2 = cut_in_loop(salted(low, "x", jump, [G, "label"]).select(G, "x", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        labels2 = cut_in_loop(spread_join(low, jump, [G, "label"]).select(G, "x", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = labels2.select(G, "x", "label")
         news = labels2.where(F.col("old") != F.col("label")).select(G, "x", "label")
         if news.isEmpty():
@@ -346,10 +333,10 @@ def _moves_by_joins(u: DataFrame) -> DataFrame:
         while not state.where("idle < 2").isEmpty():
             now = com.join(hint_small(state.select(G, "m2"), SMALL_GRAPHS, 0 if size <= SMALL_GRAPHS else None), G)
             total = now.groupBy(G, "c").agg(F.sum("k").alias("total"))
-            near = salted(both, "x", now.select(G, F.col("v").alias("y"), "c"), [G, "y"], size)
+            near = spread_join(both, now.select(G, F.col("v").alias("y"), "c"), [G, "y"], size)
             links = near.groupBy(G, F.col("x").alias("v"), "c").agg(F.sum("w").alias("links"))
-            here = salted(now, "v", total.select(G, "c", F.col("total").alias("own")), [G, "c"], size).withColumnRenamed("c", "old")
-            ways = salted(links, "v", total, [G, "c"], size).join(here, [G, "v"])
+            here = spread_join(now, total.select(G, "c", F.col("total").alias("own")), [G, "c"], size).withColumnRenamed("c", "old")
+            ways = spread_join(links, total, [G, "c"], size).join(here, [G, "v"])
             stay = F.coalesce(F.max(F.when(F.col("c") == F.col("old"), F.col("links"))), F.lit(0))
             # What a community costs against staying, but for the links that stay, which are the same for all of a vertex.
             cost = big("total") * big("k") - (big("own") - big("k")) * big("k") - big("links") * big("m2")
@@ -361,7 +348,7 @@ def _moves_by_joins(u: DataFrame) -> DataFrame:
             squares = new.groupBy(G, "new").agg(F.sum("k").alias("k")).groupBy(G).agg(F.sum(big("k") * big("k")).alias("kk"))
             named = new.select(G, F.col("v").alias("y"), F.col("new").alias("cy"))
             inside = (
-                salted(salted(both, "x", named, [G, "y"], size), "y", named.toDF(G, "x", "cx"), [G, "x"], size)
+                spread_join(spread_join(both, named, [G, "y"], size), named.toDF(G, "x", "cx"), [G, "x"], size)
                 .where("cx = cy").groupBy(G).agg(F.sum("w").alias("inside"))
             )
             q2 = big("m2") * (big("l2") + F.coalesce(big("inside"), F.lit(0))) - F.col("kk")
@@ -373,13 +360,13 @@ def _moves_by_joins(u: DataFrame) -> DataFrame:
         step = com.select(G, F.col("v").alias("at"), "c")
         member = cut_in_loop(
             com.select(G, "v", "c") if member is None
-            else salted(member.withColumnRenamed("c", "at"), "v", step, [G, "at"], size).select(G, "v", F.coalesce("c", "at").alias("c"))
+            else spread_join(member.withColumnRenamed("c", "at"), step, [G, "at"], size).select(G, "v", F.coalesce("c", "at").alias("c"))
         )
         if state.where("moved").isEmpty():
             least = member.groupBy(G, "c").agg(F.min("v").alias("community"))
-            return salted(member, "v", least, [G, "c"], size).select(G, F.col("v").alias("entity_name"), "community")
+            return spread_join(member, least, [G, "c"], size).select(G, F.col("v").alias("entity_name"), "community")
         ca, cb = com.select(G, F.col("v").alias("a"), F.col("c").alias("ca")), com.select(G, F.col("v").alias("b"), F.col("c").alias("cb"))
-        level = cut_in_loop(salted(salted(level, "b", ca, [G, "a"], size), "a", cb, [G, "b"], size).groupBy(G, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        level = cut_in_loop(spread_join(spread_join(level, ca, [G, "a"], size), cb, [G, "b"], size).groupBy(G, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
 def modularity(g: Graph, found: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a side of a join up to which it is broadcast, and rows of a key from which it is joined apart.
+SMALL_SIDE, HEAVY_KEY = 200_000, 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,3 +63,22 @@ def hint_small(df: DataFrame, rows_limit: int, rows: int | None = None) -> DataF
     the planner's shuffle joins. ``rows`` saves the count where it is known."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= rows_limit else df
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+    """``rows`` left join ``one``, which has at most one row per ``keys``, however many rows share a key.
+
+    ``one`` is broadcast up to ``SMALL_SIDE`` rows (size: their number or a bound of it, if known). Beyond it the keys that
+    more than ``HEAVY_KEY`` rows have are joined apart: they're at most rows / ``HEAVY_KEY``, so their side is broadcast where
+    it is small, and no task gets all rows of such a key. Null keys meet nothing.
+    """
+    if (one.count() if size is None else size) <= SMALL_SIDE:
+        return rows.join(F.broadcast(one), keys, "left")
+    heavy = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > HEAVY_KEY).select(*keys, F.lit(True).alias("__heavy")))
+    n = heavy.count()
+    if not n:
+        return rows.join(one, keys, "left")
+    flagged = rows.join(hint_small(heavy, SMALL_SIDE, n), keys, "left")
+    hot = one.join(hint_small(heavy.drop("__heavy"), SMALL_SIDE, n), keys, "left_semi")
+    apart = flagged.where("__heavy").drop("__heavy").join(hint_small(hot, SMALL_SIDE, n), keys, "left")
+    return flagged.where("__heavy is null").drop("__heavy").join(one, keys, "left").unionByName(apart)
