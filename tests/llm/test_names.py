@@ -110,3 +110,26 @@ def test_join_equals_all_pairs(spark):
     for a, _ in rows:
         want.setdefault(root(N.canonical(a)[1]), []).append(a)
     assert classes(spark, rows) == sorted(map(sorted, want.values()))
+
+
+def test_segments_bring_every_pair_within_the_errors_together():
+    """Brute force over short and long names, those at the limits of the lengths among them, slips at the borders of segments too."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        a = "".join(rng.choices("abcd", k=rng.randint(5, 13)))
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            i, how = rng.randrange(len(b)), rng.randrange(4)
+            if how == 0:
+                b[i] = rng.choice("abcd")
+            elif how == 1:
+                b.insert(i, rng.choice("abcd"))
+            elif how == 2 and len(b) > 5:
+                del b[i]
+            elif i + 1 < len(b):
+                b[i], b[i + 1] = b[i + 1], b[i]
+        b = "".join(b)
+        most = N.allowed(min(len(a), len(b)))
+        if len(b) >= N.ONE_FROM and N.distance(a, b, most) <= most:
+            assert set(N.probe_keys(a)) & set(N.index_keys(b)), (a, b)
+    assert max(len(k.rsplit(".", 1)[1]) for k in N.index_keys("abcdefgh")) == 4

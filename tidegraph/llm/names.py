@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.session import cut, table
+from tidegraph.session import cut, cut_in_loop, table
 
 #: Most errors between two proper names, and the shortest names that may have one and two.
 ERRORS, ONE_FROM, TWO_FROM = 2, 5, 9
@@ -203,17 +203,24 @@ def edges_of(n: int, k: int) -> list[int]:
 
 
 def index_keys(name: str) -> list[str]:
-    at = edges_of(len(name), ERRORS)
-    return [f"{len(name)}.{s}.{name[at[s] : at[s + 1]]}" for s in range(ERRORS + 1)]
+    """The segments of a name, one more than errors are allowed: names at the limit of a length are cut both ways."""
+    out = []
+    for k in range(allowed(len(name) - 1) or 1, allowed(len(name)) + 1):
+        at = edges_of(len(name), k)
+        out += [f"{k}.{len(name)}.{s}.{name[at[s] : at[s + 1]]}" for s in range(k + 1)]
+    return out
 
 
 def probe_keys(name: str) -> list[str]:
     """The segments that a name within the errors could have at each place."""
     out = set()
     for n in range(max(1, len(name) - ERRORS), len(name) + ERRORS + 1):
-        at = edges_of(n, ERRORS)
-        for s in range(ERRORS + 1):
-            for shift in range(-ERRORS, ERRORS + 1):
+        k = allowed(min(n, len(name)))
+        if not k or abs(n - len(name)) > k:
+            continue
+        at = edges_of(n, k)
+        for s in range(k + 1):
+            for shift in range(-k, k + 1):
                 a, b = at[s] + shift, at[s + 1] + shift
                 if a < 0 or b > len(name) or a >= b:
                     continue
@@ -221,9 +228,9 @@ def probe_keys(name: str) -> list[str]:
                 heads = {part[0]} | ({name[a - 1]} if a else set())
                 tails = {part[-1]} | ({name[b]} if b < len(name) else set())
                 if len(part) == 1:
-                    out |= {f"{n}.{s}.{c}" for c in heads | tails}
+                    out |= {f"{k}.{n}.{s}.{c}" for c in heads | tails}
                 else:
-                    out |= {f"{n}.{s}.{h}{part[1:-1]}{t}" for h in heads for t in tails}
+                    out |= {f"{k}.{n}.{s}.{h}{part[1:-1]}{t}" for h in heads for t in tails}
     return sorted(out)
 
 
@@ -324,7 +331,7 @@ def follow(pointers: DataFrame) -> DataFrame:
     pointers = cut(pointers)
     while True:
         ahead = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        further = cut(pointers.join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        further = cut_in_loop(pointers.join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         if further.where("moved").isEmpty():
             return further.select("id", "to")
         pointers = further.select("id", "to")
