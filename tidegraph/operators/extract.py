@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -136,30 +136,61 @@ def edge_flags(edges: DataFrame, going_on: str = "lemma") -> DataFrame:
 
 
 def edges_of(
-    flagged: DataFrame, keep: Sequence[str] = S.DEFAULT_TYPES, incomplete: bool = False, remove_neg: bool = True, adoption: str = "equal", going_on: str = "lemma"
+    kept: DataFrame, keep: Sequence[str] = S.DEFAULT_TYPES, incomplete: bool = False, remove_neg: bool = True, adoption: str = "equal", going_on: str = "lemma"
 ) -> DataFrame:
     """(file_id, and the edge columns): every source of a verb with every target of it.
 
     Without ``incomplete`` both ends must be there; with it, verbs that have no complete edge keep
-    their one-sided ones. Ends are joined per verb on the shuffle key of the sentence, so the pairs are
-    bounded by what one sentence holds.
+    their one-sided ones. A sentence's ends are one array: negations, adopted sources and pairs are found in it, as
+    ``with_verb_flags``, ``adopt_sources`` and ``verb_table`` define them, and only edges become rows. Nothing is joined, and
+    the one grouping is by the sentence that the tokens are already partitioned by.
     """
-    flagged = cut(flagged)  # four branches read it: own ends, parents' sources, unsourced verbs, verb attributes
-    ends = adopt_sources(flagged, adoption).where((F.col("entity_name") != "") & F.col("entity_type").isin(*keep))
-    sources = ends.where(F.col("role") == "source").select(*VERB_KEY, F.col("entity_name").alias("source")).distinct()
-    targets = ends.where(F.col("role") == "target").select(*VERB_KEY, F.col("entity_name").alias("target")).distinct()
-    pairs = sources.join(targets, VERB_KEY, "full" if incomplete else "inner")
-    edges = pairs.join(verb_table(flagged, remove_neg), VERB_KEY).select(
+    if adoption not in ("equal", "substring"):
+        raise ValueError("adoption must be 'equal' or 'substring'")
+    end = F.struct(
+        "verb_id", "parent_id", "role", F.coalesce(F.col("dep_rel") == "neg", F.lit(False)).alias("neg"), F.coalesce(F.col("role") == "source", F.lit(False)).alias("is_source"),
+        F.when((F.col("entity_name") != "") & F.col("entity_type").isin(*keep), F.col("entity_name")).alias("name"),
+    )
+    verb = F.struct("verb_id", "verb_name", "verb_lemma", "verb_tense", *LISTS)
+    rows = kept.where(F.col("verb_id").isNotNull()).groupBy(*S.SENTENCE).agg(
+        F.collect_list(end).alias("ends"), F.collect_list(F.when(F.col("pos").isin(*S.VERBS), verb)).alias("verbs")
+    )
+    v = rows.select(*S.SENTENCE, "ends", F.explode("verbs").alias("v")).withColumn("own", F.filter("ends", lambda t: t.verb_id == F.col("v.verb_id")))
+    v = v.withColumns(
+        {
+            "neg": F.exists("own", lambda t: t.neg),
+            "unsourced": F.exists("own", lambda t: t.role.isNotNull()) & ~F.exists("own", lambda t: t.is_source),
+            "above": F.filter(F.transform("own", lambda t: t.parent_id), lambda p: p.isNotNull()),
+        }
+    )
+    if remove_neg:
+        v = v.where(~F.col("neg"))
+
+    def names(of: Column | str, role: str) -> Column:
+        return F.transform(F.filter(of, lambda t: (t.role == role) & t["name"].isNotNull()), lambda t: t["name"])
+
+    if adoption == "equal":
+        near = F.filter("ends", lambda t: F.array_contains("above", t.verb_id))
+    else:
+        near = F.filter("ends", lambda t: F.exists("above", lambda p: F.startswith(t.verb_id.cast("string"), p.cast("string"))))
+    v = v.withColumns(
+        {"sources": F.array_distinct(F.when(F.col("unsourced"), names(near, "source")).otherwise(names("own", "source"))), "targets": F.array_distinct(names("own", "target"))}
+    )
+    if incomplete:
+        none = F.array(F.lit(None).cast("string"))
+        v = v.where((F.size("sources") > 0) | (F.size("targets") > 0)).withColumns({c: F.when(F.size(c) > 0, F.col(c)).otherwise(none) for c in ("sources", "targets")})
+    pair = F.explode(F.flatten(F.transform("sources", lambda a: F.transform("targets", lambda b: F.struct(a.alias("source"), b.alias("target"))))))
+    edges = v.select(*S.SENTENCE, "v", "neg", pair.alias("e")).select(
         "file_id",
-        "source",
-        "target",
-        F.col("verb_name").alias("head_verb_name"),
-        F.col("verb_lemma").alias("head_verb_lemma"),
-        F.col("verb_tense").alias("head_verb_tense"),
-        *LISTS,
+        "e.source",
+        "e.target",
+        F.col("v.verb_name").alias("head_verb_name"),
+        F.col("v.verb_lemma").alias("head_verb_lemma"),
+        F.col("v.verb_tense").alias("head_verb_tense"),
+        *[F.col(f"v.{c}").alias(c) for c in LISTS],
         "neg",
-        (F.col("source").isNotNull() & F.col("target").isNotNull()).alias("edgeiscomplete"),
-        F.concat_ws("_", "doc_id", "sentence_id", "verb_id").alias("doc_sent_verb"),
+        (F.col("e.source").isNotNull() & F.col("e.target").isNotNull()).alias("edgeiscomplete"),
+        F.concat_ws("_", "doc_id", "sentence_id", "v.verb_id").alias("doc_sent_verb"),
     )
     return edge_flags(edges, going_on).select("file_id", *EDGE_COLUMNS)
 
@@ -196,7 +227,7 @@ def extract_network(
         raise ValueError("at least one entity type must be kept")
     t = cut(entity_tokens(tokens, keep, concatenator))
     kept = prune(t)
-    edges = edges_of(with_verb_flags(kept), keep, incomplete, remove_neg, adoption, going_on)
+    edges = edges_of(kept, keep, incomplete, remove_neg, adoption, going_on)
     return Extract(nodes_of(kept, keep), edges, verbs_of(edges, lexicon), appositives(t, keep))
 
 

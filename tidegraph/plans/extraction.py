@@ -57,8 +57,12 @@ def q_entity_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(F.col("entity") != "").groupBy("entity_name").agg(F.count("*").alias("n_tokens"))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.prune(X.entity_tokens(table(spark, sf_dir, "tokens"), KEEP))
+
+
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_verb_flags(X.prune(X.entity_tokens(table(spark, sf_dir, "tokens"), KEEP)))
+    return X.with_verb_flags(_kept(spark, sf_dir))
 
 
 def q_source_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,7 @@ def q_source_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(incomplete: bool, remove_neg: bool = True):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = X.edges_of(_flagged(spark, sf_dir), KEEP, incomplete, remove_neg)
+        e = X.edges_of(_kept(spark, sf_dir), KEEP, incomplete, remove_neg)
         return e.select("file_id", *[c for c in X.EDGE_COLUMNS if c not in X.LISTS], *_list(*X.LISTS))
 
     return run
@@ -80,7 +84,7 @@ def q_nodelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_verblist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = X.edges_of(_flagged(spark, sf_dir), KEEP)
+    edges = X.edges_of(_kept(spark, sf_dir), KEEP)
     return X.verbs_of(edges, table(spark, sf_dir, "lexicon")).select("head_verb_lemma", *_list("classes", "type_name", "type_id"))
 
 
