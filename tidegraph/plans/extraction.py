@@ -102,7 +102,15 @@ def q_extract_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def q_appositives_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no appositions, so conjoined entities are made ones."""
+    t = table(spark, sf_dir, "tokens")
+    made = t.withColumn("dep_rel", F.when((F.col("dep_rel") == "conj") & (F.col("entity") != ""), "appos").otherwise(F.col("dep_rel")))
+    return X.appositives(X.entity_tokens(made, KEEP), KEEP)
+
+
 QUERIES = {
+    "appositives_made": q_appositives_made,
     "sentence_filter": q_sentence_filter,
     "crawl_roles": q_crawl_roles,
     "crawl_verbs": q_crawl_verbs,
@@ -274,3 +282,6 @@ select 'nodes' as part, file_id, count(*) as n_rows from m group by file_id
 union all select 'edges', file_id, count(*) from edges group by file_id
 union all select 'appositives', file_id, count(*) from ap group by file_id""",
 }
+ORACLE["appositives_made"] = ORACLE["appositives"].replace(
+    "from tokens where", "from (select * replace (case when dep_rel = 'conj' and entity <> '' then 'appos' else dep_rel end as dep_rel) from tokens) where"
+)

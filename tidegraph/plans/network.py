@@ -82,6 +82,7 @@ QUERIES = {
     "net_communities": q_communities,
     "net_stats_multiplex": _stat(N.statistics, keep_isolates=False),
     "net_stats_weighted": _stat(N.statistics, keep_isolates=False, collapse_edges=True, self_loops=False),
+    "net_stats_common": _stat(lambda g: N.statistics(g).drop("modularity", "num_communities")),
     "node_metrics": _stat(N.node_metrics),
     "node_overlap": lambda s, d: N.overlap(a_graph(s, d).vertices),
     "combine_nodes": q_combine("multiplex", 0),
@@ -188,3 +189,8 @@ from (select graph_id, head_verb_lemma, count(*) as c, sum(count(*)) over (parti
 }
 ORACLE["top_features_entities"] = ORACLE["top_entities"] + " order by avg_share desc, entity_name limit 20"
 ORACLE["top_features_lemmas"] = ORACLE["top_lemmas"] + " order by avg_share desc, head_verb_lemma limit 20"
+#: All statistics but those of communities, which SQL can't find.
+ORACLE["net_stats_common"] = "select * from " + " left join ".join(
+    f"({ORACLE[n]})" + (f" x{i} using (graph_id)" if i else " x0")
+    for i, n in enumerate(("net_sizes", "net_connectedness", "net_centralization", "net_transitivity", "net_homophily", "net_reciprocity", "net_degree_stats", "net_tense_pct"))
+)

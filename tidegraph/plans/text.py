@@ -136,6 +136,7 @@ QUERIES = {
     "suggest_multi": lambda s, d: E.suggest_multi(untagged(s, d)).groupBy("phrase", "pos_tags").agg(F.count("*").alias("n")),
     "suggest_org": lambda s, d: E.suggest_org(untagged(s, d)).groupBy("phrase").agg(F.count("*").alias("n")),
     "suggest_topk": lambda s, d: E.suggest_entities(untagged(s, d)).select("phrase", "frequency", "pos_tags", "suggested_label"),
+    "suggest_contexts": lambda s, d: E.suggest_entities(untagged(s, d), max_suggestions=40).select("phrase", "context_examples"),
     "disambiguate_exact": _rewritten(lambda s, d: hub_rules(s, d, False)),
     "disambiguate_multi": _rewritten(lambda s, d: hub_rules(s, d, True)),
     "disambiguate_partial": _rewritten(lambda s, d: D.compile_rules(*PARTIAL, True)),
@@ -334,3 +335,11 @@ x{i} as (select edge_id, unnest(case when (hit and source = 'Nonbob_Department_o
     )
     + " select edge_id, source from x1",
 }
+ORACLE["suggest_contexts"] = (
+    ORACLE["suggest_topk"].replace("phrase limit 100)", "phrase limit 40)").rsplit("select *, case", 1)[0].rstrip()
+    + """, z as (select distinct file_id, doc_id, sentence_id, token_id, token from u),
+pl as (select phrase, file_id, doc_id, sentence_id, row_number() over (partition by phrase order by file_id, doc_id, sentence_id) as r
+  from (select distinct phrase, file_id, doc_id, sentence_id from f join u on u.token = string_split(phrase, ' ')[1])),
+li as (select pl.phrase, pl.r, string_agg(z.token, ' ' order by z.token_id, z.token) as line from pl join z using (file_id, doc_id, sentence_id) where r <= 3 group by all)
+select phrase, string_agg(line, ' | ' order by r) as context_examples from li group by 1"""
+)
