@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -71,8 +72,10 @@ def ocr_fallback(pages: DataFrame, read: Callable[[str, int], str], text: str =
 
 
 _SMALL, _LONG, _BLANK = re.compile(r"\s[a-z]"), re.compile(r"\s[a-z]{7,}"), re.compile(r"\s*")
+#: All dashes of Unicode, for a class of an expression.
+_DASHES = re.escape("".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Pd"))
 #: Fixed value: a page's number at its end, after "page" or a wide gap, as digits, small roman or like C-28.
-_NUMBER = re.compile(r"(?:[pP]age\s|\s{3,})(?:[0-9|xvi]{1,6}|[A-Za-z]+[-‐‑‒–—][0-9]+)\s*$")
+_NUMBER = re.compile(rf"(?:[pP]age\s|\s{{3,}})(?:[0-9|xvi]{{1,6}}|[A-Za-z]+[{_DASHES}][0-9]+)\s*$")
 
 
 def _prose(line: str, small: int, long: int) -> bool:

@@ -34,9 +34,10 @@ def crawl_stream(rows: DataFrame) -> DataFrame:
     return found.select(*S.SENTENCE, F.col("z.s.id").alias("token_id"), F.col("z.c.role").alias("role"), F.col("z.c.verb_id").alias("verb_id"))
 
 
-def windowed_counts(rows: DataFrame, time: str, key: str, window: str = "30 days", delay: str = "3650 days") -> DataFrame:
+def windowed_counts(rows: DataFrame, time: str, key: str, window: str = "30 days", delay: str = "90 days") -> DataFrame:
     """(window_start, ``key``, n): rows per key and window of event time. Rows with a null time are
-    left out; null keys count as a key."""
+    left out; null keys count as a key. Unless the output mode is ``complete``, rows that come later than ``delay``
+    behind the newest are left out, and the state of their windows is dropped."""
     return (
         rows.where(F.col(time).isNotNull())
         .withWatermark(time, delay)
