@@ -85,3 +85,11 @@ def test_paragraphs_by_dynamic_programming():
     lines = [["One line of the first paragraph that is wide", ""], ["goes on here and ends.", ""], ["A second one begins and is as wide as it", ""], ["can be.", ""], ["- a bullet", ""]]
     assert O.paragraphs(lines, [False, False, True, False, False]) == ["One line of the first paragraph that is wide goes on here and ends.", "A second one begins and is as wide as it can be.", "- a bullet"]
     assert O.paragraphs([["sus-", "join"], ["tain it.", ""]], [False, True]) == ["sustain it."] and O.paragraphs([], []) == []
+
+
+def test_a_lone_fragment_joins_a_neighbour():
+    """Boundaries depend on each other: a line that can't stand alone keeps only one of the two blank lines around it."""
+    whole = [["The board of the county met on Monday and set the rate of the wells.", ""], ["Pumping in Rivers and Lakes of the county and in every basin of the valley", ""], ["Rose to nine feet in the year before, as the hydrologist had said to them.", ""]]
+    assert len(O.paragraphs(whole, [False, True, True])) == 2
+    title = [["The board of the county met on Monday and set the rate of the wells.", ""], ["Rivers and Lakes", ""], ["Pumping rose to nine feet in the year before, as the hydrologist had said.", ""]]
+    assert len(O.paragraphs(title, [False, True, True])) == 3

@@ -45,6 +45,8 @@ CLEAN_SHARE = 0.1
 CONFUSED, STRAY, RUN_ON, HYPHEN = 1.0, 1.0, 1.0, 1.0
 #: Most segments that are merged; least letters of a merged word and of one that is split; most letters of either.
 MERGED, LEAST_LETTERS, MOST_LETTERS = 3, 5, 30
+#: Cost of a paragraph of one line that is a fragment.
+LONE = 1.5
 SMALL_ROWS = 300_000
 
 #: Letters and signs as strokes. What scanners confuse has the same strokes.
@@ -66,6 +68,7 @@ _NUMBER = re.compile(r"[$€£]?(?:\d{1,3}(?:,\d{3})+|[1-9]\d*|0)(?:\.\d+)?%?")
 _AROUND = "\"'([{“‘«¿¡)]}”’»,;:!?."
 _LETTERS = re.compile(r"[^\W\d_¢†|^`~]+(?:[¢†|^`~][^\W\d_]*)*")
 _DASHES = re.compile(r"[-/—–]")
+_WORDS, _PARTS = re.compile(r"\S+"), re.compile(r"[^-/—–]+")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 
 
@@ -219,41 +222,53 @@ class Piece(NamedTuple):
 def pieces(lines: list[str], at: list[int]) -> list[Piece]:
     """The words of a page as one stream, those of ``split_words``."""
     out: list[Piece] = []
+    gap_open = False
     for n, i in enumerate(at):
         gap = "" if not n else "h" if broken(lines[at[n - 1]]) else "l" if at[n - 1] == i - 1 and out and gap_open else ""
         line = lines[i].rstrip()
         line = line[:-1] if broken(line) else line
         gap_open, last = False, None
-        for m in re.finditer(r"\S+", line):
+        for m in _WORDS.finditer(line):
+            word, begin, end = m[0], m.start(), m.end()
             if last is not None:
-                gap = "b" if gap_open and m.start() - last <= 2 else ""
-            for q in re.finditer(r"[^-/—–]+", m[0]) if not m[0].isalpha() else (re.match(r".+", m[0]),):
-                core = q[0].strip(_AROUND)
-                ok = bool(core) and len(core) <= 30 and any(c.isalnum() for c in core) and (core.isascii() or not _MATH.search(core))
-                if ok:
-                    start = m.start() + q.start() + q[0].index(core)
-                    before = start > m.start()
-                    out.append(Piece(i, start, start + len(core), core, gap if gap == "h" or not before else ""))
-                gap_open = ok and start + len(core) == m.end()
+                gap = "b" if gap_open and begin - last <= 2 else ""
+            if word.isalpha():  # most words: nothing around them, and nothing to divide
+                gap_open = len(word) <= MOST_LETTERS and (word.isascii() or not _MATH.search(word))
+                if gap_open:
+                    out.append(Piece(i, begin, end, word, gap))
                 gap = ""
-            last = m.end()
+            else:
+                for q in _PARTS.finditer(word):
+                    core = q[0].strip(_AROUND)
+                    ok = bool(core) and len(core) <= MOST_LETTERS and any(map(str.isalnum, core)) and (core.isascii() or not _MATH.search(core))
+                    if ok:
+                        start = begin + q.start() + q[0].index(core)
+                        out.append(Piece(i, start, start + len(core), core, gap if gap == "h" or start == begin else ""))
+                    gap_open = ok and start + len(core) == end
+                    gap = ""
+            last = end
     return out
 
 
-def mergeable(ps: list[Piece], blanks_only: bool = False) -> Iterator[tuple[int, int]]:
+@lru_cache(maxsize=1 << 16)
+def _is_letters(w: str) -> bool:
+    return _LETTERS.fullmatch(w) is not None
+
+
+def mergeable(ps: list[Piece]) -> Iterator[tuple[int, int]]:
     """(first, end) of the runs of segments that may be one word: of letters, and of two lines at most."""
+    letters = [_is_letters(p.core) for p in ps]
     for i in range(len(ps)):
-        size = len(ps[i].core)
+        if not letters[i]:
+            continue
+        size, line = len(ps[i].core), ps[i].line
         for j in range(i + 1, min(len(ps), i + MERGED)):
-            size += len(ps[j].core)
-            if not ps[j].gap or size > MOST_LETTERS or ps[j].line != ps[i].line and ps[j - 1].line not in (ps[i].line, ps[j].line):
-                break
-            if not all(_LETTERS.fullmatch(p.core) for p in ps[i : j + 1]) or (blanks_only and any(p.gap == "h" for p in ps[i + 1 : j + 1])):
-                break
-            if len({p.line for p in ps[i : j + 1]}) > 2:
+            p = ps[j]
+            size += len(p.core)
+            if not p.gap or not letters[j] or size > MOST_LETTERS or p.line != line and (ps[j - 1].line not in (line, p.line) or len({q.line for q in ps[i : j + 1]}) > 2):
                 break
             # A single hyphen between two halves is decided by join().
-            if size >= LEAST_LETTERS and not (j == i + 1 and ps[j].gap == "h"):
+            if size >= LEAST_LETTERS and not (j == i + 1 and p.gap == "h"):
                 yield i, j + 1
 
 
@@ -278,7 +293,8 @@ def segments(ps: list[Piece], facts: dict[str, tuple[int, str | None]], gains: d
                 arcs[i].append((i + 1, -gains.get(k, CONFUSED), got[1]))
         if i + 1 in joins:
             arcs[i].append((i + 2, -HYPHEN - CONFUSED * bool(joins[i + 1]), joins[i + 1]))
-    for i, end in mergeable(ps):
+    # Pages of which no run is one word need no look at them.
+    for i, end in mergeable(ps) if any(k[0] == "m" for k in facts) else ():
         k = f"m:{merged_key(ps[i:end])}"
         if not (i == 0 and lead) and (got := facts.get(k)) and got[1] is not None:
             arcs[i].append((end, -gains.get(k, 0.0), got[1]))
@@ -385,42 +401,39 @@ def number_misread(w: str) -> str | None:
     return d if _NUMBER.fullmatch(d) and d != w else None
 
 
+_ITEM = re.compile(r"(?:[-*•]|\d+[.)])\s")
+
+
+def _is_fragment(line: str, width: int) -> bool:
+    """Whether a line can hardly be a paragraph by itself: no sentence, no item, and no short line with a capital."""
+    return line[-1:] not in ".!?:\"”)" and not _ITEM.match(line) and (line[:1].islower() or len(line) >= 0.85 * width)
+
+
 def paragraphs(lines: list[list[str]], blank_before: list[bool]) -> list[str]:
     """Repaired lines to paragraphs. Dynamic programming over the lines: a boundary costs little
-    after a blank line, or a short line that ends a sentence, and much inside a sentence."""
+    after a blank line, or a short line that ends a sentence, and much inside a sentence; a paragraph of one line
+    costs more, unless it is a title, an item of a list or a whole sentence, so boundaries depend on each other."""
     n = len(lines)
     if not n:
         return []
-    lengths = sorted(len(x[0].strip()) for x in lines)
-    width = max(1, lengths[int(0.8 * (n - 1))])
-    best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    costs = []
-    for i in range(n):  # the cost of a boundary before line i, against that of none
-        if i == 0:
-            costs.append((0.0, 0.0))
-            continue
-        above, here = lines[i - 1][0].strip(), lines[i][0].strip()
-        ends = above[-1:] in ".!?:\"”)" and not lines[i - 1][1]
-        p, q = 2.0, 0.0
-        p -= 3.0 * blank_before[i]
-        p -= 1.5 * (ends and len(above) < 0.85 * width)
-        p -= 3.0 * bool(re.match(r"(?:[-*•]|\d+[.)])\s", here))
-        p += 4.0 * bool(lines[i - 1][1])
-        p += 2.5 * (here[:1].islower() and not ends)
-        costs.append((p, q))
-    # State: whether a paragraph begins at the line.
+    texts = [x[0].strip() for x in lines]
+    width = max(1, sorted(map(len, texts))[int(0.8 * (n - 1))])
+    # The least cost up to a line that begins a paragraph, or goes on with one, and whether the line before it began one.
     begin, go = [0.0] * n, [float("inf")] * n
     came: list[tuple[bool, bool]] = [(True, True)] * n
     for i in range(1, n):
-        a = min(begin[i - 1], go[i - 1])
-        came[i] = (begin[i - 1] <= go[i - 1], begin[i - 1] <= go[i - 1])
-        begin[i], go[i] = a + costs[i][0], a + costs[i][1]
-    state, cuts = begin[-1] < go[-1], []
+        above, here = texts[i - 1], texts[i]
+        ends = above[-1:] in ".!?:\"”)" and not lines[i - 1][1]
+        boundary = 2.0 - 3.0 * blank_before[i] - 1.5 * (ends and len(above) < 0.85 * width) - 3.0 * bool(_ITEM.match(here))
+        boundary += 4.0 * bool(lines[i - 1][1]) + 2.5 * (here[:1].islower() and not ends)
+        after_one = begin[i - 1] + LONE * _is_fragment(above, width)
+        came[i] = (after_one <= go[i - 1], begin[i - 1] <= go[i - 1])
+        begin[i], go[i] = min(after_one, go[i - 1]) + boundary, min(begin[i - 1], go[i - 1])
+    state, cuts = begin[-1] + LONE * _is_fragment(texts[-1], width) < go[-1], []
     for i in range(n - 1, 0, -1):
         if state:
             cuts.append(i)
         state = came[i][0 if state else 1]
-    del best, back
     out, at = [], 0
     for end in [*sorted(cuts), n]:
         text = ""
@@ -528,14 +541,15 @@ def _runs(row: dict) -> list[tuple]:
     """Adjacent words of a page: (words, how many, their strokes together if they may be parts of one word, else null, count)."""
     lines = row["text"].split("\n")
     ps = pieces(lines, content_lines(lines, set(row["skip"] or ())))
-    seen: Counter = Counter()
-    for a, b in zip(ps, ps[1:], strict=False):
-        if b.gap in ("b", "l") and _LETTERS.fullmatch(a.core) and _LETTERS.fullmatch(b.core):
-            seen[merged_key([a, b]), 2] += 1
-    asked = {(merged_key(ps[i:end]), end - i) for i, end in mergeable(ps)} if row["scanned"] else set()
-    for k in asked:
-        seen[k] += not seen[k]
-    return [(k, n, strokes(k.replace(" ", "")) if (k, n) in asked else None, c) for (k, n), c in seen.items()]
+    low = [p.core.lower() for p in ps]
+    letters = [_is_letters(p.core) for p in ps]
+    seen = Counter(f"{low[i - 1]} {low[i]}" for i in range(1, len(ps)) if ps[i].gap in ("b", "l") and letters[i - 1] and letters[i])
+    asked: dict[tuple[str, int], str] = {}
+    for i, end in mergeable(ps) if row["scanned"] else ():
+        k = " ".join(low[i:end])
+        if (k, end - i) not in asked:
+            asked[k, end - i] = "".join(map(strokes, low[i:end]))  # strokes are by letter
+    return [(k, 2, asked.pop((k, 2), None), c) for k, c in seen.items()] + [(k, n, st, 1) for (k, n), st in asked.items()]
 
 
 def _halves(row: dict) -> list[tuple]:
@@ -551,7 +565,8 @@ def _asked(row: dict) -> list[tuple]:
     words: set[str] = set()
     other: set[str] = set()
     ps = pieces(lines, at) if row["scanned"] else []
-    parts = {f"m:{merged_key(ps[i:end])}" for i, end in mergeable(ps)}
+    low = [p.core.lower() for p in ps]
+    parts = {"m:" + " ".join(low[i:end]) for i, end in mergeable(ps)}
     for n, i in enumerate(at):
         if row["scanned"]:
             words.update(w.lower() for w in split_words(lines[i]))
