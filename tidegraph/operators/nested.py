@@ -14,6 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.session import cut
+
+
+#: Tables up to which each is read from the records by itself; for more, all objects are written once, each with what it holds.
+SHARED = 4
+
 
 @dataclass
 class Shape:
@@ -107,30 +113,46 @@ def flatten(records: DataFrame, key: str, json: str, shape: Shape | None = None,
     """
     shape = infer_shape(records, json) if shape is None else shape
     scalars: dict[str, dict[str, None]] = {}
-    levels, shapes = [], [shape]
-    while any(x.arrays for x in shapes):
-        levels.append(list(dict.fromkeys(name for x in shapes for name in x.arrays)))
+    shapes = [shape]
+    while shapes:
         for x in shapes:
             for name, sub in x.arrays.items():
                 scalars.setdefault(name, {}).update(dict.fromkeys(sub.scalars))
         shapes = [sub for x in shapes for sub in x.arrays.values()]
-    v = F.parse_json(json)
     none = F.lit(None).cast("string")
-    df = records.where(F.col(json).isNotNull()).select(key, F.array(F.struct(none.alias("node"), none.alias("table"), v.alias("v"))).alias("l0"))
-    for i, names in enumerate(levels):
-        df = df.withColumn(f"l{i + 1}", _children(F.col(f"l{i}"), names))
+    top = records.where(F.col(json).isNotNull()).select(key, F.array(F.struct(none.alias("node"), none.alias("table"), F.parse_json(json).alias("v"))).alias("l0"))
+    asked = [name for name in scalars if tables is None or name in tables]
+    nodes = cut(_nodes(top, key, _ways(shape, None), None)) if len(asked) > SHARED else None
     flat: dict[str, DataFrame] = {}
-    for name in scalars:
-        if tables is not None and name not in tables:
-            continue
-        held = F.concat(*[F.filter(f"l{i + 1}", lambda x: x.table == name) for i, names in enumerate(levels) if name in names])
-        rows = df.select(key, F.explode(held).alias("x"))
+    for name in asked:
+        rows = _nodes(top, key, _ways(shape, name), name) if nodes is None else nodes.where(F.col("x.table") == name)
         flat[name] = rows.select(
             key, "x.node", "x.parent", "x.parent_table", "x.ordinal", *[F.variant_get("x.v", _path(s), "string").alias(s) for s in scalars[name]]
         )
     return flat
 
 
+def _nodes(top: DataFrame, key: str, levels: list[list[str]], name: str | None) -> DataFrame:
+    """(``key``, x): the objects of all levels, or those of one table."""
+    for i, names in enumerate(levels):
+        top = top.withColumn(f"l{i + 1}", _children(F.col(f"l{i}"), names))
+    held = [F.col(f"l{i + 1}") if name is None else F.filter(f"l{i + 1}", lambda x: x.table == name) for i, names in enumerate(levels) if name is None or name in names]
+    return top.select(key, F.explode(F.concat(*held)).alias("x"))
+
+
+def _ways(shape: Shape, name: str | None) -> list[list[str]]:
+    """By level, the arrays ``name`` and those that lead to one; all arrays for None."""
+
+    def leads(x: Shape) -> bool:
+        return bool(x.arrays) if name is None else name in x.arrays or any(map(leads, x.arrays.values()))
+
+    out, shapes = [], [shape]
+    while any(map(leads, shapes)):
+        out.append(list(dict.fromkeys(n for x in shapes for n, sub in x.arrays.items() if name is None or n == name or leads(sub))))
+        shapes = [sub for x in shapes for sub in x.arrays.values()]
+    return out
+
+
 def _children(level: Column, names: list[str]) -> Column:
     """The objects in the arrays ``names`` of a level's objects."""
 
