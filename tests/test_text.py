@@ -12,6 +12,7 @@ from tidegraph.operators import disambiguate as D
 from tidegraph.operators import entities as E
 from tidegraph.operators.annotate import RuleAnnotator, concatenate_phrases, keep_hyphens, parse_files, parse_text, save_tokens, should_parse
 from tidegraph.operators.extract import extract_network, read_extract, write_extract
+from tidegraph.plans.text import QUERIES
 from tidegraph.sources import lexicon as L
 from tidegraph.sources import pages as P
 
@@ -42,6 +43,19 @@ def test_page_selection_and_guard(spark):
     assert P.ocr_fallback(pages, lambda f, n: f"read {n}").where("text = 'read 1'").count() == 1
 
 
+def test_page_selection_over_files_of_all_lengths(spark, tmp_path):
+    """Pages 1 to 3 of a corpus in which a file has two pages; by default a number beyond a file's last page stays an error."""
+    rows = [(i, "long", i, "x") for i in (1, 2, 3, 4)] + [(10 + i, "short", i, "x") for i in (1, 2)]
+    spark.createDataFrame(rows, "page_key long, file_id string, page_no int, text_list string").write.parquet(str(tmp_path / "text_list.parquet"))
+    assert sorted(r.page_key for r in QUERIES["page_selection"](spark, str(tmp_path)).collect()) == [1, 2, 3, 11, 12]
+    pages = spark.read.parquet(str(tmp_path / "text_list.parquet"))
+    with pytest.raises(ValueError):
+        P.keep_pages(pages, [1, 2, 3])
+    with pytest.raises(ValueError):
+        P.keep_pages(pages, [0, 1], beyond="none")
+    assert P.keep_pages(pages, [], beyond="none").count() == 0
+
+
 def test_page_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo")
     assert sorted((r.file_id, r.page_no, r.text) for r in P.read_text_pages(spark, str(tmp_path)).collect()) == [("a.txt", 1, "one"), ("a.txt", 2, "two")]

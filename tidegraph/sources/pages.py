@@ -33,23 +33,30 @@ def read_binary_pages(spark: SparkSession, path: str, extract: Callable[[bytes],
     return named.select("file_id", F.posexplode("p").alias("page_no", "text")).withColumn("page_no", F.col("page_no") + 1)
 
 
-def keep_pages(pages: DataFrame, keep: Sequence[bool] | Sequence[int] | None) -> DataFrame:
+def keep_pages(pages: DataFrame, keep: Sequence[bool] | Sequence[int] | None, beyond: str = "error") -> DataFrame:
     """Pages by number, or by a mask of one value or one per page of every file.
 
-    Numbers below 1, beyond a file's last page or not whole are errors, as are masks of another length.
+    Numbers below 1, beyond a file's last page or not whole are errors, as are masks of another length. With
+    ``beyond="none"`` a shorter file gives those of the numbered pages that it has; then the files' lengths aren't read.
     """
+    if beyond not in ("error", "none"):
+        raise ValueError("beyond must be 'error' or 'none'")
     if keep is None:
         return pages
     keep = list(keep)
+    masked = bool(keep) and all(isinstance(k, bool) for k in keep)
+    if not masked:
+        if any(isinstance(k, bool) or k != int(k) or k < 1 for k in keep):
+            raise ValueError("page numbers must be whole and from 1")
+        if beyond == "none":
+            return pages.where(F.col("page_no").isin(*sorted({int(k) for k in keep})))
     lengths = pages.groupBy("file_id").agg(F.max("page_no").alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
-    if keep and all(isinstance(k, bool) for k in keep):
+    if masked:
         if len(keep) == 1:
             return pages if keep[0] else pages.limit(0)
         if lengths.a is not None and (lengths.a != len(keep) or lengths.b != len(keep)):
             raise ValueError("a mask must have one value, or one per page")
         keep = [i + 1 for i, k in enumerate(keep) if k]
-    elif any(isinstance(k, bool) or k != int(k) or k < 1 for k in keep):
-        raise ValueError("page numbers must be whole and from 1")
     elif lengths.a is not None and max(keep, default=0) > lengths.a:
         raise ValueError("a page number is beyond the last page")
     return pages.where(F.col("page_no").isin(*sorted({int(k) for k in keep})))
