@@ -162,6 +162,36 @@ def test_node_metrics_against_brute_force(spark):
     assert N.centralities(make(spark, [("g", "a", None, 1)], [])).collect()[0][2:] == (0.0, 0.0)
 
 
+def test_centralities_by_parts_keep_no_pairs_of_vertices(spark, monkeypatch):
+    """Graphs whose sources are parted: leaves, a pair alone, a star, several components; what is written grows with the pairs, not with pairs of vertices."""
+    rng = random.Random(5)
+    ties = {"pair": [("a", "b")], "star": [("hub", f"s{i}") for i in range(5)], "two": [("p", "q"), ("q", "r"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w")]}
+    ties["large"] = sorted({tuple(sorted(rng.sample([f"v{i}" for i in range(300)], 2))) for _ in range(420)})
+    edges = [(g, a, b, "go", "VB") for g, xs in ties.items() for a, b in xs]
+    nodes = sorted({(g, v, "ORG", 1) for g, a, b, *_ in edges for v in (a, b)})
+    monkeypatch.setattr(N, "PART_WORK", 10_000, raising=False)
+    monkeypatch.setattr(N, "MOST_PARTS", 5, raising=False)
+    written = []
+    kept = {name: getattr(N, name) for name in ("cut", "cut_in_loop")}
+    for name, f in kept.items():
+        monkeypatch.setattr(N, name, lambda df, f=f: written.append((out := f(df)).count()) or out)
+    got = {(r.graph_id, r.entity_name): (r.closeness, r.betweenness) for r in N.centralities(make(spark, nodes, edges)).collect()}
+    assert len(got) == len(nodes) and max(written) <= len(edges)
+    for g, xs in ties.items():
+        names = sorted({v for x in xs for v in x})
+        links = {v: {b if a == v else a for a, b in xs if v in (a, b)} for v in names}
+        near = shortest(links, names)
+        between = dict.fromkeys(names, 0.0)
+        for s, t in near:
+            if s < t:
+                for v in names:
+                    if v not in (s, t) and (s, v) in near and near[s, v][0] + near[v, t][0] == near[s, t][0]:
+                        between[v] += near[s, v][1] * near[v, t][1] / near[s, t][1]
+        for v in names:
+            close = sum(1 / d for (s, _), (d, _) in near.items() if s == v and d) / (len(names) - 1)
+            assert got[g, v] == pytest.approx((close, between[v]))
+
+
 def test_graph_files_and_rankings(spark, graphs, tmp_path):
     g = make(spark, *graphs, collapse_edges=True, self_loops=False)
     N.write_graph(g, str(tmp_path / "g"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ G = "graph_id"
 TASK_PAIRS = 1_000_000
 #: Graphs up to which a row per graph is broadcast.
 SMALL_GRAPHS = 200_000
+#: Shortest paths: vertices times pairs from which a graph's sources are parted, most parts, and cells of sources times vertices held at once.
+PART_WORK, MOST_PARTS, CELLS = 20_000_000, 64, 100_000
 FORMATS = ("igraph", "network")
 
 
@@ -491,39 +495,111 @@ def clustering(g: Graph) -> DataFrame:
     return g.vertices.select(G, "entity_name").join(share, [G, "entity_name"], "left").select(G, "entity_name", F.coalesce("clustering", F.lit(0.0)).alias("clustering"))
 
 
+def _added(at: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sums): the weights, none below 0, summed by place; over all places at once unless few of them are meant."""
+    if len(at) * 16 < size:
+        places, inverse = np.unique(at, return_inverse=True)
+        return places, np.bincount(inverse, weights=weights)
+    total = np.bincount(at, weights=weights, minlength=size)
+    places = np.flatnonzero(total)
+    return places, total[places]
+
+
+def reach(x: np.ndarray, y: np.ndarray, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vertices, their sums of one over distance, vertices, what paths between ordered pairs of others lead through them) of a graph
+    without directions, given as its distinct pairs x, y without loops; both summed over the sources of a part of the graph.
+
+    Vertices of one partner are folded into it: they see what it sees a step later, and what is between is counted by
+    weights. From the others Brandes' steps run for as many sources together as fill ``CELLS`` cells, so the
+    memory is that of the pairs, and pairs of vertices are nowhere kept.
+    """
+    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = ends[: len(x)], ends[len(x) :]
+    degree = np.bincount(ends, minlength=len(names))
+    leaf = np.zeros(len(names), bool)
+    leaf[a[(degree[a] == 1) & (degree[b] > 1)]] = leaf[b[(degree[b] == 1) & (degree[a] > 1)]] = True
+    to_core = np.cumsum(~leaf) - 1
+    core, n = np.flatnonzero(~leaf), int((~leaf).sum())
+    folded = np.concatenate([a[leaf[b]], b[leaf[a]]]), np.concatenate([b[leaf[b]], a[leaf[a]]])  # (core vertex, its leaf)
+    leaves = np.bincount(to_core[folded[0]], minlength=n).astype(float)
+    inner = ~leaf[a] & ~leaf[b]
+    a, b = to_core[a[inner]], to_core[b[inner]]
+    one, other = np.concatenate([a, b]), np.concatenate([b, a])
+    other = other[np.argsort(one, kind="stable")]
+    size = np.bincount(one, minlength=n)
+    begin = np.cumsum(size) - size
+    near, near_leaf, through = np.zeros(n), np.zeros(n), np.zeros(n)
+    sources = np.arange(part, n, parts)
+    batch = max(1, CELLS // n)
+    for i in range(0, len(sources), batch):
+        s = sources[i : i + batch]
+        k, row = len(s), np.arange(len(s))
+        cells = k * n
+        start = row * n + s
+        seen, paths = np.zeros(cells, bool), np.zeros(cells)
+        seen[start], paths[start] = True, 1.0
+        r, r_leaf = leaves[s].copy(), 1 + (leaves[s] - 1) / 2  # a leaf counts itself in neither
+        reached = 1 + leaves[s]
+        owed, steps, front, d = np.zeros(cells), [], start, 0
+        while True:
+            v = front % n
+            c = size[v]
+            at = np.arange(c.sum()) + np.repeat(begin[v] - (np.cumsum(c) - c), c)
+            to = other[at] + np.repeat(front - v, c)
+            new = ~seen[to]
+            to, by = to[new], np.repeat(front, c)[new]
+            if not len(to):
+                break
+            d += 1
+            front, sums = _added(to, paths[by], cells)
+            seen[front], paths[front] = True, sums
+            steps.append((by, to))
+            which, there = front // n, leaves[front % n]
+            m, l = np.bincount(which, minlength=k), np.bincount(which, weights=there, minlength=k)
+            r += m / d + l / (d + 1)
+            r_leaf += m / (d + 1) + l / (d + 2)
+            reached += m + l
+            owed[front] = there  # paths to the leaves of a vertex lead through it
+        for by, to in reversed(steps):
+            places, sums = _added(by, paths[by] / paths[to] * (1 + owed[to]), cells)
+            owed[places] += sums
+        owed *= np.repeat(1 + leaves[s], n)
+        owed[start] = leaves[s] * (reached - 2)  # from its own leaves to all others but itself
+        through += owed.reshape(k, n).sum(axis=0)
+        near[s], near_leaf[s] = r, r_leaf
+    mine = np.zeros(n, bool)
+    mine[sources] = True
+    of_leaves = mine[to_core[folded[0]]]
+    at, own = folded[1][of_leaves], to_core[folded[0][of_leaves]]
+    hit = np.flatnonzero(through)
+    return np.concatenate([names[core[sources]], names[at]]), np.concatenate([near[sources], near_leaf[own]]), names[core[hit]], through[hit]
+
+
 def centralities(g: Graph) -> DataFrame:
     """(graph_id, entity_name, closeness, betweenness) without directions: the mean of one over the distance to all others, 0 for
     those out of reach, and the shares of shortest paths between pairs of others that lead through it.
 
-    Shortest paths run from all vertices at once, a join per step; then what depends on each vertex comes back step
-    by step. Both are over pairs of vertices that reach each other, so the work grows with their number.
+    A task has the pairs of a whole graph, as numbers, and a part of its vertices as sources: the work grows with vertices times
+    pairs, but only pairs are moved, at most ``MOST_PARTS`` times, and a row per vertex and part comes back.
     """
-    u = pairs(g).where(F.col("source") != F.col("target"))
-    both = cut_in_loop(u.select(G, F.col("source").alias("x"), F.col("target").alias("y")).union(u.select(G, "target", "source")).distinct())
-    front = cut_in_loop(both.select(G, F.col("x").alias("s")).distinct().select(G, "s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
-    seen, steps = front.select(G, "s", "v"), [front]
-    while True:
-        further = front.join(both.withColumnRenamed("x", "v"), [G, "v"]).groupBy(G, "s", F.col("y").alias("v")).agg(F.sum("paths").alias("paths"))
-        front = cut_in_loop(further.join(seen, [G, "s", "v"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut_in_loop(seen.unionByName(front.select(G, "s", "v")))
-        steps.append(front)
-    near = steps[0].select(G, "s", F.lit(0.0).alias("r"))
-    for d, step in enumerate(steps[1:], 1):
-        near = near.unionByName(step.select(G, "s", F.lit(1.0 / d).alias("r")))
-    close = near.groupBy(G, F.col("s").alias("entity_name")).agg(F.sum("r").alias("r"))
-    through, owed = None, steps[-1].withColumn("owed", F.lit(0.0))
-    for step in steps[-2:0:-1]:
-        back = owed.join(both.withColumnRenamed("x", "v"), [G, "v"]).select(G, "s", F.col("y").alias("v"), ((1 + F.col("owed")) / F.col("paths")).alias("part"))
-        parts = back.join(step.select(G, "s", "v"), [G, "s", "v"], "left_semi").groupBy(G, "s", "v").agg(F.sum("part").alias("part"))
-        owed = cut_in_loop(step.join(parts, [G, "s", "v"], "left").select(G, "s", "v", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("owed")))
-        here = owed.select(G, F.col("v").alias("entity_name"), "owed")
-        through = here if through is None else through.unionByName(here)
+    e = pairs(g).where(F.col("source") != F.col("target"))
+    u = cut(e.select(G, F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).distinct())
+    v = cut(u.select(G, F.col("x").alias("v")).union(u.select(G, "y")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    size = v.count()
+    x, y = v.toDF(G, "x", "a"), v.toDF(G, "y", "b")
+    numbered = cut(spread_join(spread_join(u, x, [G, "x"], size), y, [G, "y"], size).select(G, "a", "b"))
+    work = v.groupBy(G).agg(F.min("id").alias("g"), F.count("*").alias("n_v")).join(numbered.groupBy(G).agg(F.count("*").alias("n_e")), G)
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n_v") * F.col("n_e") / PART_WORK)).cast("int")
+    given = numbered.join(hint_small(cut(work.select(G, "g", parts.alias("parts"))), SMALL_GRAPHS), G)
+    given = given.select("g", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", "b")
+
+    def one(t: pa.Table) -> pa.Table:
+        at, r, mid, b = reach(t["a"].to_numpy(), t["b"].to_numpy(), t["part"][0].as_py(), t["parts"][0].as_py())
+        nothing = np.zeros(len(at)), np.zeros(len(mid))
+        return pa.table({"id": np.concatenate([at, mid]), "r": np.concatenate([r, nothing[1]]), "b": np.concatenate([nothing[0], b])})
+
+    found = given.groupBy("g", "part").applyInArrow(one, "id long, r double, b double").groupBy("id").agg(F.sum("r").alias("r"), (F.sum("b") / 2).alias("b"))
+    named = v.join(found, "id").select(G, F.col("v").alias("entity_name"), "r", "b")
     n = g.vertices.groupBy(G).agg(F.count("*").alias("n"))
-    out = g.vertices.select(G, "entity_name").join(hint_small(n, SMALL_GRAPHS), G).join(close, [G, "entity_name"], "left")
-    if through is None:
-        out = out.withColumn("b", F.lit(None).cast("double"))
-    else:
-        out = out.join(through.groupBy(G, "entity_name").agg((F.sum("owed") / 2).alias("b")), [G, "entity_name"], "left")
+    out = g.vertices.select(G, "entity_name").join(hint_small(n, SMALL_GRAPHS), G).join(named, [G, "entity_name"], "left")
     return out.select(G, "entity_name", F.coalesce(F.try_divide("r", F.col("n") - 1), F.lit(0.0)).alias("closeness"), F.coalesce("b", F.lit(0.0)).alias("betweenness"))
