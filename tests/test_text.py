@@ -2,6 +2,8 @@
 
 import warnings
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def test_page_selection_over_files_of_all_lengths(spark, tmp_path):
     assert P.keep_pages(pages, [], beyond="none").count() == 0
 
 
+def test_tokens_leave_the_annotator_in_bounded_parts(spark, monkeypatch):
+    """What a task holds doesn't grow with the pages of a batch."""
+    taken, frames = [], type(spark.range(1))
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(frames, name, lambda df, f, schema, *a, kept=getattr(frames, name), **k: taken.append(f) or kept(df, f, schema, *a, **k))
+    pages = [("f", n, f"The Board met the Agency on page {n}. It met again.") for n in range(1, 3001)]
+    parsed = parse_text(spark.createDataFrame(pages, "file_id string, page_no int, text string"), RuleAnnotator(["met"]))
+    frame = pd.DataFrame(pages, columns=["file_id", "page_no", "text"])
+    try:
+        parts = [len(x) for x in taken[-1](iter([frame]))]
+    except AttributeError:
+        parts = [x.num_rows for x in taken[-1](iter([pa.RecordBatch.from_pandas(frame)]))]
+    assert sum(parts) == parsed.count() == 3000 * 13 and max(parts) < 10_100
+    words = "Board met " * 3 + "the plan " * 2
+    heads = [t[4] for t in next(iter(RuleAnnotator(["met"])(words)))]
+    assert heads == [2, 2, 2, 2, 4, 2, 8, 6, 10, 6]
+
+
 def test_page_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo")
     assert sorted((r.file_id, r.page_no, r.text) for r in P.read_text_pages(spark, str(tmp_path)).collect()) == [("a.txt", 1, "one"), ("a.txt", 2, "two")]

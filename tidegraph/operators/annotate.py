@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegraph import schemas as S
 from tidegraph.operators.entities import apply_ruler, custom_entities
@@ -18,6 +21,8 @@ SCHEMA = (
     "file_id string, doc_id string, sentence_id int, token_id int, token string, lemma string, pos string, tag string, "
     "head_token_id int, dep_rel string, entity string"
 )
+#: Tokens from which an annotating task passes on what it has, and pages that it takes out of a batch at once.
+TOKENS, PAGES = 10_000, 200
 
 
 class Annotator(Protocol):
@@ -56,25 +61,29 @@ class RuleAnnotator:
                 yield self._parse(words)
 
     def _parse(self, words: list[str]) -> list[tuple]:
-        pos = []
-        for w in words:
-            low = w.lower()
+        pos, lows = [], [w.lower() for w in words]
+        for w, low in zip(words, lows, strict=True):
             pos.append(
                 "AUX" if low in self.AUX else self.SMALL[low] if low in self.SMALL else "PUNCT" if not w[0].isalnum() and w[0] != "_" else "NUM" if w.isdigit()
                 else "VERB" if low in self.verbs else "PROPN" if w[0].isupper() else "NOUN"
             )
         root = next((i for i, p in enumerate(pos) if p == "VERB"), next((i for i, p in enumerate(pos) if p == "AUX"), next((i for i, p in enumerate(pos) if p in ("NOUN", "PROPN")), 0)))
+        verbs = [j for j, q in enumerate(pos) if q == "VERB"] or [root]
+
+        def nearest(i: int) -> int:
+            j = bisect_left(verbs, i)
+            return verbs[j - 1] if j and (j == len(verbs) or i - verbs[j - 1] <= verbs[j] - i) else verbs[j]
+
         out = []
-        for i, (w, p) in enumerate(zip(words, pos, strict=True)):
-            verbs = [j for j, q in enumerate(pos) if q == "VERB"] or [root]
+        for i, (w, low, p) in enumerate(zip(words, lows, pos, strict=True)):
             if i == root:
                 head, dep = i, "ROOT"
             elif p == "AUX":
-                head, dep = min(verbs, key=lambda v: abs(v - i)), "aux"
+                head, dep = nearest(i), "aux"
             elif p in ("NOUN", "PROPN") and i + 1 < len(words) and pos[i + 1] == p:
                 head, dep = i + 1, "compound"
             elif p in ("NOUN", "PROPN"):
-                v = min(verbs, key=lambda v: abs(v - i))
+                v = nearest(i)
                 head, dep = v, "nsubj" if i < v else "dobj"
             elif p == "VERB":
                 head, dep = root, "conj"
@@ -82,7 +91,7 @@ class RuleAnnotator:
                 head, dep = (i + 1, "det") if p == "DET" and i + 1 < len(words) else (root, "punct" if p == "PUNCT" else "dep")
             tag = {"PROPN": "NNP", "NOUN": "NN", "VERB": "VBZ", "AUX": "MD"}.get(p, p)
             entity = "" if p != "PROPN" else "ORG_I" if i and pos[i - 1] == "PROPN" else "ORG_B"
-            out.append((w, self.verbs.get(w.lower(), w if p == "PROPN" else w.lower()), p, tag, head + 1, dep, entity))
+            out.append((w, self.verbs.get(low, w if p == "PROPN" else low), p, tag, head + 1, dep, entity))
         return out
 
 
@@ -102,7 +111,7 @@ def parse_text(
 
     The annotator is sent to the tasks; with ``make`` it is a function that builds one per task, for
     those with models. Null pages have no tokens. Pages are independent, so nothing is shuffled until
-    patterns are applied. file_id must not be null. Patterns come ``after`` the annotator's entities, and override them
+    patterns are applied; tokens leave the annotator by ``TOKENS``, however many pages a batch has. file_id must not be null. Patterns come ``after`` the annotator's entities, and override them
     with ``overwrite_ents``, or ``before`` them: then the annotator has the last word.
     """
     if ruler_position not in ("after", "before"):
@@ -112,18 +121,27 @@ def parse_text(
     if keep_hyph_together:
         text = keep_hyphens(text, concatenator)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = T._parse_datatype_string(SCHEMA)
+    arrow = to_arrow_schema(types)
+
+    def columns(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type, from_pandas=True) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         annotate = annotator() if make else annotator
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
-            for f, n, t in zip(b["file_id"], b["page_no"], b["text"], strict=True):
-                if t is None:
-                    continue
-                for s, sentence in enumerate(annotate(t), 1):
-                    rows += [(f, f"text{n}", s, i, w, lemma, p, tag, h, d, e) for i, (w, lemma, p, tag, h, d, e) in enumerate(sentence, 1)]
-            yield pd.DataFrame(rows, columns=S.TOKEN_COLUMNS)
-
-    tokens = pages.select("file_id", "page_no", text.alias("text")).where(F.col("file_id").isNotNull()).mapInPandas(run, SCHEMA)
+            for at in range(0, b.num_rows, PAGES):
+                for f, n, t in zip(*(c.to_pylist() for c in b.slice(at, PAGES).columns), strict=True):
+                    for s, sentence in enumerate(annotate(t) if t is not None else (), 1):
+                        rows += [(f, f"text{n}", s, i, w, lemma, p, tag, h, d, e) for i, (w, lemma, p, tag, h, d, e) in enumerate(sentence, 1)]
+                        if len(rows) >= TOKENS:
+                            yield columns(rows)
+                            rows = []
+        if rows:
+            yield columns(rows)
+
+    tokens = pages.select("file_id", "page_no", text.alias("text")).where(F.col("file_id").isNotNull()).mapInArrow(run, types)
     if patterns is not None:
         tokens = apply_ruler(tokens, patterns, overwrite_ents and ruler_position == "after")
     if custom:
