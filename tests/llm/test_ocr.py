@@ -93,3 +93,50 @@ def test_a_lone_fragment_joins_a_neighbour():
     assert len(O.paragraphs(whole, [False, True, True])) == 2
     title = [["The board of the county met on Monday and set the rate of the wells.", ""], ["Rivers and Lakes", ""], ["Pumping rose to nine feet in the year before, as the hydrologist had said.", ""]]
     assert len(O.paragraphs(title, [False, True, True])) == 3
+
+
+def test_only_what_may_be_wrong_leaves_the_page_functions(spark, monkeypatch):
+    """Words and pairs are counted by batch, and only pages, words and runs that may be wrong are asked for; repeats count once."""
+    made = {}
+
+    def noted(df):
+        made[tuple(df.columns)] = out = cut(df)
+        return out
+
+    cut = O.cut
+    monkeypatch.setattr(O, "cut", noted)
+    rows, want = corpus()
+    df = spark.createDataFrame(rows + rows[:5] + rows[-5:], SCHEMA)
+    assert {tuple(r) for r in O.noise(df).collect()} == want
+    looked = made["page_key", "keys", "other", "words", "size", "strokes", "m"]
+    asked = looked.where("words is null")
+    assert asked.select("page_key").distinct().count() == 10  # the scanned pages
+    words = {k[2:] for r in asked.collect() for k in r["keys"] if k[:2] == "t:"}
+    assert "2o14" in words and not words & {"the", "water", "level"}
+    assert looked.where("words is not null").count() < 100  # hundreds of pairs stand side by side
+
+
+def test_counts_by_batch():
+    """Counting by token gives what ``countable`` gives by line, with every kind of line end."""
+    text = "The ground-\nwater of the year-round plan¬\n-\n ning – and\r\nwell/head-\xa0\nworks — a-\nb-\n\ncut~\n  end"
+    import pyarrow as pa
+
+    for lead in (False, True):
+        for skip in (None, [2], [1, 9]):
+            row = {"text": text, "skip": skip, "scanned": True, "lead": lead}
+            batch = pa.RecordBatch.from_pylist([row] * 3, pa.schema([("text", pa.string()), ("skip", pa.list_(pa.int32())), ("scanned", pa.bool_()), ("lead", pa.bool_())]))
+            got = {(w, c): n for w, c, _, clean, n in O._count_batches(iter([batch])) if n and not clean}
+            lines = text.split("\n")
+            want = O.Counter(O.countable(lines, O.content_lines(lines, set(skip or ())), lead))
+            assert got == {k: 3 * n for k, n in want.items()}
+
+
+def test_page_number_is_taken_off_a_head():
+    for line, page, form in [("12 Basin Plan", 12, "basin plan"), ("Basin Plan page 7 -", 7, "basin plan"), ("Basin Plan 17", 7, "basin plan 17"), ("Basin Plan_7", 7, "basin plan_7"), ("p. 3 | Basin Plan", 3, "basin plan"), ("Basin Planp. 3", 3, "basin plan"), ("3 Basin Plan 3", 3, "basin plan"), ("## Basin Plan 3_", 3, "basin plan 3_")]:
+        assert O._head_form(line, page)[0] == form, line
+
+
+def test_lines_near_a_doubtful_word():
+    assert O.near([2, 3, 5, 8, 9, 12, 14], {3}) == [[2, 3, 5]]
+    assert O.near([2, 3, 5, 8, 9, 12, 14], {2, 9}) == [[2, 3], [8, 9, 12]]
+    assert O.near([2, 3, 5, 8, 9, 12, 14], {2, 8, 14}) == [[2, 3, 5, 8, 9, 12, 14]]

@@ -10,30 +10,36 @@ The corpus itself says what is noise; nothing is listed but the shapes that scan
    confusions of a word meet in one group and no candidates need to be listed.
    A rare form is a misreading if its group has a far more frequent one and files that weren't
    scanned don't bear it out.
+   Words, and pairs of neighbours that matter, are counted by the written token of a batch of pages.
 3. Each page, with lines and heads taken away, is one stream of words. A lattice of its
    segments (as it stands, with the confusion undone, up to three merged over stray blanks, line ends
    and hyphens, one split where two words ran together, merges and splits with the confusion undone
    too) is decoded by least cost; paragraph boundaries are chosen by dynamic
    programming over the lines. What a page needs of the vocabulary reaches it by joins on the
-   words it holds, so the vocabulary may be of any size.
+   words it holds, so the vocabulary may be of any size. Sieves of fixed size (`Sieve`) keep what can't
+   matter out of the joins, and only lines near something that may be wrong are looked at closely.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
+from itertools import accumulate, islice
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.session import cut, hint_small, table
+from tidegraph.session import cut, hint_small, scratch, table
 
 #: Lines at either end of a page that can be heads; least pages and share of a file's pages, and least files, of a head.
 EDGE, HEAD_PAGES, HEAD_SHARE, HEAD_FILES = 3, 2, 0.02, 3
@@ -48,6 +54,10 @@ MERGED, LEAST_LETTERS, MOST_LETTERS = 3, 5, 30
 #: Cost of a paragraph of one line that is a fragment.
 LONE = 1.5
 SMALL_ROWS = 300_000
+#: Rows delivered again up to which their hashes are broadcast; distinct tokens or pairs of tokens a task counts before it passes them on.
+REPEATED_ROWS, COUNTED = 1_000_000, 200_000
+#: Bits of a sieve: at least, at most, and for each word of the corpus.
+LEAST_BITS, MOST_BITS, WORD_BITS = 1 << 12, 1 << 26, 16
 
 #: Letters and signs as strokes. What scanners confuse has the same strokes.
 STROKES = {
@@ -69,6 +79,13 @@ _AROUND = "\"'([{“‘«¿¡)]}”’»,;:!?."
 _LETTERS = re.compile(r"[^\W\d_¢†|^`~]+(?:[¢†|^`~][^\W\d_]*)*")
 _DASHES = re.compile(r"[-/—–]")
 _WORDS, _PARTS = re.compile(r"\S+"), re.compile(r"[^-/—–]+")
+#: Without one of these signs there is no trace; without the pattern no line is broken.
+_TRACES = "¢†ſ|^`~‐‑¬=\xad"
+_CUT = re.compile(r"[-‐‑–¬=\xad~]\s*(?:\n|\Z)")
+_WIDE = re.compile(r"[^\S\n]{3,}")
+_FIRST_NUMBER, _ODD_START = re.compile(r"[\W_]*(?:(?:page|p\.?|[-–])\s*)?\b(\d+)\b[\W_]+(?=[^\W\d_])"), re.compile(r"[^\w©(\[]+")
+_SECTION, _LETTER_RUN, _DIGIT_RUN, _GAP = re.compile(r"\d+\.\d+ "), re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s{3,}")
+_BEFORE_NUMBER = re.compile(r"[\W_]*(?:(?:page|p\.?|[-–])\s*)?$")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 
 
@@ -136,7 +153,7 @@ def head_forms(line: str, page_no: int) -> list[tuple[str, bool, bool]]:
     line = line.strip()
     if len(line) > 240:  # no head is as long, wide gaps included
         return []
-    parts = [p for p in re.split(r"\s{3,}", line) if p]
+    parts = [p for p in _GAP.split(line) if p]
     parts = [p for p in parts if len(parts) == 1 or not is_page_number(p, page_no)]
     found: dict[str, tuple[bool, bool]] = {}
     for i, part in enumerate([line, *(parts if len(parts) == 2 else ())]):
@@ -148,12 +165,21 @@ def head_forms(line: str, page_no: int) -> list[tuple[str, bool, bool]]:
 
 def _head_form(line: str, page_no: int) -> tuple[str, bool, bool] | None:
     s = " ".join(line.split())
-    s = re.sub(rf"^[\W_]*(?:(?:page|p\.?|[-–])\s*)?\b{page_no}\b[\W_]+(?=[^\W\d_])|^[^\w©(\[]+", "", s)
-    s = re.sub(rf"[\W_]*(?:(?:page|p\.?|[-–])\s*)?\b{page_no}\b[\W_]*$", "", s)
+    number = str(page_no)
+    m = _FIRST_NUMBER.match(s)
+    if not m or m[1] != number:
+        m = _ODD_START.match(s)
+    s = s[m.end() :] if m else s
+    end = len(s)
+    while end and not s[end - 1].isalnum():
+        end -= 1
+    start = end - len(number)
+    if s[:end].endswith(number) and s[end : end + 1] != "_" and not (start and (s[start - 1].isalnum() or s[start - 1] == "_")):
+        s = s[: _BEFORE_NUMBER.search(s, 0, start).start()]
     s = s.strip(" -–|:·•~")
-    if len(s) < 5 or len(s) > 120 or re.match(r"\d+\.\d+ ", s) or sum(c.isalpha() for c in s) < 5:
+    if len(s) < 5 or len(s) > 120 or _SECTION.match(s) or sum(map(str.isalpha, s)) < 5:
         return None
-    words = [w for w in re.findall(r"[^\W\d_]+", s)]
+    words = _LETTER_RUN.findall(s)
     capitals = sum(w[0].isupper() for w in words) / len(words)
     # What ends or begins like prose is no head by itself, but may be a damaged one.
     prose = s[-1] in ".;,!?\"" or s[0].islower()
@@ -164,8 +190,13 @@ def _head_form(line: str, page_no: int) -> tuple[str, bool, bool] | None:
 
 def mask(form: str, file_id: str) -> str:
     """The form with the words of the file's name masked, and numbers too."""
-    own = {w for w in re.split(r"[\W_]+", file_id.lower()) if len(w) > 2}
-    return re.sub(r"\d+", "#", re.sub(r"[^\W\d_]+", lambda m: "@" if m[0] in own else m[0], form))
+    own = _name_words(file_id)
+    return _DIGIT_RUN.sub("#", _LETTER_RUN.sub(lambda m: "@" if m[0] in own else m[0], form))
+
+
+@lru_cache(maxsize=1 << 10)
+def _name_words(file_id: str) -> frozenset[str]:
+    return frozenset(w for w in re.split(r"[\W_]+", file_id.lower()) if len(w) > 2)
 
 
 def close(a: Column, b: Column) -> Column:
@@ -219,6 +250,22 @@ class Piece(NamedTuple):
     gap: str
 
 
+@lru_cache(maxsize=1 << 16)
+def token_parts(word: str) -> tuple[tuple[tuple[int, str], ...], bool]:
+    """(place, core) of a written token's words, the core empty for what is none; whether nothing follows the last one."""
+    if word.isalpha():  # most words: nothing around them, and nothing to divide
+        ok = len(word) <= MOST_LETTERS and (word.isascii() or not _MATH.search(word))
+        return ((0, word if ok else ""),), ok
+    out, is_open = [], False
+    for q in _PARTS.finditer(word):
+        core = q[0].strip(_AROUND)
+        ok = bool(core) and len(core) <= MOST_LETTERS and any(map(str.isalnum, core)) and (core.isascii() or not _MATH.search(core))
+        start = q.start() + q[0].index(core) if ok else 0
+        out.append((start, core if ok else ""))
+        is_open = ok and start + len(core) == len(word)
+    return tuple(out), is_open
+
+
 def pieces(lines: list[str], at: list[int]) -> list[Piece]:
     """The words of a page as one stream, those of ``split_words``."""
     out: list[Piece] = []
@@ -232,20 +279,13 @@ def pieces(lines: list[str], at: list[int]) -> list[Piece]:
             word, begin, end = m[0], m.start(), m.end()
             if last is not None:
                 gap = "b" if gap_open and begin - last <= 2 else ""
-            if word.isalpha():  # most words: nothing around them, and nothing to divide
-                gap_open = len(word) <= MOST_LETTERS and (word.isascii() or not _MATH.search(word))
-                if gap_open:
-                    out.append(Piece(i, begin, end, word, gap))
+            parts, is_open = token_parts(word)
+            for start, core in parts:
+                if core:
+                    out.append(Piece(i, begin + start, begin + start + len(core), core, gap if gap == "h" or not start else ""))
                 gap = ""
-            else:
-                for q in _PARTS.finditer(word):
-                    core = q[0].strip(_AROUND)
-                    ok = bool(core) and len(core) <= MOST_LETTERS and any(map(str.isalnum, core)) and (core.isascii() or not _MATH.search(core))
-                    if ok:
-                        start = begin + q.start() + q[0].index(core)
-                        out.append(Piece(i, start, start + len(core), core, gap if gap == "h" or start == begin else ""))
-                    gap_open = ok and start + len(core) == end
-                    gap = ""
+            if parts:
+                gap_open = is_open
             last = end
     return out
 
@@ -255,6 +295,21 @@ def _is_letters(w: str) -> bool:
     return _LETTERS.fullmatch(w) is not None
 
 
+def near(at: list[int], hot: set[int]) -> list[list[int]]:
+    """The hot ones of the lines ``at`` with one neighbour on either side, as unbroken stretches."""
+    out: list[list[int]] = []
+    end = 0
+    for n, i in enumerate(at):
+        if i in hot:
+            start = max(n - 1, 0)
+            if out and start <= end:
+                out[-1] += at[end : n + 2]
+            else:
+                out.append(at[start : n + 2])
+            end = min(n + 2, len(at))
+    return out
+
+
 def mergeable(ps: list[Piece]) -> Iterator[tuple[int, int]]:
     """(first, end) of the runs of segments that may be one word: of letters, and of two lines at most."""
     letters = [_is_letters(p.core) for p in ps]
@@ -312,6 +367,12 @@ def segments(ps: list[Piece], facts: dict[str, tuple[int, str | None]], gains: d
     return out[::-1]
 
 
+def line_cores(line: str) -> set[str]:
+    """The words of a line as they stand in ``pieces``."""
+    line = line.rstrip()
+    return {core.lower() for w in (line[:-1] if broken(line) else line).split() for _, core in token_parts(w)[0]}
+
+
 def decode(
     lines: list[str], skip: set[int], follow: str, facts: dict[str, tuple[int, str | None]], scanned: bool, mend: bool = True, lead: bool = False, gains: dict[str, float] | None = None
 ) -> tuple[list[tuple[int, str]], list[list[str]]]:
@@ -338,8 +399,11 @@ def decode(
                 if "r" in where and n + 1 < len(at):
                     found.add((at[n + 1] + 1, "ocr"))
     changes: dict[int, list[tuple[int, int, str]]] = {}
-    if scanned:
-        ps = pieces(lines, at)
+    # Only lines with a word that has a repair, with their neighbours; all if a word goes on from the page before.
+    doubtful = {w for k, (_, best) in facts.items() if best is not None and k[0] in "trm" for w in k[2:].split(" ")} if scanned else set()
+    hot = {i for i in at if i in joined or not doubtful.isdisjoint(line_cores(lines[i]))} if doubtful or joined else set()
+    for stretch in ([at] if lead and hot else near(at, hot)) if scanned else ():
+        ps = pieces(lines, stretch)
         halves = {j: joined[p.line] for j, p in enumerate(ps) if p.gap == "h" and j and p.line in joined}
         for i, end, right in segments(ps, facts, gains or {}, lead, halves):
             if right is None:
@@ -455,17 +519,20 @@ def paragraphs(lines: list[list[str]], blank_before: list[bool]) -> list[str]:
 
 def _rows(f: Callable[[dict], list[tuple]], names: list[str], schema: str, df: DataFrame) -> DataFrame:
     """Python rows per page, Arrow batches in and out."""
+    return _streamed(lambda batches: (x for b in batches for row in b.to_pylist() for x in f(row)), names, schema, df)
+
+
+def _streamed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], names: list[str], schema: str, df: DataFrame) -> DataFrame:
+    """Python rows of all batches of a task, passed on by 20,000."""
     types = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for row in b.to_pylist():
-                out += f(row)
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
+        rows = f(batches)
+        while out := list(islice(rows, 20_000)):
+            columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, types)
@@ -474,24 +541,27 @@ def _rows(f: Callable[[dict], list[tuple]], names: list[str], schema: str, df: D
 def _edges(row: dict) -> list[tuple]:
     lines = row["text"].split("\n")
     at = [i for i, line in enumerate(lines) if line.strip()]
-    trace = bool(_TRACE.search(row["text"]))
+    trace = any(c in row["text"] for c in _TRACES) and bool(_TRACE.search(row["text"]))
+    edges = {*at[:EDGE], *at[-EDGE:]}
     out = []
-    for i in sorted({*at[:EDGE], *at[-EDGE:]}):
-        number = is_page_number(lines[i], row["page_no"] or 0)
-        forms = [] if number else head_forms(lines[i], row["page_no"] or 0)
+    # One line more than the edges have: whatever of them is taken away, the first and the last of the rest are here.
+    for i in sorted({*at[: EDGE + 1], *at[-EDGE - 1 :]}):
+        number = i in edges and is_page_number(lines[i], row["page_no"] or 0)
+        forms = [] if number or i not in edges else head_forms(lines[i], row["page_no"] or 0)
+        first, ends_broken = first_word(lines[i]), broken(lines[i]) is not None
         for form, strict, title in forms or [(None, False, False)]:
-            out.append((row["page_key"], row["file_id"], i + 1, number, form, mask(form, row["file_id"] or "") if form else None, strict, title, trace))
+            out.append((row["page_key"], row["file_id"], row["page_no"], row["h"], i + 1, number, form, mask(form, row["file_id"] or "") if form else None, strict, title, trace, first, ends_broken))
     return out
 
 
 def noise_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (page_key, file_id, page_no, text): (page_key, line_no, kind) of heads and page numbers,
-    and (file_id, scanned)."""
+    """Of (page_key, file_id, page_no, text, h): (page_key, file_id, page_no, h, line_no, kind, trace, first, cut) of the lines
+    at the edges (first word and whether it ends in a broken one), kind null but for heads and page numbers; and (file_id, scanned)."""
     edges = cut(
         _rows(
             _edges,
-            ["page_key", "file_id", "line_no", "number", "form", "masked", "strict", "title", "trace"],
-            "page_key long, file_id string, line_no int, number boolean, form string, masked string, strict boolean, title boolean, trace boolean",
+            ["page_key", "file_id", "page_no", "h", "line_no", "number", "form", "masked", "strict", "title", "trace", "first", "cut"],
+            "page_key long, file_id string, page_no int, h long, line_no int, number boolean, form string, masked string, strict boolean, title boolean, trace boolean, first string, cut boolean",
             pages,
         )
     )
@@ -518,106 +588,296 @@ def noise_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .distinct()
     )
     like = cut(like)
-    lines = edges.alias("e").join(hint_small(like, SMALL_ROWS).alias("l"), F.equal_null("e.file_id", "l.file_id") & (F.col("e.form") == F.col("l.form")), "left").select(
-        "page_key",
-        F.col("e.file_id").alias("file_id"),
-        "line_no",
-        F.when(F.col("number"), "page_number").when(F.col("l.form").isNotNull(), "header").alias("kind"),
-        "trace",
-    ).distinct()
+    lines = (
+        edges.alias("e")
+        .join(hint_small(like, SMALL_ROWS).alias("l"), F.equal_null("e.file_id", "l.file_id") & (F.col("e.form") == F.col("l.form")), "left")
+        .groupBy("page_key", F.col("e.file_id").alias("file_id"), "page_no", "h", "line_no")
+        .agg(
+            F.max(F.when(F.col("number"), "page_number").when(F.col("l.form").isNotNull(), "header")).alias("kind"),
+            F.bool_or("trace").alias("trace"), F.max("first").alias("first"), F.bool_or("cut").alias("cut"),
+        )
+    )
     lines = cut(lines)
     files = lines.groupBy("file_id").agg((F.bool_or("trace") | F.bool_or(F.col("kind").isNotNull())).alias("scanned"))
-    return lines.where(F.col("kind").isNotNull()).select("page_key", "line_no", "kind"), files
-
+    return lines, files
 
-def _count(row: dict) -> list[tuple]:
-    lines = row["text"].split("\n")
-    seen = Counter(countable(lines, content_lines(lines, set(row["skip"] or ())), bool(row["lead"])))
-    s = bool(row["scanned"])
-    return [(w, c, strokes(w) if not c else "", 0 if s else n, n if s else 0) for (w, c), n in seen.items()]
-
-
-def _runs(row: dict) -> list[tuple]:
-    """Adjacent words of a page: (words, how many, their strokes together if they may be parts of one word, else null, count)."""
-    lines = row["text"].split("\n")
-    ps = pieces(lines, content_lines(lines, set(row["skip"] or ())))
-    low = [p.core.lower() for p in ps]
-    letters = [_is_letters(p.core) for p in ps]
-    seen = Counter(f"{low[i - 1]} {low[i]}" for i in range(1, len(ps)) if ps[i].gap in ("b", "l") and letters[i - 1] and letters[i])
-    asked: dict[tuple[str, int], str] = {}
-    for i, end in mergeable(ps) if row["scanned"] else ():
-        k = " ".join(low[i:end])
-        if (k, end - i) not in asked:
-            asked[k, end - i] = "".join(map(strokes, low[i:end]))  # strokes are by letter
-    return [(k, 2, asked.pop((k, 2), None), c) for k, c in seen.items()] + [(k, n, st, 1) for (k, n), st in asked.items()]
 
+class Sieve:
+    """A set of strings as bits by their checksum: what it holds is found, and now and then something else.
+    Its size is bounded, whatever the corpus has; exact joins follow."""
 
-def _halves(row: dict) -> list[tuple]:
-    """The ways to cut a word in two: (word, its count, halves, their strokes)."""
-    w = row["word"]
-    return [(w, row["n"], w[:k], w[k:], strokes(w[:k]), strokes(w[k:])) for k in range(1, len(w) - 1) if k > 1 or w[0] == "a"]
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = bits, len(bits) * 8 - 1
 
+    def __contains__(self, s: str) -> bool:
+        h = zlib.crc32(s.encode("utf-8", "replace")) & self.mask
+        return bool(self.bits[h >> 3] >> (h & 7) & 1)
 
-def _asked(row: dict) -> list[tuple]:
-    """What a page must know: its words, and for each broken word its halves, its whole and its strokes."""
-    lines = row["text"].split("\n")
-    at = content_lines(lines, set(row["skip"] or ()))
-    words: set[str] = set()
-    other: set[str] = set()
-    ps = pieces(lines, at) if row["scanned"] else []
-    low = [p.core.lower() for p in ps]
-    parts = {"m:" + " ".join(low[i:end]) for i, end in mergeable(ps)}
-    for n, i in enumerate(at):
-        if row["scanned"]:
-            words.update(w.lower() for w in split_words(lines[i]))
-        b = broken(lines[i])
-        if b:
-            left, right = b[0].lower(), (first_word(lines[at[n + 1]]) if n + 1 < len(at) else row["follow"] or "").lower()
-            other |= {f"q:{left}", f"q:{right}", f"q:{left}{right}", f"h:{left}-{right}", f"s:{strokes(left + right)}"}
-    return [(row["page_key"], [*(f"t:{w}" for w in sorted(words)), *sorted(parts)], sorted(other))] if words or other else []
 
+def sieves(rows: DataFrame, kinds: int, words: int) -> list[Sieve]:
+    """A sieve for each kind (from 0) of (kind, key), for a corpus of so many words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WORD_BITS * words).bit_length()))
 
-def _head_word(row: dict) -> list[tuple]:
-    lines = row["text"].split("\n")
-    at = content_lines(lines, set(row["skip"] or ()))
-    return [(row["file_id"], (row["page_no"] or 0) - 1, first_word(lines[at[0]]))] if at and row["page_no"] is not None else []
-
-
-def _tail_word(row: dict) -> list[tuple]:
-    lines = row["text"].split("\n")
-    at = content_lines(lines, set(row["skip"] or ()))
-    return [(row["file_id"], row["page_no"] + 1, True)] if at and row["page_no"] is not None and broken(lines[at[-1]]) else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [bytearray(bits // 8) for _ in range(kinds)]
+        for b in batches:
+            for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = zlib.crc32(key.encode("utf-8", "replace")) & (bits - 1)
+                sets[kind][h >> 3] |= 1 << (h & 7)
+        yield pa.RecordBatch.from_arrays([pa.array(range(kinds), pa.int32()), pa.array(map(bytes, sets), pa.binary())], ["kind", "bits"])
+
+    all_sets = [np.zeros(bits // 8, np.uint8) for _ in range(kinds)]
+    for r in rows.where(F.col("key").isNotNull()).select("kind", "key").coalesce(4).mapInArrow(run, "kind int, bits binary").toLocalIterator():
+        all_sets[r.kind] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return [Sieve(x.tobytes()) for x in all_sets]
+
+
+def left_out(lines: list[str], at: list[int], lead: bool) -> Iterator[tuple[list[str], list[str]]]:
+    """Of the lines that end in a broken word or follow such a line: the words that don't count, and all words that pieces() may have there."""
+    after = lead
+    for i in at:
+        cut_end, line = broken(lines[i]) is not None, lines[i].rstrip()
+        if (trimmed := broken(line) is not None) or after:
+            ws = split_words(line)
+            yield ws[:1] * after + ws[max(len(ws) - 1, int(after)) :] * cut_end, ws + split_words(line[:-1]) * trimmed
+        after = cut_end
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows (word, compound, strokes, clean, scan) of pages, by ``countable``; 0 for words that stand in broken lines only."""
+    tokens: tuple[Counter, Counter] = (Counter(), Counter())
+    less: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> Iterator[tuple]:
+        seen: dict[tuple[str, bool], list[int]] = {}
+        for s in (0, 1):
+            for token, n in tokens[s].items():
+                for w in split_words(token):
+                    seen.setdefault((w.lower(), False), [0, 0])[s] += n
+                if "-" in token:
+                    for c in compounds(token):
+                        seen.setdefault((c, True), [0, 0])[s] += n
+            for w, n in less[s].items():
+                seen.setdefault((w, False), [0, 0])[s] -= n
+            tokens[s].clear()
+            less[s].clear()
+        for (w, c), (clean, scan) in seen.items():
+            yield w, c, "" if c else strokes(w), clean, scan
+
+    for b in batches:
+        for row in b.select(["text", "skip", "scanned", "lead"]).to_pylist():
+            text, s = row["text"], int(bool(row["scanned"]))
+            if row["skip"] or row["lead"] or _CUT.search(text):
+                lines = text.split("\n")
+                at = content_lines(lines, set(row["skip"] or ()))
+                text = "\n".join([lines[i] for i in at])
+                for out, there in left_out(lines, at, bool(row["lead"])):
+                    for w in out:
+                        less[s][w.lower()] += 1
+                    for w in there:
+                        less[s][w.lower()] += 0
+            tokens[s].update(text.split())
+            if len(tokens[0]) + len(tokens[1]) > COUNTED:
+                yield from flush()
+    yield from flush()
+
+
+class _Memo(dict):
+    """What a function says of a token, kept up to a bound."""
+
+    def __init__(self, f: Callable[[str], object]):
+        self.f = f
+
+    def __missing__(self, w: str) -> object:
+        if len(self) > COUNTED:
+            self.clear()
+        got = self[w] = self.f(w)
+        return got
+
+
+def _look_batches(batches: Iterator[pa.RecordBatch], odd: Sieve, wholes: Sieve, wrong: Sieve, sides: Sieve, lefts: Sieve, rights: Sieve) -> Iterator[tuple]:
+    """(page_key, keys, other, words, size, strokes, m): what pages must know (keys of words and runs that may be wrong; for
+    each broken word its halves, its whole and its strokes), and runs of words with their strokes if they may be one word and with how often they occur."""
+
+    def ask(w: str) -> tuple[str, ...]:
+        return tuple(x for x in dict.fromkeys(p.lower() for p in split_words(w)) if x in wrong)
+
+    def about(w: str) -> int:  # 1: it has a word that may be a part of another, 2: dashes only, 4: it has a word that may be wrong
+        parts = token_parts(w)[0]
+        return (1 if any(core and core.lower() in odd for _, core in parts) else 0) | (0 if parts else 2) | (4 if asks[w] else 0)
+
+    def ends(w: str) -> tuple[str | None, str | None, str, str, bool, bool, bool, bool]:
+        parts, is_open = token_parts(w)
+        first = parts[0][1].lower() if parts and parts[0][1] and not parts[0][0] and _is_letters(parts[0][1]) else None
+        last = parts[-1][1].lower() if is_open and _is_letters(parts[-1][1]) else None
+        a, b = first or "", last or ""
+        return first, last, strokes(a), strokes(b), a in odd, b in odd, a in rights, b in lefts
+
+    def may_merge(stream: list[str], j: int) -> bool:
+        """Whether a token and its neighbours, two on either side at most, may be parts of one word."""
+        first, last, st_first, st_last = both[stream[j]][:4]
+        before = after = None
+        if j and first is not None:
+            before = both[stream[j - 1]]
+            if before[1] is not None:
+                if before[3] + st_first in wholes:
+                    return True
+                if j > 1 and before[0] is not None and (far := both[stream[j - 2]])[1] is not None and far[3] + before[3] + st_first in wholes:
+                    return True
+        if j + 1 < len(stream) and last is not None:
+            after = both[stream[j + 1]]
+            if after[0] is not None:
+                if st_last + after[2] in wholes:
+                    return True
+                if j + 2 < len(stream) and after[1] is not None and (far := both[stream[j + 2]])[0] is not None and st_last + after[2] + far[2] in wholes:
+                    return True
+        return bool(before and after and before[1] is not None and after[0] is not None and before[3] + st_first + after[2] in wholes)
+
+    asks, kinds, both = _Memo(ask), _Memo(about), _Memo(ends)
+    is_odd = _Memo(odd.__contains__)
+    pairs: Counter = Counter()
+    runs3: Counter = Counter()
+
+    def flush() -> Iterator[tuple]:
+        found: Counter = Counter()
+        for (v, w), n in pairs.items():
+            _, a, _, sa, _, a_odd, _, is_left = both[v]
+            b, _, sb, _, b_odd, _, is_right, _ = both[w]
+            if a is not None and b is not None and (is_left and is_right and f"{a} {b}" in sides or (a_odd or b_odd) and sa + sb in wholes):
+                found[f"{a} {b}"] += n
+        pairs.clear()
+        for k, n in found.items():
+            yield None, None, None, k, 2, None, n
+        for (k, size, st), n in runs3.items():
+            yield None, None, None, k, size, st, n if size > 2 else 0
+        runs3.clear()
+
+    for b in batches:
+        for row in b.select(["page_key", "text", "skip", "scanned", "follow", "lead"]).to_pylist():
+            text, scanned = row["text"], bool(row["scanned"])
+            lines = text.split("\n")
+            at = content_lines(lines, set(row["skip"] or ()))
+            words: set[str] = set()
+            other: set[str] = set()
+            hot: set[int] = set()
+            kept: list[str] = []  # the lines as they part words, with a sign where two of them don't follow each other
+            places: list[int] = []
+            trimmed: list[int] = []
+            before, was_cut = -2, False
+            for n, i in enumerate(at):
+                line = lines[i].strip()
+                at_cut, was_cut = was_cut, False
+                if i != before + 1:
+                    kept.append("\0")
+                    places.append(-1)
+                before = i
+                if line[-1] in HYPHENS:
+                    if cut_at := broken(lines[i]):
+                        left, right = cut_at[0].lower(), (first_word(lines[at[n + 1]]) if n + 1 < len(at) else row["follow"] or "").lower()
+                        other |= {f"q:{left}", f"q:{right}", f"q:{left}{right}", f"h:{left}-{right}", f"s:{strokes(left + right)}"}
+                        before, at_cut, was_cut = -2, True, True
+                    if broken(line):
+                        if scanned:
+                            words.update(asks[line.split()[-1]])
+                        line, at_cut = line[:-1], True
+                        trimmed.append(len(kept))
+                if line[0] in "-/—–" and not token_parts(line.split(None, 1)[0])[0]:  # dashes part no words, but at the beginning of a line
+                    line = "\0 " + line
+                if at_cut and scanned and any(kinds[w] & 1 for w in line.split()):  # parts may lie on either side of the hyphen
+                    hot.add(i)
+                kept.append(line)
+                places.append(i)
+            stream = _WIDE.sub(" \0 ", "\n".join(kept)).split()
+            says = list(map(kinds.__getitem__, stream))
+            spots: list[int] = []
+            if any(says):
+                if scanned:
+                    unasked = set()
+                    if trimmed:  # their last words were asked for with the hyphen
+                        ends_at = list(accumulate(len(_WIDE.sub(" \0 ", x).split()) for x in kept))
+                        unasked = {ends_at[x] - 1 for x in trimmed}
+                    for j, k in enumerate(says):
+                        if k & 4 and j not in unasked:
+                            words.update(asks[stream[j]])
+                if any(k & 2 for k in says):
+                    stream = [w for k, w in zip(says, stream, strict=True) if not k & 2]
+                    says = [k for k in says if not k & 2]
+                spots = [j for j, k in enumerate(says) if k & 1] if scanned else []
+            pairs.update(zip(stream, stream[1:]))
+            if spots := [j for j in spots if may_merge(stream, j)]:
+                ends_at = list(accumulate(sum(not kinds[w] & 2 for w in _WIDE.sub(" \0 ", x).split()) for x in kept))
+                hot.update(places[bisect_right(ends_at, j)] for j in spots)
+            parts: set[tuple[str, int, str]] = set()
+            for stretch in near(at, hot) if scanned else ():
+                ps = pieces(lines, stretch)
+                low = [p.core.lower() for p in ps]
+                odd_ones = [is_odd[w] for w in low]
+                for i, end in mergeable(ps) if any(odd_ones) else ():
+                    if any(odd_ones[i:end]) and (st := "".join(map(strokes, low[i:end]))) in wholes:
+                        parts.add((" ".join(low[i:end]), end - i, st))
+            runs3.update(parts)
+            if words or other or parts:
+                yield row["page_key"], [*(f"t:{w}" for w in sorted(words)), *sorted({f"m:{k}" for k, _, _ in parts})], sorted(other), None, None, None, None
+            if len(pairs) > COUNTED or len(runs3) > COUNTED:
+                yield from flush()
+    yield from flush()
+
+
+def _halves(row: dict, known: Sieve) -> list[tuple]:
+    """The ways to cut a word in two of which both halves may have strokes of a known word: (word, its count, halves, their strokes)."""
+    w = row["word"]
+    cuts = ((w[:k], w[k:]) for k in range(1, len(w) - 1) if k > 1 or w[0] == "a")
+    return [(w, row["n"], a, b, sa, sb) for a, b in cuts if (sa := strokes(a)) in known and (sb := strokes(b)) in known]
 
 
-def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepared(pages: DataFrame, all_pages: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pages with all that decoding needs: skip (heads and numbers), scanned, follow (the next page's
-    first word), lead (whether the page before ends in a broken word) and facts; and the lines of heads and page numbers."""
-    pages = cut(
-        pages.where(F.col("text_list").isNotNull())
-        .select("page_key", "file_id", "page_no", F.col("text_list").alias("text"))
-        .distinct()
-        .withColumn("text", F.coalesce("text", F.lit("")))
-    )
+    first word), lead (whether the page before ends in a broken word) and facts; and the lines of heads and page numbers.
+    Unless all_pages, pages without broken words and without any word that may be wrong are left out."""
+    pages = pages.where(F.col("text_list").isNotNull()).select("page_key", "file_id", "page_no", F.col("text_list").alias("text")).withColumn("h", F.xxhash64("page_key", "file_id", "page_no", "text"))
+    # Only what may have been delivered again is compared: most pages are never moved for that.
+    again = cut(pages.groupBy("h").count().where("count > 1").select("h"))
+    n_again = again.count()
+    if n_again > REPEATED_ROWS:
+        pages = pages.distinct()
+    elif n_again:
+        pages = pages.join(F.broadcast(again), "h", "left_anti").unionByName(pages.join(F.broadcast(again), "h", "left_semi").distinct())
     lines, files = noise_lines(pages)
-    skips = lines.groupBy("page_key").agg(F.collect_set("line_no").alias("skip"))
-    known = cut(
-        pages.join(skips, "page_key", "left")
+    own = F.col("kind").isNull()
+    edges = (
+        lines.groupBy("page_key", "file_id", "page_no", "h")
+        .agg(
+            F.collect_list(F.when(~own, F.col("line_no"))).alias("skip"),
+            F.min(F.when(own, F.struct("line_no", "first"))).alias("first"),
+            F.max(F.when(own, F.struct("line_no", "cut"))).alias("last"),
+        )
         .alias("p")
         .join(hint_small(files, SMALL_ROWS).alias("f"), F.equal_null("p.file_id", "f.file_id"), "left")
         .select("p.*", F.coalesce("scanned", F.lit(False)).alias("scanned"))
     )
-    nexts = _rows(_head_word, ["file_id", "page_no", "follow"], "file_id string, page_no int, follow string", known).groupBy("file_id", "page_no").agg(F.min("follow").alias("follow"))
-    leads = _rows(_tail_word, ["file_id", "page_no", "lead"], "file_id string, page_no int, lead boolean", known).distinct()
-    known = cut(known.join(nexts, ["file_id", "page_no"], "left").join(leads, ["file_id", "page_no"], "left"))
+    edges = cut(edges)
+    nexts = edges.where("first is not null").groupBy("file_id", (F.col("page_no") - 1).alias("page_no")).agg(F.min("first.first").alias("follow"))
+    leads = edges.where("last.cut").select("file_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("lead")).distinct()
+    edges = edges.join(nexts, ["file_id", "page_no"], "left").join(leads, ["file_id", "page_no"], "left")
+    key = ("h", "page_key", "file_id", "page_no")
+    path = scratch(pages.sparkSession, "pages")
+    (
+        pages.alias("p")
+        .join(edges.select(*key, "skip", "scanned", "follow", "lead").hint("shuffle_hash").alias("e"), reduce(Column.__and__, [F.equal_null(f"p.{c}", f"e.{c}") for c in key]), "left")
+        .select("p.page_key", "text", "skip", F.coalesce("scanned", F.lit(False)).alias("scanned"), "follow", "lead")
+        .write.option("compression", "zstd")
+        .parquet(path)
+    )
+    known = pages.sparkSession.read.parquet(path)
     words = cut(
-        _rows(_count, ["word", "compound", "strokes", "clean", "scan"], "word string, compound boolean, strokes string, clean long, scan long", known)
+        _streamed(_count_batches, ["word", "compound", "strokes", "clean", "scan"], "word string, compound boolean, strokes string, clean long, scan long", known)
         .groupBy("word", "compound", "strokes")
         .agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
         .select("*", (F.col("clean") + F.col("scan")).alias("n"))
     )
-    singles = words.where(~F.col("compound"))
+    singles = words.where(~F.col("compound") & (F.col("n") > 0))
     groups = singles.groupBy("strokes").agg(F.max_by("word", F.struct("n", "word")).alias("best"), F.max("n").alias("n_best"))
-    totals = singles.agg(F.sum("clean").alias("c"), F.sum("scan").alias("s")).first()
+    totals = singles.agg(F.sum("clean").alias("c"), F.sum("scan").alias("s"), F.count("*").alias("words")).first()
     rate = (totals.s or 0) / max(1, totals.c or 0)
     unborne = F.col("clean") * rate <= CLEAN_SHARE * F.col("scan")
     foreign_mark = F.col("word").rlike(r"[¢†ſ|^`~]")
@@ -638,15 +898,55 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(F.col("n") <= F.greatest(F.coalesce("m", F.lit(0)), F.lit(1)))
         .select(F.concat(F.lit("t:"), "word").alias("k"), "n", "best", F.lit(CONFUSED).alias("gain"))
     )
-    runs = cut(
-        _rows(_runs, ["words", "size", "strokes", "m"], "words string, size int, strokes string, m long", known)
-        .groupBy("words", "size")
-        .agg(F.max("strokes").alias("strokes"), F.sum("m").alias("m"))
+    single_wrong = cut(bad.unionByName(numbers))
+    # Words that ran together: rare and unborne, of two known words; and both halves stand side by side elsewhere.
+    known_strokes = sieves(singles.where(F.col("n") >= LEAST_COUNT).select(F.lit(0).alias("kind"), F.col("strokes").alias("key")), 1, totals.words)[0]
+    halves = cut(
+        _rows(
+            partial(_halves, known=known_strokes),
+            ["word", "n", "a", "b", "sa", "sb"],
+            "word string, n long, a string, b string, sa string, sb string",
+            singles.where(unborne & (F.col("scan") > 0) & F.col("word").rlike(rf"^[\p{{L}}¢†|^`~]{{{LEAST_LETTERS},{MOST_LETTERS}}}$")).select("word", "n"),
+        )
+    )
+    group = groups.where(F.col("best").rlike(r"^\p{L}+$"))
+    counts = singles.where(F.col("n") >= LEAST_COUNT)
+    options = cut(
+        halves.select("word", "n", F.col("a").alias("xa"), F.col("b").alias("xb"), F.lit(0).alias("changed"))
+        .unionByName(
+            halves.join(group.select(F.col("strokes").alias("sa"), F.col("best").alias("xa")), "sa")
+            .join(group.select(F.col("strokes").alias("sb"), F.col("best").alias("xb")), "sb")
+            .select("word", "n", "xa", "xb", ((F.col("xa") != F.col("a")).cast("int") + (F.col("xb") != F.col("b")).cast("int")).alias("changed"))
+        )
+        .join(counts.select(F.col("word").alias("xa"), F.col("n").alias("na")), "xa")
+        .join(counts.select(F.col("word").alias("xb"), F.col("n").alias("nb")), "xb")
+        .where(F.col("n") <= RARE_SHARE * F.least("na", "nb"))
+        .withColumn("gain", F.log(F.least("na", "nb") / (F.col("n") + 1)) - RUN_ON - CONFUSED * F.col("changed"))
+        .where("gain > 0")
+    )
+    wholes = groups.where(F.col("best").rlike(r"^\p{L}+$") & (F.length("best") >= LEAST_LETTERS) & (F.col("n_best") >= LEAST_COUNT))
+    keys = (
+        words.where(~F.col("compound") & unborne).select(F.lit(0).alias("kind"), F.col("word").alias("key"))
+        .unionByName(wholes.select(F.lit(1).alias("kind"), F.col("strokes").alias("key")))
+        .unionByName(single_wrong.select(F.lit(2).alias("kind"), F.substring("k", 3, 1 << 20).alias("key")))
+        .unionByName(options.select(F.lit(2).alias("kind"), F.col("word").alias("key")))
+        .unionByName(options.select(F.lit(3).alias("kind"), F.concat_ws(" ", "xa", "xb").alias("key")))
+        .unionByName(options.select(F.lit(4).alias("kind"), F.col("xa").alias("key")))
+        .unionByName(options.select(F.lit(5).alias("kind"), F.col("xb").alias("key")))
+    )
+    odd, whole_strokes, wrong_words, sides, lefts, rights = sieves(keys, 6, totals.words)
+    looked = cut(
+        _streamed(
+            partial(_look_batches, odd=odd, wholes=whole_strokes, wrong=wrong_words, sides=sides, lefts=lefts, rights=rights),
+            ["page_key", "keys", "other", "words", "size", "strokes", "m"],
+            "page_key long, keys array<string>, other array<string>, words string, size int, strokes string, m long",
+            known,
+        )
     )
+    asked = looked.where("words is null")
+    runs = looked.where("words is not null").groupBy("words", "size").agg(F.max("strokes").alias("strokes"), F.sum("m").alias("m"))
     # Parts of one word: the whole is frequent, and a part by itself is rare against it and unborne.
-    whole = runs.where(F.col("strokes").isNotNull()).join(
-        groups.where(F.col("best").rlike(r"^\p{L}+$") & (F.length("best") >= LEAST_LETTERS) & (F.col("n_best") >= LEAST_COUNT)), "strokes"
-    ).where(F.col("m") <= RARE_SHARE * F.col("n_best"))
+    whole = runs.where(F.col("strokes").isNotNull()).join(wholes, "strokes").where(F.col("m") <= RARE_SHARE * F.col("n_best"))
     parts = (
         whole.select("words", "m", "best", "n_best", F.explode(F.split("words", " ")).alias("word"))
         .join(singles.select("word", "n", "clean", "scan"), "word", "left")
@@ -661,41 +961,16 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("m:"), "words").alias("k"), "n", "best",
         (F.log(F.col("n_best") / (F.col("n") + 1)) - STRAY - F.when(same, 0.0).otherwise(CONFUSED)).alias("gain"),
     ).where("gain > 0")
-    # Words that ran together: rare and unborne, and both halves stand side by side elsewhere.
-    halves = cut(
-        _rows(
-            _halves,
-            ["word", "n", "a", "b", "sa", "sb"],
-            "word string, n long, a string, b string, sa string, sb string",
-            singles.where(unborne & (F.col("scan") > 0) & F.col("word").rlike(rf"^[\p{{L}}¢†|^`~]{{{LEAST_LETTERS},{MOST_LETTERS}}}$")).select("word", "n"),
-        )
-    )
     pair = F.split("words", " ")
-    side = runs.where("size = 2").select(pair[0].alias("xa"), pair[1].alias("xb"), "m")
-    group = groups.where(F.col("best").rlike(r"^\p{L}+$"))
-    options = (
-        halves.select("word", "n", F.col("a").alias("xa"), F.col("b").alias("xb"), F.lit(0).alias("changed"))
-        .unionByName(
-            halves.join(group.select(F.col("strokes").alias("sa"), F.col("best").alias("xa")), "sa")
-            .join(group.select(F.col("strokes").alias("sb"), F.col("best").alias("xb")), "sb")
-            .select("word", "n", "xa", "xb", ((F.col("xa") != F.col("a")).cast("int") + (F.col("xb") != F.col("b")).cast("int")).alias("changed"))
-        )
-        .join(side, ["xa", "xb"])
-        .where(F.col("m") >= F.col("n"))
-    )
     ran = (
-        options.join(singles.select(F.col("word").alias("xa"), F.col("n").alias("na")), "xa")
-        .join(singles.select(F.col("word").alias("xb"), F.col("n").alias("nb")), "xb")
-        .where((F.least("na", "nb") >= LEAST_COUNT) & (F.col("n") <= RARE_SHARE * F.least("na", "nb")))
-        .withColumn("gain", F.log(F.least("na", "nb") / (F.col("n") + 1)) - RUN_ON - CONFUSED * F.col("changed"))
-        .where("gain > 0")
+        options.join(runs.where("size = 2").select(pair[0].alias("xa"), pair[1].alias("xb"), "m"), ["xa", "xb"])
+        .where(F.col("m") >= F.col("n"))
         .groupBy("word", "n")
         .agg(F.max(F.struct("gain", "m", F.concat_ws(" ", "xa", "xb").alias("best"))).alias("x"))
         .select(F.concat(F.lit("r:"), "word").alias("k"), "n", "x.best", "x.gain")
     )
-    asked = cut(_rows(_asked, ["page_key", "words", "other"], "page_key long, words array<string>, other array<string>", known))
     wrong = cut(
-        bad.unionByName(numbers).unionByName(parts).unionByName(ran)
+        single_wrong.unionByName(parts).unionByName(ran)
         .groupBy("k")
         .agg(F.max("n").alias("n"), F.min("best").alias("best"), F.max("gain").alias("gain"))
         .withColumn("ask", F.regexp_replace("k", "^r:", "t:"))
@@ -707,12 +982,14 @@ def prepared(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(groups.where(F.col("best").rlike(r"^\p{L}+$")).select(F.concat(F.lit("s:"), "strokes").alias("k"), F.col("n_best").alias("n"), "best"))
     )
     told = (
-        asked.select("page_key", F.explode("words").alias("ask")).join(hint_small(wrong, SMALL_ROWS), "ask").drop("ask")
+        asked.select("page_key", F.explode("keys").alias("ask")).join(hint_small(wrong, SMALL_ROWS), "ask").drop("ask")
         .unionByName(asked.select("page_key", F.explode("other").alias("k")).join(other, "k").withColumn("gain", F.lit(None).cast("double")))
+        .unionByName(asked.select("page_key", nothing.alias("k"), F.lit(None).cast("long").alias("n"), nothing.alias("best"), F.lit(None).cast("double").alias("gain")))
         .groupBy("page_key")
-        .agg(F.collect_list(F.struct("k", "n", "best", "gain")).alias("facts"))
+        .agg(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n", "best", "gain"))).alias("facts"))
     )
-    return known.join(told, "page_key", "left"), lines
+    ready = known.alias("p").join(told.hint("shuffle_hash").alias("t"), F.equal_null("p.page_key", "t.page_key"), "left" if all_pages else "inner")
+    return ready.select("p.*", "facts"), lines.where(~own).select("page_key", "line_no", "kind")
 
 
 @F.pandas_udf(T.StringType())
@@ -752,7 +1029,7 @@ def noise(pages: DataFrame) -> DataFrame:
     """(page_key, line_no, kind) of all lines with noise. Null pages have none; a page that came
     several times counts once. Pages without file or number have no heads or page numbers of their own
     found but are read like others. An empty table gives no rows."""
-    ready, lines = prepared(pages)
+    ready, lines = prepared(pages, all_pages=False)
     return lines.unionByName(_rows(_noise, ["page_key", "line_no", "kind"], "page_key long, line_no int, kind string", ready)).distinct()
 
 
